@@ -14,6 +14,13 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op2_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.caps import link
+
+    linked = link(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", least=0.98)
+    return linked.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.mixture import mix
 
@@ -43,6 +50,6 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
-QUERIES = {"op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
+QUERIES = {"op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
 
 ORACLE: dict[str, str] = {}
