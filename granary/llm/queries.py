@@ -44,12 +44,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.partenum import similar
+
+    return similar(table(spark, sf_dir, "documents"), percent=85, n=4)
+
+
 def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.maxent import score
 
     return score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
-QUERIES = {"op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
+QUERIES = {"op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
 
 ORACLE: dict[str, str] = {}
