@@ -30,5 +30,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     costs one stage at most, and the planner knows the table's size when it chooses a join."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
