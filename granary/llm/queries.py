@@ -44,6 +44,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), length=35).drop("kept")
+
+
 def op9_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.partenum import similar
 
@@ -56,6 +62,6 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
-QUERIES = {"op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
+QUERIES = {"op8_substrings": op8_substrings, "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
 
 ORACLE: dict[str, str] = {}
