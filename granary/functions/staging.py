@@ -25,10 +25,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="granary-"))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage ends there, so a lost executor
-    costs one stage at most, and the planner knows the table's size when it chooses a join."""
+    costs one stage at most, and the planner knows the table's size when it chooses a join.
+
+    release: asks the JVM to collect garbage, so that Spark removes the shuffle files of what has just
+    been written; worth it after large shuffles only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(df: DataFrame) -> None:
+    """Deletes a staged table that nothing reads any more."""
+    spark, path = df.sparkSession, df._staged_at
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
