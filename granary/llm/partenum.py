@@ -12,8 +12,9 @@ difference of one cannot escape either. Sets with k = 0 are signed whole.
 Exact copies and equal signatures are combined map-side: a chunk of text ships a signature once, so a
 signature that a third of all documents carry costs a row per chunk. Candidates are verified exactly on
 the sets: first each document with the leader it meets most, then the other leaders outside its component,
-then, for signatures that still span components, every pair across components. Pairs inside a component are
-never made, since they cannot change the result.
+then, for signatures that still span components, pairs across components that parity sketches of the sets
+(lower bounds of their difference) do not rule out. Pairs inside a component are never made, since they cannot
+change the result.
 
 Edge cases: null and empty texts (or white space only) have no set and link with nothing; a text shorter than
 a shingle is one shingle; a null doc_id is returned with a null component; rows that share a doc_id are one
@@ -27,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.staging import staged
+from granary.functions.staging import staged, unstage
 from granary.llm.cluster import components
 from granary.llm.text import U, grams, mix, slices, word_hashes
 
 CHUNK = 16 << 20  # bytes of text combined before signatures are shipped
+BLOCK = 1024  # documents of one signature compared in one task, by pairs of such blocks
 SMALL = 64  # bands up to this size have three cells a partition, others two
 
 
@@ -244,21 +246,98 @@ def _sets(n: int):
     return kernel
 
 
+def _sketch(batches):
+    """Each set's parities: bit i tells whether an odd number of elements hash to i. Sets that differ in h
+    elements differ in at most h bits, so more differing bits than h rule a pair out, surely."""
+    for batch in batches:
+        ids, sizes, bits = [], [], []
+        for doc, x in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "shingles"), strict=True):
+            v = x.values.to_numpy().view(U)
+            width = min(4096, max(512, 1 << int(2 * len(v)).bit_length()))
+            odd = np.bincount((mix(v) % U(width)).astype(np.int64), minlength=width) & 1
+            ids.append(doc)
+            sizes.append(len(v))
+            bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "bits"])
+
+
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """Sketches at the smallest width among them: longer ones are folded by exclusive or."""
+    width = min(map(len, bits))
+    out = np.empty((len(bits), width // 8), U)
+    for i, x in enumerate(bits):
+        v = np.frombuffer(x, U).reshape(-1, width // 8)
+        out[i] = np.bitwise_xor.reduce(v, 0) if len(v) > 1 else v[0]
+    return out
+
+
+def _across(percent: int):
+    """Pairs across components that sizes and sketches don't rule out, for each signature's block pair."""
+
+    def kernel(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table = pa.Table.from_batches(rows)
+        sig, left, right, block, doc, c, n = (table.column(x).to_numpy() for x in ("sig", "left", "right", "block", "doc", "c", "n"))
+        bits = table.column("bits").to_pylist()
+        order = np.lexsort((doc, right, left, sig))
+        new = np.ones(len(order), bool)
+        o = order
+        new[1:] = (sig[o[1:]] != sig[o[:-1]]) | (left[o[1:]] != left[o[:-1]]) | (right[o[1:]] != right[o[:-1]])
+        bounds = np.append(np.flatnonzero(new), len(order))
+        seen: set[tuple] = set()
+        found = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            g = order[a:b]
+            x, y = (g, g) if left[g[0]] == right[g[0]] else (g[block[g] == left[g[0]]], g[block[g] == right[g[0]]])
+            if not len(x) or not len(y):
+                continue
+            sketch = _folded([bits[i] for i in g])
+            at = {int(i): k for k, i in enumerate(g)}
+            sy = sketch[[at[int(i)] for i in y]]
+            for i in x.tolist():
+                most = 2 * (100 - percent) * (n[i] + n[y]) // (2 * (100 + percent))
+                differ = np.bitwise_count(sketch[at[i]] ^ sy).sum(1)
+                ok = (c[y] != c[i]) & (doc[y] < doc[i] if x is y else True) & (differ <= most) & (np.abs(n[i] - n[y]) <= most)
+                for j in y[ok].tolist():
+                    pair = (max(int(doc[i]), int(doc[j])), min(int(doc[i]), int(doc[j])))
+                    if pair not in seen:
+                        seen.add(pair)
+                        found.append(pair)
+            if len(found) >= 1 << 16:
+                yield _pairs(found)
+                found = []
+            if len(seen) > 1 << 20:
+                seen.clear()
+        if found:
+            yield _pairs(found)
+
+    return kernel
+
+
+def _pairs(found):
+    d, leader = zip(*found, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(leader, pa.int64())], ["doc", "leader"])
+
+
 def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) of all documents: components of the graph that links documents
     whose shingle sets' intersection is at least ``percent`` per cent of their union."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = staged(texts.mapInArrow(_sign(percent, n), _SIGNED), "signed")
+    full = staged(texts.mapInArrow(_sign(percent, n), _SIGNED), "signed")
+    signed = staged(full.select("doc_id", "n", "head"), "sizes")
     copies = signed.where("doc_id != head").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
-    met = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).repartition("sig").mapInArrow(_meet, "sig long, doc long, leader long")
-    local = signed.where(F.size("shared") > 0).select("doc_id", F.explode(F.arrays_zip("shared", "leaders")).alias("x")).select(F.col("x.shared").alias("sig"), F.col("doc_id").alias("doc"), F.col("x.leaders").alias("leader"))
-    met = staged(met.union(local.where("leader != doc")), "met")
+    met = full.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).repartition("sig").mapInArrow(_meet, "sig long, doc long, leader long")
+    local = full.where(F.size("shared") > 0).select("doc_id", F.explode(F.arrays_zip("shared", "leaders")).alias("x")).select(F.col("x.shared").alias("sig"), F.col("doc_id").alias("doc"), F.col("x.leaders").alias("leader"))
+    met = staged(met.union(local.where("leader != doc")), "met", release=True)
+    unstage(full)
     pairs = staged(met.groupBy("doc", "leader").agg(F.count("*").alias("times")), "pairs")
     if pairs.isEmpty():
         edges = staged(copies, "copies")
         return _result(signed, components(edges))
     nodes = pairs.select("doc").union(pairs.select("leader")).distinct().select(F.col("doc").alias("node"))
-    sets = staged(texts.join(staged(nodes, "nodes"), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(n), "doc_id long, shingles array<long>"), "sets")
+    sets = staged(texts.join(staged(nodes, "nodes"), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(n), "doc_id long, shingles array<long>"), "sets", release=True)
 
     def verified(candidates: DataFrame) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("doc"), F.col("shingles").alias("a"))
@@ -286,11 +365,14 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     member = met.select("sig", "doc").union(met.select("sig", F.col("leader").alias("doc"))).distinct()
     member = member.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
     member = staged(member, "member")
-    wide = staged(member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("sig"), "wide")
-    open_ = staged(member.join(wide, "sig", "left_semi"), "open")
-    left, right = open_.select("sig", F.col("doc").alias("leader"), F.col("c").alias("cl")), open_.select("sig", "doc", F.col("c").alias("cd"))
-    third = left.join(right, "sig").where("cl < cd").select(F.greatest("doc", "leader").alias("doc"), F.least("doc", "leader").alias("leader")).distinct()
-    third = staged(third.join(pairs, ["doc", "leader"], "left_anti"), "third")
+    wide = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo != hi")
+    wide = staged(wide.select("sig", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "wide")
+    sketches = staged(sets.mapInArrow(_sketch, "doc_id long, n long, bits binary"), "sketches")
+    open_ = member.join(wide, "sig").join(sketches, F.col("doc") == F.col("doc_id")).select("sig", "doc", "c", "n", "bits", "blocks")
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc", "sig"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_ = open_.select("sig", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "doc", "c", "n", "bits")
+    third = open_.repartition("sig", "left", "right").mapInArrow(_across(percent), "doc long, leader long").distinct()
+    third = staged(third.join(pairs, ["doc", "leader"], "left_anti"), "third", release=True)
     if not third.isEmpty():
         more = staged(verified(third), "links")
         if not more.isEmpty():

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.staging import staged
+from granary.functions.staging import staged, unstage
 from granary.llm.text import U, grams, mix, ranges, slices, spans_hash, utf8, words
 
 CHUNK = 16 << 20
@@ -289,16 +289,18 @@ def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False) -
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("a"), F.xxhash64("text", F.col("doc_id").isNull()).alias("b")]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *key)
     first = staged(texts.select("text", "a", "b").mapInArrow(_first_level(length, part), _LEVEL), "anchors")
-    alive = staged(_repeated(first), "alive")
+    alive = staged(_repeated(first), "alive", release=True)
+    unstage(first)
     # Level two: extensions to twice the length. A full window around an anchor holds one of the two.
     side = F.explode(F.array(F.col("right"), F.col("left"))).alias("h")
     double = alive.select("a", "b", "at", side).where("h != 0").withColumns({"asks": F.lit(True), "known": F.lit(False), "right": F.lit(0).cast("long"), "left": F.lit(0).cast("long")}).select("h", "asks", "known", "a", "b", "at", "right", "left")
     double = staged(double.mapInArrow(_combine, _LEVEL), "double")
-    alive = staged(_repeated_places(double, "anchors"), "anchored")
+    alive = staged(_repeated_places(double, "anchors"), "anchored", release=True)
+    unstage(double)
     joined = texts.join(alive, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left").select("doc_id", "text", "a", "b", "anchors")
-    full = staged(joined.mapInArrow(_last_level(length, part), _FULL), "full")
+    full = staged(joined.mapInArrow(_last_level(length, part), _FULL), "full", release=True)
     windows = full.where("clean is null").select("a", "b", "hashes", "at").mapInArrow(_ship_full, _LEVEL)
-    hit = staged(_repeated_places(windows, "windows"), "repeated")
+    hit = staged(_repeated_places(windows, "windows"), "repeated", release=True)
     rest = full.where("clean is null").select("doc_id", "text", "a", "b").join(hit, (F.col("a") == F.col("ka")) & (F.col("b") == F.col("kb")), "left")
     cut = rest.select("doc_id", "text", "windows").mapInArrow(_remove(length, with_text), _RESULT)
     clean = full.where("clean is not null").select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.col("clean").alias("kept_sha256"), F.lit(None).cast("string").alias("kept"))
