@@ -28,6 +28,13 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.langid import fit, predict
+
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(remainder(4) == 2, F.lit(False)))
+    return predict(docs, fit(docs, ~F.col("held_out")), ["doc_id", "held_out"])
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -62,6 +69,6 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
-QUERIES = {"op8_substrings": op8_substrings, "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
+QUERIES = {"op5_langid": op5_langid, "op8_substrings": op8_substrings, "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
 
 ORACLE: dict[str, str] = {}
