@@ -51,6 +51,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0, k=10)
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.substrings import remove_repeats
 
@@ -69,6 +75,6 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
-QUERIES = {"op5_langid": op5_langid, "op8_substrings": op8_substrings, "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
+QUERIES = {"op7_ann": op7_ann, "op5_langid": op5_langid, "op8_substrings": op8_substrings, "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
 
 ORACLE: dict[str, str] = {}
