@@ -14,6 +14,13 @@ def remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.lines import dedup
+
+    kept = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "lines_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.caps import link
 
@@ -28,6 +35,12 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.langid import fit, predict
 
@@ -75,6 +88,6 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
-QUERIES = {"op7_ann": op7_ann, "op5_langid": op5_langid, "op8_substrings": op8_substrings, "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
+QUERIES = {"op1_lines": op1_lines, "op4_urls": op4_urls, "op7_ann": op7_ann, "op5_langid": op5_langid, "op8_substrings": op8_substrings, "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
 
 ORACLE: dict[str, str] = {}
