@@ -1,7 +1,7 @@
 """A training corpus from raw documents: language ID, line dedup, near-duplicate documents, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as
-the next stage's docs.
+the next stage's docs. All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,33 +10,53 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.staging import staged
+from granary.llm import langid, lines, mixture, packing, partenum
+from granary.llm.queries import digest_pieces, remainder, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and those whose best language scores below LEAST_SCORE; lang becomes the
+    predicted language where it was null."""
+    train = ~F.coalesce(remainder(4) == 2, F.lit(False))
+    told = langid.predict(docs, langid.fit(docs, train), COLUMNS)
+    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one occurrence of each group of similar lines; a document that loses all its words goes."""
+    kept = lines.dedup(docs.select(*COLUMNS)).where((F.col("lines_removed") == 0) | F.col("kept_text").rlike(mixture.WORD))
+    size = F.when(F.col("lines_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
+
+
+def near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of documents with similar sets of five-word shingles (0.8 or more)."""
+    groups = partenum.similar(docs, percent=80, n=5).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(groups, "doc_id", "left_semi").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: sources weigh 5, 2, 1, repeating, and share 150% of the words."""
-    from granary.llm.mixture import mix
+    mixed = mixture.mix(docs.select(*COLUMNS)).where("mix_copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int")))).select(*COLUMNS)
 
-    mixed = mix(docs.select(*COLUMNS))
-    copies = F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))
-    return mixed.where("mix_copies > 0").withColumn("_copy", F.explode(copies)).select(*COLUMNS)
 
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: pieces in sequences of at most 2048 tokens."""
-    from granary.llm.packing import pack
-    from granary.llm.queries import digest_pieces, tokenizer_path
-
-    return digest_pieces(pack(docs, tokenizer_path()))
+    return digest_pieces(packing.pack(docs, tokenizer_path()))
 
 
-STAGES = [("mixing", mixing), ("packing", packing)]
-ORACLE_SQL = None  # language ID, differencing and tokenisation have no SQL form; tests/llm holds the stages against brute force
+STAGES = [("language ID", language_id), ("line dedup", line_dedup), ("n-gram Jaccard join", near_documents), ("mixing", mixing), ("packing", pack)]
+#: Language ID, differencing and tokenisation have no SQL form; tests/llm holds the stages against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}".replace(" ", "-"))
+        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"), release=True)
     return STAGES[-1][1](spark, docs, sf_dir)
