@@ -35,8 +35,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group of documents with similar sets of five-word shingles (0.8 or more)."""
-    groups = partenum.similar(docs, percent=80, n=5).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(groups, "doc_id", "left_semi").select(*COLUMNS)
+    others = partenum.similar(docs, percent=80, n=5).where("doc_id != component_id").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
