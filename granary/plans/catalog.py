@@ -5,6 +5,214 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from granary.operators import classify, finance, forecast, history, inventory, suppliers
+from granary.params import Params
+from granary.plans import fixtures
+from granary.plans.fixtures import SQL
+
+P = Params()
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+class Ledgers:
+    """The fixtures of one directory, built lazily."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.pov = fixtures.pov(spark, sf_dir)
+        self.grn = fixtures.grn(self.pov)
+        self.pv = fixtures.pv(self.grn)
+        self.stock = fixtures.stock(spark, sf_dir)
+
+    @property
+    def demand(self) -> DataFrame:
+        return inventory.demand_balance(self.stock, self.grn, P.bucket)
+
+    @property
+    def series(self) -> DataFrame:
+        return forecast.series(self.demand)
+
+    @property
+    def classes(self) -> DataFrame:
+        return classify.sbc_class(self.demand, P)
+
+    @property
+    def abc(self) -> DataFrame:
+        return finance.abc_class(finance.value_by_sku(self.pov), P)
+
+    def lead_by(self, *keys: str) -> DataFrame:
+        return inventory.lead_times(inventory.fifo_match(self.pov, self.grn, list(keys)), list(keys))
+
+
+def _query(f: Callable[[Ledgers], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(Ledgers(spark, sf_dir))
+
+
+def _doubles(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, so that engines with other decimal widths compare."""
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
+def _top(led: Ledgers) -> DataFrame:
+    return suppliers.top_trends(led.demand, P)
+
+
+def _compare(led: Ledgers) -> DataFrame:
+    top = _top(led).select("sku").distinct()
+    return forecast.forecast_compare(led.series.join(top, "sku", "left_semi"), P, ("GLM", "TSB"))
+
+
+QUERIES: dict[str, Query] = {
+    "abc_class": _query(lambda x: _doubles(x.abc.select("sku", "value", "rank", "running", "cumulative_share", "abc"))),
+    "abc_distribution": _query(lambda x: _doubles(finance.abc_distribution(x.abc))),
+    "pareto_curve": _query(lambda x: _doubles(x.abc.select("rank", "sku", "cumulative_share"))),
+    "value_by_sku": _query(lambda x: _doubles(finance.value_by_sku(x.pov))),
+    "fifo_lead_time": _query(lambda x: _doubles(x.lead_by("sku"))),
+    "pending_qty": _query(lambda x: _doubles(inventory.pending(x.pov, x.grn))),
+    "demand_balance": _query(lambda x: _doubles(x.demand)),
+    "unordered_qty": _query(lambda x: _doubles(inventory.sku_metrics(x.pov, x.grn, x.stock, P).select("sku", "unordered_qty"))),
+    "trend_factor": _query(lambda x: _doubles(inventory.trend(x.demand))),
+    "sku_metrics": _query(lambda x: _doubles(inventory.sku_metrics(x.pov, x.grn, x.stock, P))),
+    "sbc_class": _query(lambda x: x.classes.select("sku", "n_periods", "n_demands", "adi", "cv2", "sbc")),
+    "sbc_scatter": _query(lambda x: x.classes.select("sku", "adi", "cv2", "total", "sbc")),
+    "tsb_forecast": _query(lambda x: forecast.tsb(x.series, P)),
+    "glm_forecast": _query(lambda x: forecast.glm(x.series, P)),
+    "rf_forecast": _query(lambda x: forecast.rf(x.series.join(x.classes.where("sbc = 'Smooth'"), "sku", "left_semi"), P)),
+    "forecast_routed": _query(lambda x: forecast.forecast(x.series, x.classes, P)),
+    "forecast_errors": _query(lambda x: forecast.forecast_errors(x.demand, P)),
+    "forecast_compare": _query(_compare),
+    "forecast_compare_all": _query(lambda x: forecast.forecast_compare(x.series.join(_top(x).select("sku").distinct(), "sku", "left_semi"), P)),
+    "supplier_risk": _query(lambda x: _doubles(suppliers.supplier_risk(x.pov, x.grn))),
+    "supplier_clusters": _query(lambda x: suppliers.supplier_clusters(suppliers.supplier_risk(x.pov, x.grn), P)),
+    "top10_trends": _query(lambda x: _doubles(_top(x))),
+    "lead_time_box": _query(lambda x: _doubles(suppliers.lead_time_box(x.lead_by("sku", "vendor")))),
+    "vendor_dedup": lambda spark, sf_dir: suppliers.dedup_vendors(fixtures.messy_vendors(spark, sf_dir)),
+    "historical_data": _query(lambda x: _doubles(history.historical({"pov": x.pov, "grn": x.grn, "pv": x.pv, "stock": x.stock}))),
+}
+
+
+def _fifo(keys: str) -> str:
+    return f"""
+, o AS (SELECT {keys}, order_date, qty, sum(qty) OVER (PARTITION BY {keys} ORDER BY order_date, po, ln, vendor, qty, amount ROWS UNBOUNDED PRECEDING) AS hi FROM pov),
+r AS (SELECT {keys}, receipt_date, qty, sum(qty) OVER (PARTITION BY {keys} ORDER BY receipt_date, po, ln, vendor, qty, amount ROWS UNBOUNDED PRECEDING) AS hi FROM grn),
+matches AS (
+  SELECT {", ".join("o." + k.strip() for k in keys.split(","))}, order_date, receipt_date, least(o.hi, r.hi) - greatest(o.hi - o.qty, r.hi - r.qty) AS matched
+  FROM o JOIN r ON {" AND ".join(f"o.{k.strip()} = r.{k.strip()}" for k in keys.split(","))} AND o.hi - o.qty < r.hi AND r.hi - r.qty < o.hi),
+lead_times AS (
+  SELECT {keys}, CAST(sum(matched) AS DOUBLE) AS matched_qty,
+         round(CAST(CAST(sum(matched * date_diff('day', order_date, receipt_date)) AS DOUBLE) / CAST(sum(matched) AS DOUBLE) AS DOUBLE), 6) AS lead_time_days,
+         CAST(coalesce(sum(matched) FILTER (receipt_date < order_date), 0) AS DOUBLE) AS early_qty
+  FROM matches GROUP BY ALL)"""
+
+
+_ABC = """
+, v AS (SELECT sku, sum(amount) AS value FROM pov GROUP BY sku),
+ranked AS (SELECT sku, value, row_number() OVER w AS rank, sum(value) OVER (w ROWS UNBOUNDED PRECEDING) AS running, sum(value) OVER () AS total FROM v WINDOW w AS (ORDER BY value DESC, sku)),
+abc AS (SELECT *, round(CAST(running AS DOUBLE) / CAST(total AS DOUBLE), 8) AS cumulative_share,
+               CASE WHEN running * 100 <= total * 80 THEN 'A' WHEN running * 100 <= total * 95 THEN 'B' ELSE 'C' END AS abc FROM ranked)"""
+_PENDING = """
+, moves AS (SELECT sku, qty AS ordered, 0 AS received FROM pov UNION ALL SELECT sku, 0, qty FROM grn),
+open_orders AS (SELECT sku, sum(ordered) AS ordered, sum(received) AS received, greatest(sum(ordered) - sum(received), 0) AS pending_qty, greatest(sum(received) - sum(ordered), 0) AS received_without_po FROM moves GROUP BY sku)"""
+_TREND = """
+, sums AS (SELECT sku, count(*) AS n, sum(CAST(t AS DOUBLE)) AS st, sum(CAST(t AS DOUBLE) * t) AS stt, sum(CAST(demand AS DOUBLE)) AS sd, sum(t * CAST(demand AS DOUBLE)) AS std,
+                  CAST(sum(demand) AS DOUBLE) AS total_demand, CAST(sum(negative) AS BIGINT) AS n_negative FROM demand GROUP BY sku),
+trends AS (SELECT sku, total_demand, n_negative, CASE WHEN n * stt - st * st > 0 AND sd > 0 THEN round(((n * std - st * sd) / (n * stt - st * st)) / (sd / n), 6) END AS trend_factor FROM sums)"""
+_METRICS = (
+    SQL
+    + _PENDING
+    + _TREND
+    + _fifo("sku")
+    + """
+, hand AS (SELECT sku, CAST(max_by(qty, t) AS DOUBLE) AS on_hand FROM stock GROUP BY sku),
+metrics AS (
+  SELECT coalesce(p.sku, h.sku, d.sku) AS sku, total_demand, n_negative, on_hand, CAST(pending_qty AS DOUBLE) AS pending_qty, CAST(received_without_po AS DOUBLE) AS received_without_po,
+         greatest(coalesce(total_demand, 0) - coalesce(on_hand, 0) - coalesce(CAST(pending_qty AS DOUBLE), 0), 0.0) AS unordered_qty, lead_time_days, early_qty, trend_factor
+  FROM open_orders p FULL JOIN hand h ON p.sku = h.sku FULL JOIN trends d ON d.sku = coalesce(p.sku, h.sku) LEFT JOIN lead_times l ON l.sku = coalesce(p.sku, h.sku, d.sku))"""
+)
+
+
+def _engines(cut: int, horizon: int) -> str:
+    """TSB and GLM over each item's series without its last ``cut`` periods."""
+    return f"""
+, whole AS (SELECT sku, list(CAST(demand AS DOUBLE) ORDER BY t) AS y FROM demand GROUP BY sku),
+series AS (SELECT sku, y[1:len(y) - {cut}] AS y FROM whole),
+walk AS (
+  SELECT sku, y, 0 AS i, CAST(0.5 AS DOUBLE) AS p, coalesce(list_filter(y, lambda v: v > 0)[1], CAST(0 AS DOUBLE)) AS z FROM series
+  UNION ALL
+  SELECT sku, y, i + 1, p + CAST(0.1 AS DOUBLE) * (CASE WHEN y[i + 1] > 0 THEN 1 ELSE 0 END - p), CASE WHEN y[i + 1] > 0 THEN z + CAST(0.2 AS DOUBLE) * (y[i + 1] - z) ELSE z END
+  FROM walk WHERE i < len(y)),
+tsb AS (SELECT sku, p * z AS f FROM walk WHERE i = len(y)),
+start AS (SELECT sku, y, len(y) AS n, list_sum(y) / len(y) AS mean FROM series),
+fit AS (
+  SELECT sku, y, n, mean, 0 AS i, ln(greatest(mean, 1e-6)) AS b0, CAST(0 AS DOUBLE) AS b1 FROM start
+  UNION ALL
+  SELECT sku, y, n, mean, i + 1,
+         CASE WHEN h0 * h2 - h1 * h1 > 1e-9 THEN b0 + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) ELSE b0 END,
+         CASE WHEN h0 * h2 - h1 * h1 > 1e-9 THEN b1 + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) ELSE b1 END
+  FROM (SELECT *, list_sum(list_transform(m, lambda v, k: y[k] - v)) AS g0, list_sum(list_transform(m, lambda v, k: (k / n) * (y[k] - v))) AS g1, list_sum(m) AS h0,
+               list_sum(list_transform(m, lambda v, k: v * (k / n))) AS h1, list_sum(list_transform(m, lambda v, k: v * (k / n) * (k / n))) AS h2
+        FROM (SELECT *, list_transform(y, lambda v, k: exp(least(greatest(b0 + b1 * (k / n), -20.0), 20.0))) AS m FROM fit WHERE i < 8))),
+horizon AS (SELECT CAST(range AS INTEGER) + 1 AS h FROM range({horizon})),
+tsb_made AS (SELECT sku, 'TSB' AS engine, h, round(f, 4) AS yhat FROM tsb CROSS JOIN horizon),
+glm_made AS (
+  SELECT sku, 'GLM' AS engine, h, round(CASE WHEN n > 1 AND mean > 0 THEN exp(least(greatest(b0 + b1 * ((n + h) / n), -20.0), 20.0)) ELSE mean END, 4) AS yhat
+  FROM fit CROSS JOIN horizon WHERE i = 8)"""
+
+
+_RECURSIVE = SQL.replace("WITH pov", "WITH RECURSIVE pov", 1)
+_TOP = ", top AS (SELECT sku, CAST(sum(demand) AS DOUBLE) AS total FROM demand GROUP BY sku ORDER BY sum(demand) DESC, sku LIMIT 10)"
+_KEY = "regexp_replace(upper(trim(vendor_name)), '[^A-Z0-9]+', '', 'g')"
+
+ORACLE: dict[str, str] = {
+    "abc_class": SQL + _ABC + " SELECT sku, CAST(value AS DOUBLE) AS value, rank, CAST(running AS DOUBLE) AS running, cumulative_share, abc FROM abc",
+    "abc_distribution": SQL + _ABC + " SELECT abc, count(*) AS n_skus, CAST(sum(value) AS DOUBLE) AS value FROM abc GROUP BY abc",
+    "pareto_curve": SQL + _ABC + " SELECT rank, sku, cumulative_share FROM abc",
+    "value_by_sku": SQL + " SELECT sku, CAST(sum(amount) AS DOUBLE) AS value, CAST(sum(qty) AS DOUBLE) AS qty, count(*) AS n_lines FROM pov GROUP BY sku",
+    "fifo_lead_time": SQL + _fifo("sku") + " SELECT sku, matched_qty, lead_time_days, early_qty FROM lead_times",
+    "pending_qty": SQL + _PENDING + " SELECT sku, CAST(ordered AS DOUBLE) AS ordered, CAST(received AS DOUBLE) AS received, CAST(pending_qty AS DOUBLE) AS pending_qty, CAST(received_without_po AS DOUBLE) AS received_without_po FROM open_orders",
+    "demand_balance": SQL + " SELECT sku, t, CAST(demand AS DOUBLE) AS demand, negative FROM demand",
+    "unordered_qty": _METRICS + " SELECT sku, unordered_qty FROM metrics",
+    "trend_factor": SQL + _TREND + " SELECT sku, total_demand, n_negative, trend_factor FROM trends",
+    "sku_metrics": _METRICS + " SELECT * FROM metrics",
+    "sbc_class": SQL + " SELECT sku, n_periods, n_demands, adi, cv2, sbc FROM classes",
+    "sbc_scatter": SQL + " SELECT sku, adi, cv2, total, sbc FROM classes",
+    "tsb_forecast": _RECURSIVE + _engines(0, 4) + " SELECT sku, engine, h, yhat FROM tsb_made",
+    "glm_forecast": _RECURSIVE + _engines(0, 4) + " SELECT sku, engine, h, yhat FROM glm_made",
+    "forecast_errors": _RECURSIVE
+    + _engines(4, 4)
+    + """
+, actual AS (SELECT sku, CAST(t - max(t) OVER (PARTITION BY sku) + 4 AS INTEGER) AS h, CAST(demand AS DOUBLE) AS y FROM demand),
+gaps AS (SELECT m.sku, engine, yhat - y AS gap, y FROM (SELECT * FROM tsb_made UNION ALL SELECT * FROM glm_made) m JOIN actual a ON a.sku = m.sku AND a.h = m.h)
+SELECT sku, engine, round(avg(abs(gap)), 6) AS mae, round(sqrt(avg(gap * gap)), 6) AS rmse, round(avg(gap), 6) AS bias, round(avg(abs(gap) / y) FILTER (y > 0), 6) AS mape FROM gaps GROUP BY ALL""",
+    "forecast_compare": _RECURSIVE + _engines(0, 4) + _TOP + ' SELECT g.sku, g.h, g.yhat AS "GLM", t.yhat AS "TSB" FROM glm_made g JOIN tsb_made t ON g.sku = t.sku AND g.h = t.h WHERE g.sku IN (SELECT sku FROM top)',
+    "supplier_risk": SQL
+    + _fifo("sku, vendor")
+    + """
+, spend AS (SELECT vendor, CAST(sum(amount) AS DOUBLE) AS spend, count(DISTINCT sku) AS n_skus, count(*) AS n_lines, sum(qty) AS ordered FROM pov GROUP BY vendor),
+got AS (SELECT vendor, sum(qty) AS received FROM grn GROUP BY vendor),
+leads AS (SELECT vendor, round(avg(lead_time_days), 4) AS lead_time_mean,
+                 round(sqrt(greatest((count(*) * sum(lead_time_days * lead_time_days) - sum(lead_time_days) * sum(lead_time_days)) / (count(*) * count(*)), 0.0)), 4) AS lead_time_spread
+          FROM lead_times GROUP BY vendor)
+SELECT s.vendor, spend, round(spend / sum(spend) OVER (), 8) AS spend_share, n_skus, n_lines, lead_time_mean, lead_time_spread,
+       round(greatest(CAST(ordered - coalesce(received, 0) AS DOUBLE) / CAST(ordered AS DOUBLE), 0.0), 6) AS pending_ratio
+FROM spend s LEFT JOIN got g ON g.vendor = s.vendor LEFT JOIN leads l ON l.vendor = s.vendor""",
+    "top10_trends": SQL + _TOP + " SELECT d.sku, total, t, CAST(demand AS DOUBLE) AS demand FROM demand d JOIN top ON top.sku = d.sku",
+    "lead_time_box": SQL
+    + _fifo("sku, vendor")
+    + """ SELECT vendor, count(*) AS n, min(lead_time_days) AS low, round(quantile_cont(lead_time_days, 0.25), 4) AS q1, round(quantile_cont(lead_time_days, 0.5), 4) AS median,
+       round(quantile_cont(lead_time_days, 0.75), 4) AS q3, max(lead_time_days) AS high FROM lead_times GROUP BY vendor""",
+    "vendor_dedup": f"""
+WITH spelled AS (
+  SELECT s_suppkey AS vendor_id, v AS spelling, CASE v WHEN 0 THEN s_name WHEN 1 THEN '  ' || lower(s_name) || '.' ELSE replace(s_name, '#', ' - ') END AS vendor_name
+  FROM supplier CROSS JOIN (SELECT unnest([0, 1, 2]) AS v)),
+keyed AS (SELECT *, {_KEY} AS vendor_key FROM spelled)
+SELECT vendor_id, spelling, vendor_name, vendor_key, min(vendor_name) OVER (PARTITION BY vendor_key) AS canonical_name FROM keyed""",
+    "historical_data": SQL
+    + """
+SELECT 'pov' AS ledger, sku, vendor, order_date AS date, CAST(qty AS DOUBLE) AS qty, CAST(amount AS DOUBLE) AS amount FROM pov
+UNION ALL SELECT 'grn', sku, vendor, receipt_date, CAST(qty AS DOUBLE), CAST(amount AS DOUBLE) FROM grn
+UNION ALL SELECT 'pv', sku, vendor, receipt_date + 7, CAST(qty AS DOUBLE), CAST(amount AS DOUBLE) FROM grn
+UNION ALL SELECT 'stock', sku, NULL, CAST(DATE '1995-04-01' + CAST(i * 3 AS INTEGER) * INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE), CAST(qty AS DOUBLE), NULL FROM stock""",
+}
