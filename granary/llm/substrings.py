@@ -139,7 +139,7 @@ def _first_level(length: int, part: int):
     return kernel
 
 
-def _answers(lists: bool):
+def _answers(lists: str = ""):
     """One partition of shipped rows, a hash's rows together: the asking rows whose hash another row has, as
     they are or as lists of positions by text."""
 
@@ -158,7 +158,7 @@ def _answers(lists: bool):
         hit[order] = same
         i = np.flatnonzero(hit & table.column("asks").to_numpy())
         if lists:
-            yield from _by_text(*(table.column(c).to_numpy()[i] for c in ("a", "b", "at")))
+            yield from _by_text(lists, *(table.column(c).to_numpy()[i] for c in ("a", "b", "at")))
             return
         for k in range(0, len(i), 1 << 18):
             yield from table.take(pa.array(i[k : k + (1 << 18)])).combine_chunks().to_batches()
@@ -166,36 +166,37 @@ def _answers(lists: bool):
     return kernel
 
 
-def _by_text(a, b, at):
+def _by_text(name, a, b, at):
     order = np.lexsort((at, b, a))
     a, b, at = a[order], b[order], at[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     start = np.flatnonzero(new)
     if len(start):
-        yield pa.RecordBatch.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.ListArray.from_arrays(pa.array(np.append(start, len(a)).astype(np.int32)), pa.array(at.astype(np.int32)))], ["a", "b", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(a[start]), pa.array(b[start]), pa.ListArray.from_arrays(pa.array(np.append(start, len(a)).astype(np.int32)), pa.array(at.astype(np.int32)))], ["a", "b", name])
 
 
-def _known(batches):
-    for batch in batches:
-        if batch.num_rows:
-            yield from _by_text(*(_column(batch, c).to_numpy() for c in ("a", "b", "at")))
-
+def _known(name: str):
+    def kernel(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield from _by_text(name, *(_column(batch, c).to_numpy() for c in ("a", "b", "at")))
 
-_LISTS = "a long, b long, at array<int>"
+    return kernel
 
 
 def _repeated(shipped: DataFrame) -> DataFrame:
     """Of level rows, those whose window repeats."""
-    asked = shipped.where("not known").drop("known").repartition("h").mapInArrow(_answers(False), _LEVEL.replace("known boolean, ", ""))
+    asked = shipped.where("not known").drop("known").repartition("h").mapInArrow(_answers(), _LEVEL.replace("known boolean, ", ""))
     return asked.drop("asks").union(shipped.where("known").drop("asks", "known"))
 
 
 def _repeated_places(shipped: DataFrame, name: str) -> DataFrame:
     """(ka, kb, name): each text's positions whose window repeats."""
-    asked = shipped.where("not known").drop("known").repartition("h").mapInArrow(_answers(True), _LISTS)
-    lists = asked.union(shipped.where("known").mapInArrow(_known, _LISTS))
-    return lists.groupBy(F.col("a").alias("ka"), F.col("b").alias("kb")).agg(F.flatten(F.collect_list("at")).alias(name))
+    schema = f"a long, b long, {name} array<int>"
+    asked = shipped.where("not known").drop("known").repartition("h").mapInArrow(_answers(name), schema)
+    lists = asked.union(shipped.where("known").mapInArrow(_known(name), schema))
+    return lists.groupBy(F.col("a").alias("ka"), F.col("b").alias("kb")).agg(F.flatten(F.collect_list(name)).alias(name))
 
 
 _FULL = "doc_id long, a long, b long, n_words int, clean string, text string, hashes array<long>, at array<int>"
