@@ -286,8 +286,8 @@ def _across(percent: int):
         o = order
         new[1:] = (sig[o[1:]] != sig[o[:-1]]) | (left[o[1:]] != left[o[:-1]]) | (right[o[1:]] != right[o[:-1]])
         bounds = np.append(np.flatnonzero(new), len(order))
-        seen: set[tuple] = set()
-        found = []
+        near: dict[int, set[int]] = {}  # a pair meets on many signatures; a task returns it once
+        held = 0
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             g = order[a:b]
             x, y = (g, g) if left[g[0]] == right[g[0]] else (g[block[g] == left[g[0]]], g[block[g] == right[g[0]]])
@@ -300,25 +300,20 @@ def _across(percent: int):
                 most = 2 * (100 - percent) * (n[i] + n[y]) // (2 * (100 + percent))
                 differ = np.bitwise_count(sketch[at[i]] ^ sy).sum(1)
                 ok = (c[y] != c[i]) & (doc[y] < doc[i] if x is y else True) & (differ <= most) & (np.abs(n[i] - n[y]) <= most)
-                for j in y[ok].tolist():
-                    pair = (max(int(doc[i]), int(doc[j])), min(int(doc[i]), int(doc[j])))
-                    if pair not in seen:
-                        seen.add(pair)
-                        found.append(pair)
-            if len(found) >= 1 << 16:
-                yield _pairs(found)
-                found = []
-            if len(seen) > 1 << 20:
-                seen.clear()
-        if found:
-            yield _pairs(found)
+                for j in doc[y[ok]].tolist():
+                    near.setdefault(max(int(doc[i]), j), set()).add(min(int(doc[i]), j))
+                    held += 1
+            if held >= 1 << 20:
+                yield _lists_of(near)
+                near, held = {}, 0
+        if near:
+            yield _lists_of(near)
 
     return kernel
 
 
-def _pairs(found):
-    d, leader = zip(*found, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(leader, pa.int64())], ["doc", "leader"])
+def _lists_of(near: dict[int, set[int]]):
+    return pa.RecordBatch.from_arrays([pa.array(list(near), pa.int64()), pa.array([sorted(v) for v in near.values()], pa.list_(pa.int64()))], ["doc", "leaders"])
 
 
 def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
@@ -371,7 +366,8 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     open_ = member.join(wide, "sig").join(sketches, F.col("doc") == F.col("doc_id")).select("sig", "doc", "c", "n", "bits", "blocks")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc", "sig"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("sig", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "doc", "c", "n", "bits")
-    third = open_.repartition("sig", "left", "right").mapInArrow(_across(percent), "doc long, leader long").distinct()
+    third = open_.repartition("sig", "left", "right").mapInArrow(_across(percent), "doc long, leaders array<long>")
+    third = third.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders")).select("doc", F.explode("leaders").alias("leader"))
     third = staged(third.join(pairs, ["doc", "leader"], "left_anti"), "third", release=True)
     if not third.isEmpty():
         more = staged(verified(third), "links")
