@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+COLUMNS = 64  # most columns of a .csv file
 LOOK_AHEAD = 25  # rows searched for a header
 
 
@@ -119,7 +120,9 @@ def _cells(spark: SparkSession, path: str) -> DataFrame:
     """(src_row, cells) of a file, untyped."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        raw = spark.read.option("header", False).option("ignoreLeadingWhiteSpace", True).csv(path)
+        # Padding rows may be narrower than the table, so the width is not taken from the first row.
+        wide = ", ".join(f"c{i} string" for i in range(COLUMNS))
+        raw = spark.read.schema(wide).option("header", False).option("ignoreLeadingWhiteSpace", True).csv(path)
         return raw.select(F.monotonically_increasing_id().alias("src_row"), F.array(*raw.columns).alias("cells"))
     if kind == "xlsx":
         from granary.sources.xlsx import read_rows
