@@ -120,7 +120,7 @@ def _first_level(length: int, part: int):
                 _, _, _, first, h = _words(_column(p, "text"))
                 at = anchors(h, first, length, part)
                 if len(at):
-                    double = 2 * part
+                    double = min(2 * part, length)
                     doc = np.searchsorted(first, at, "right") - 1
                     g, e = grams(h, part)[at], grams(h, double)
                     right, left = np.zeros(len(at), U), np.zeros(len(at), U)
