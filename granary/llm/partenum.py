@@ -144,7 +144,7 @@ def signatures(g: np.ndarray, off: np.ndarray, owner: np.ndarray, percent: int)
     return np.concatenate(docs), np.concatenate(sigs)
 
 
-_SIGNED = "doc_id long, n long, head long, sigs array<long>, shared array<long>, leaders array<long>"
+_SIGNED = "doc_id long, n long, head long, bits binary, sigs array<long>, shared array<long>, leaders array<long>"
 
 
 def _lists(rows: np.ndarray, n: int, values: np.ndarray) -> pa.ListArray:
@@ -157,10 +157,11 @@ def _sign(percent: int, n: int):
         ids: list = []
         sizes: list = []
         first: list = []
+        sketches: list = []
         docs, sigs, held = [], [], 0
 
         def flush():
-            nonlocal ids, sizes, first, docs, sigs, held
+            nonlocal ids, sizes, first, sketches, docs, sigs, held
             d, s = np.concatenate([np.zeros(0, np.int64), *docs]), np.concatenate([np.zeros(0, U), *sigs])
             order = np.lexsort((d, s))
             d, s = d[order], s[order]
@@ -177,10 +178,10 @@ def _sign(percent: int, n: int):
                 return _lists(rows[o], len(ids), values[keep][o])
 
             out = pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), by_doc(new, s.view(np.int64)), by_doc(again, s.view(np.int64)), by_doc(again, node[leader] if len(s) else node[:0])],
-                ["doc_id", "n", "head", "sigs", "shared", "leaders"],
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(sketches, pa.binary()), by_doc(new, s.view(np.int64)), by_doc(again, s.view(np.int64)), by_doc(again, node[leader] if len(s) else node[:0])],
+                ["doc_id", "n", "head", "bits", "sigs", "shared", "leaders"],
             )
-            ids, sizes, first, docs, sigs, held = [], [], [], [], [], 0
+            ids, sizes, first, sketches, docs, sigs, held = [], [], [], [], [], [], 0
             return out
 
         for batch in batches:
@@ -199,6 +200,7 @@ def _sign(percent: int, n: int):
                         head = heads.setdefault((*key, k), doc)
                         rep[i] = head == doc
                     first.append(head)
+                    sketches.append(sketch(g[off[i] : off[i + 1]]) if rep[i] else None)
                 keep = rep[owner]
                 d, s = signatures(g[keep], np.searchsorted(owner[keep], np.arange(len(own) + 1)), owner[keep], percent)
                 docs.append(d + len(ids))
@@ -246,19 +248,30 @@ def _sets(n: int):
     return kernel
 
 
-def _sketch(batches):
-    """Each set's parities: bit i tells whether an odd number of elements hash to i. Sets that differ in h
+def sketch(v: np.ndarray) -> bytes:
+    """A set's parities: bit i tells whether an odd number of elements hash to i. Sets that differ in h
     elements differ in at most h bits, so more differing bits than h rule a pair out, surely."""
-    for batch in batches:
-        ids, sizes, bits = [], [], []
-        for doc, x in zip(_column(batch, "doc_id").to_pylist(), _column(batch, "shingles"), strict=True):
-            v = x.values.to_numpy().view(U)
-            width = min(4096, max(512, 1 << int(2 * len(v)).bit_length()))
-            odd = np.bincount((mix(v) % U(width)).astype(np.int64), minlength=width) & 1
-            ids.append(doc)
-            sizes.append(len(v))
-            bits.append(np.packbits(odd.astype(bool), bitorder="little").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "bits"])
+    width = min(4096, max(512, 1 << int(2 * len(v)).bit_length()))
+    odd = np.bincount((mix(v) % U(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def _possible(percent: int):
+    """Candidate pairs that sizes and sketches do not rule out."""
+
+    def kernel(batches):
+        for batch in batches:
+            n, m = _column(batch, "n").to_numpy(), _column(batch, "m").to_numpy()
+            most = (100 - percent) * (n + m) // (100 + percent)
+            ok = np.abs(n - m) <= most
+            x, y = _column(batch, "x").to_pylist(), _column(batch, "y").to_pylist()
+            for i in np.flatnonzero(ok).tolist():
+                p, q = _folded([x[i], y[i]])
+                ok[i] = np.bitwise_count(p ^ q).sum() <= most[i]
+            i = pa.array(np.flatnonzero(ok))
+            yield batch.select(["doc", "leader", "times"]).take(i)
+
+    return kernel
 
 
 def _folded(bits: list[bytes]) -> np.ndarray:
@@ -321,29 +334,35 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     whose shingle sets' intersection is at least ``percent`` per cent of their union."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     full = staged(texts.mapInArrow(_sign(percent, n), _SIGNED), "signed")
-    signed = staged(full.select("doc_id", "n", "head"), "sizes")
+    signed = staged(full.select("doc_id", "n", "head", "bits"), "sizes")
     copies = signed.where("doc_id != head").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
     met = full.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).repartition("sig").mapInArrow(_meet, "sig long, doc long, leader long")
     local = full.where(F.size("shared") > 0).select("doc_id", F.explode(F.arrays_zip("shared", "leaders")).alias("x")).select(F.col("x.shared").alias("sig"), F.col("doc_id").alias("doc"), F.col("x.leaders").alias("leader"))
     met = staged(met.union(local.where("leader != doc")), "met", release=True)
     unstage(full)
-    pairs = staged(met.groupBy("doc", "leader").agg(F.count("*").alias("times")), "pairs")
-    if pairs.isEmpty():
-        edges = staged(copies, "copies")
-        return _result(signed, components(edges))
-    nodes = pairs.select("doc").union(pairs.select("leader")).distinct().select(F.col("doc").alias("node"))
-    sets = staged(texts.join(staged(nodes, "nodes"), F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_sets(n), "doc_id long, shingles array<long>"), "sets", release=True)
-
-    def verified(candidates: DataFrame) -> DataFrame:
+    sketches = signed.where("bits is not null").select("doc_id", "n", "bits")
+    x = sketches.select(F.col("doc_id").alias("doc"), "n", F.col("bits").alias("x"))
+    y = sketches.select(F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("y"))
+    pairs = met.groupBy("doc", "leader").agg(F.count("*").alias("times")).join(x, "doc").join(y, "leader")
+    pairs = pairs.select("doc", "leader", "times", "n", "m", "x", "y").mapInArrow(_possible(percent), "doc long, leader long, times long")
+    pairs = staged(pairs.groupBy("doc", "leader").agg(F.max("times").alias("times")), "pairs", release=True)
+
+    def sets_of(candidates: DataFrame) -> DataFrame:
+        nodes = candidates.select(F.explode(F.array("doc", "leader")).alias("node")).distinct()
+        asked = texts.join(staged(nodes, "nodes"), F.col("doc_id") == F.col("node"), "left_semi")
+        return staged(asked.mapInArrow(_sets(n), "doc_id long, shingles array<long>"), "sets", release=True)
+
+    def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("doc"), F.col("shingles").alias("a"))
         b = sets.select(F.col("doc_id").alias("leader"), F.col("shingles").alias("b"))
         both = F.size(F.array_intersect("a", "b"))
         kept = candidates.select("doc", "leader").join(a, "doc").join(b, "leader").withColumn("both", both)
         return kept.where(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent).select(F.col("doc").alias("u"), F.col("leader").alias("v"))
 
+    sets = sets_of(pairs)
     best = pairs.groupBy("doc").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
     best = staged(best, "best")
-    edges = staged(copies.union(verified(best)), "links")
+    edges = staged(copies.union(verified(best, sets)), "links")
     comp = staged(components(edges), "components")
 
     def apart(candidates: DataFrame) -> DataFrame:
@@ -354,7 +373,7 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
 
     second = staged(apart(pairs.select("doc", "leader").join(best, ["doc", "leader"], "left_anti")), "second")
     if not second.isEmpty():
-        edges = staged(edges.union(verified(second)), "links")
+        edges = staged(edges.union(verified(second, sets)), "links")
         comp = staged(components(edges), "components")
     # Signatures whose documents still lie in several components: pairs of others than the leader.
     member = met.select("sig", "doc").union(met.select("sig", F.col("leader").alias("doc"))).distinct()
@@ -362,7 +381,6 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     member = staged(member, "member")
     wide = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo != hi")
     wide = staged(wide.select("sig", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "wide")
-    sketches = staged(sets.mapInArrow(_sketch, "doc_id long, n long, bits binary"), "sketches")
     open_ = member.join(wide, "sig").join(sketches, F.col("doc") == F.col("doc_id")).select("sig", "doc", "c", "n", "bits", "blocks")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc", "sig"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("sig", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "doc", "c", "n", "bits")
@@ -370,7 +388,7 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     third = third.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders")).select("doc", F.explode("leaders").alias("leader"))
     third = staged(third.join(pairs, ["doc", "leader"], "left_anti"), "third", release=True)
     if not third.isEmpty():
-        more = staged(verified(third), "links")
+        more = staged(verified(third, sets_of(third)), "links")
         if not more.isEmpty():
             comp = staged(components(edges.union(more)), "components")
     return _result(signed, comp)
