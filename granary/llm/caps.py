@@ -172,7 +172,7 @@ def link(rows: DataFrame, vec_id: str, embedding: str, label: str, least: float
     base = rows.select(F.col(vec_id).alias("node"), F.col(label).cast("string").alias("label"), v.alias("v"), F.coalesce(usable, F.lit(False)).alias("usable"))
     kinds = base.where("usable and node is not null")
     groups = staged(kinds.groupBy("label", "v").agg(F.min("node").alias("least"), F.count("*").alias("copies")), "vectors")
-    dims = [r[0] for r in groups.select(F.size("v").alias("d")).distinct().orderBy("d").limit(64).collect()]
+    dims = [r[0] for r in groups.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
     counted, edges = [], []
     for dim in dims:
         own = groups.where(F.size("v") == dim).select(F.col("least").alias("node"), "label", "copies", "v")
