@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.staging import staged
 from granary.llm.cluster import components
+from granary.llm.text import ranges
 
 PARTS = 3
 SLACK = 0.35
@@ -107,57 +108,92 @@ def _decode_kernel(dim: int, size: int, seed: int, slack: float):
     return kernel
 
 
+def _whole_groups(batches):
+    """Sorted batches, cut so that each holds whole groups of equal (label, filter, left, right), and the groups' bounds."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, bool)
+        for name in ("label", "filter", "left", "right"):
+            c = _column(batch, name)
+            c = (c.dictionary_encode().indices if name == "label" else c).to_numpy(zero_copy_only=False)
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.append(0, np.flatnonzero(new))
+        held = batch.slice(starts[-1])  # two blocks at most
+        if starts[-1]:
+            yield batch.slice(0, starts[-1]), starts
+    if held is not None and held.num_rows:
+        yield held, np.array([0, held.num_rows])
+
+
+def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The root of each of n nodes under the links (i, j)."""
+    root = np.arange(n)
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    best = np.arange(n)
+    np.minimum.at(best, np.maximum(i, j), np.minimum(i, j))
+    for k in np.flatnonzero(best != np.arange(n)).tolist():
+        root[find(k)] = find(int(best[k]))
+    ri = np.array([find(k) for k in range(n)])
+    for p, q in zip(*(z[ri[i] != ri[j]].tolist() for z in (i, j)), strict=True):
+        root[find(p)] = find(q)
+    return np.array([find(k) for k in range(n)], np.int64)
+
+
 def _compare(dim: int, least: float):
-    def kernel(key, table):
-        own, left, right = key[1].as_py(), key[2].as_py(), key[3].as_py()
-        node = table.column("node").to_numpy()
-        copies = table.column("copies").to_numpy()
-        side = table.column("block").to_numpy()
-        x = unit(matrix(table.column("v"), dim))
-        lists = table.column("filters").combine_chunks()
-        off = lists.offsets.to_numpy()
-        off = off - off[0]
-        flat = lists.flatten().to_numpy()
-        a, b = np.flatnonzero(side == left), np.flatnonzero(side == right)
-        near = x[a] @ x[b].T >= least - 1e-9
-        i, j = np.nonzero(near)
-        if left == right:
-            i, j = i[i < j], j[i < j]
-        i, j = a[i], b[j]
-        sure = (x[i] * x[j]).sum(1) >= least
-        i, j = i[sure], j[sure]
-        # Count a pair in the smallest filter that both vectors have.
-        low = flat < own
-        where = np.repeat(np.arange(len(node)), np.diff(off))[low]
-        names, which = np.unique(flat[low], return_inverse=True)
-        if len(names):
-            has = np.zeros((len(node), len(names)), np.float32)
-            has[where, which] = 1
-            shared = has @ has.T
-            first = shared[i, j] == 0
-        else:
-            first = np.ones(len(i), bool)
-        links = np.bincount(i[first], copies[j[first]], len(node)) + np.bincount(j[first], copies[i[first]], len(node))
-        # A spanning forest of this block's links.
-        root = np.arange(len(node))
-
-        def find(k):
-            while root[k] != k:
-                root[k] = root[root[k]]
-                k = root[k]
-            return k
-
-        if len(i):
-            best = np.arange(len(node))
-            np.minimum.at(best, np.maximum(i, j), np.minimum(i, j))
-            for k in np.flatnonzero(best != np.arange(len(node))).tolist():
-                root[find(k)] = find(int(best[k]))
-            ri = np.array([find(k) for k in range(len(node))])
-            for p, q in zip(*(z[ri[i] != ri[j]].tolist() for z in (i, j)), strict=True):
-                root[find(p)] = find(q)
-        ri = np.array([find(k) for k in range(len(node))], np.int64)
-        out = (links > 0) | (ri != np.arange(len(node)))
-        return pa.table({"node": node[out], "other": node[ri[out]], "links": links[out].astype(np.int64)})
+    """Links of groups (a filter's block with itself or another) that come sorted; most groups hold none and end
+    after one product, so a group costs microseconds, not a call from the JVM."""
+
+    def kernel(batches):
+        for batch, bounds in _whole_groups(batches):
+            node, copies, side = (_column(batch, c).to_numpy() for c in ("node", "copies", "block"))
+            filters, left, right = (_column(batch, c).to_numpy() for c in ("filter", "left", "right"))
+            x = unit(matrix(_column(batch, "v"), dim))
+            lists = _column(batch, "filters")
+            off, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            off = off - off[0]
+            found = []
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                if e - s < 2:
+                    continue
+                if left[s] == right[s]:
+                    i, j = np.nonzero(x[s:e] @ x[s:e].T >= least - 1e-9)
+                    up = i < j
+                    i, j = i[up], j[up]
+                else:
+                    a, b = np.flatnonzero(side[s:e] == left[s]), np.flatnonzero(side[s:e] == right[s])
+                    i, j = np.nonzero(x[s + a] @ x[s + b].T >= least - 1e-9)
+                    i, j = a[i], b[j]
+                if len(i):
+                    sure = (x[s + i] * x[s + j]).sum(1) >= least
+                    i, j = i[sure], j[sure]
+                if not len(i):
+                    continue
+                # Count a pair in the smallest filter that both vectors have. Only linked rows matter from here.
+                rows, which = np.unique(np.concatenate([i, j]), return_inverse=True)
+                i, j = which[: len(i)], which[len(i) :]
+                size = off[s + rows + 1] - off[s + rows]
+                mine = flat[ranges(off[s + rows], size)]
+                low = mine < filters[s]
+                names, name = np.unique(mine[low], return_inverse=True)
+                has = np.zeros((len(rows), len(names)), np.float32)
+                has[np.repeat(np.arange(len(rows)), size)[low], name] = 1
+                first = (has @ has.T)[i, j] == 0
+                n, times = len(rows), copies[s + rows]
+                links = np.bincount(i[first], times[j[first]], n) + np.bincount(j[first], times[i[first]], n)
+                root = _forest(n, i, j)
+                out = (links > 0) | (root != np.arange(n))
+                found.append((node[s + rows[out]], node[s + rows[root[out]]], links[out].astype(np.int64)))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["node", "other", "links"])
 
     return kernel
 
@@ -186,7 +222,9 @@ def link(rows: DataFrame, vec_id: str, embedding: str, label: str, least: float
         block = F.pmod(F.xxhash64("node", "filter"), F.col("blocks")).cast("int")
         dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumns({"left": F.least("block", "with"), "right": F.greatest("block", "with")})
-        found = dealt.select("label", "filter", "left", "right", "node", "copies", "block", "v", "filters").groupBy("label", "filter", "left", "right").applyInArrow(_compare(dim, least), "node long, other long, links long")
+        group = ["label", "filter", "left", "right"]
+        dealt = dealt.select(*group, "node", "copies", "block", "v", "filters").repartition(*group).sortWithinPartitions(*group)
+        found = dealt.mapInArrow(_compare(dim, least), "node long, other long, links long")
         found = staged(found, "links")
         counted.append(found.groupBy("node").agg(F.sum("links").alias("links")))
         edges.append(found.where("node != other").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct())
