@@ -215,10 +215,16 @@ def link(rows: DataFrame, vec_id: str, embedding: str, label: str, least: float
         n = own.count()
         k = min(MOST, size or max(4, round((10 * n) ** (1 / PARTS))))
         slack = (2 if dim < 16 else SLACK) * float(np.sqrt(2 - 2 * least))
-        decoded = staged(own.mapInArrow(_decode_kernel(dim, k, seed, slack), f"node long, label string, copies long, v {kind}, filters array<int>"), "decoded")
-        dealt = decoded.select("*", F.explode("filters").alias("filter"))
-        per = dealt.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1").select(F.col("label").alias("l"), F.col("filter").alias("f"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        dealt = dealt.join(staged(per, "filters"), (F.col("label") == F.col("l")) & (F.col("filter") == F.col("f")))
+        decoded = own.mapInArrow(_decode_kernel(dim, k, seed, slack), f"node long, label string, copies long, v {kind}, filters array<int>")
+        decoded = staged(decoded.withColumn("uid", F.monotonically_increasing_id()), "decoded")
+        # Which filters another vector has is settled on ids; the vectors are dealt once, to those filters only.
+        slim = decoded.select("uid", "label", F.explode("filters").alias("filter"))
+        per = slim.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1").select(F.col("label").alias("l"), F.col("filter").alias("f"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        slim = slim.join(staged(per, "filters"), (F.col("label") == F.col("l")) & (F.col("filter") == F.col("f")))
+        live = slim.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("filter", "blocks"))).alias("live"))
+        dealt = decoded.drop("filters").join(staged(live, "live"), "uid").select("node", "label", "copies", "v", "live", F.posexplode("live").alias("at", "own"))
+        below = F.slice(F.col("live.filter"), F.lit(1), F.col("at"))  # a pair counts in the smallest filter it shares
+        dealt = dealt.select("node", "label", "copies", "v", F.col("own.filter").alias("filter"), F.col("own.blocks").alias("blocks"), below.alias("filters"))
         block = F.pmod(F.xxhash64("node", "filter"), F.col("blocks")).cast("int")
         dealt = dealt.withColumn("block", block).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.withColumns({"left": F.least("block", "with"), "right": F.greatest("block", "with")})
