@@ -128,6 +128,40 @@ def test_similar_lines(spark):
     assert got[21].lines_removed == 0 and (got[22].lines_removed, got[22].kept_text) == (2, "")
 
 
+def test_lines_within_the_radius_always_meet():
+    """Every pair within BITS, spread over the blocks at its worst or not, is found; planted at all distances."""
+    from granary.llm.text import U
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.int64).astype(U)
+    base[:200] = base[0] ^ (base[:200] & U(0xFFFF))  # a crowded part, so that groups are split
+    near = base.copy()
+    for i in range(400):
+        for b in rng.permutation(64)[: i % 13]:
+            near[i] ^= U(1) << U(int(b))
+    sim = np.unique(np.concatenate([base, near]))
+    want = {(i, j) for i in range(len(sim)) for j in range(i) if int(sim[i] ^ sim[j]).bit_count() <= lines.BITS}
+    found = set()
+    for k, (start, width) in enumerate(lines.BLOCKS[: lines.BITS + 1]):
+        key = (k << 32) | ((sim >> U(start)) & U((1 << width) - 1)).astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        for x, y in lines._by_block(key[order], sim[order]):
+            found |= {(max(p), min(p)) for p in zip(order[x].tolist(), order[y].tolist(), strict=True)}
+    assert found == want and len(want) > 200
+
+
+def test_lines_with_one_changed_word_of_forty(spark):
+    """59 of the 60 pairs lie within 8 bits, 27 within 3."""
+    from tests.llm.conftest import words
+
+    texts = []
+    for k in range(60):
+        w = words(500 + k, 40).split()
+        texts += [" ".join(w), " ".join("other" if j == k % 40 else x for j, x in enumerate(w))]
+    got = lines.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(r.lines_removed for r in got) >= 50
+
+
 def test_distance_by_dynamic_programming():
     import random
 
