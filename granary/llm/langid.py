@@ -119,11 +119,12 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
         return None
     place = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     quota = TRAIN_TEXTS / len(langs)
-    share = F.create_map(*[F.lit(v) for r in langs for v in (r[lang], min(1.0, 1.2 * quota / r["n"]))])
-    picked = has.where(place < F.element_at(share, F.col(lang))) if len(langs) else has
+    share = F.element_at(F.create_map(*[F.lit(v) for r in langs for v in (r[lang], min(1.0, 1.2 * quota / r["n"]))]), F.col(lang))
+    picked = has.where(place < share)
     start = [F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(F.length(text) - WINDOW // 2, F.lit(1))).cast("int") + 1 for i in range(WINDOWS)]
     cut = [F.substring(F.col(text), s, F.lit(WINDOW)).alias(f"w{i}") for i, s in enumerate(start)]
-    sample = picked.select(lang, place.alias("place"), *cut).orderBy("place").limit(TRAIN_TEXTS).collect()
+    # The place within the language's share, so that the limit cuts all languages alike.
+    sample = picked.select(lang, (place / share).alias("place"), *cut).orderBy("place").limit(TRAIN_TEXTS).collect()
     names = sorted({r[lang] for r in sample})
     rng = np.random.default_rng(5)
     rows, labels = [], []

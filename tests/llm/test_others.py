@@ -114,6 +114,15 @@ def test_language_id_odd_rows(spark, odd_docs, no_docs):
     assert {r.lang_pred for r in langid.predict(odd_docs, None, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_sample_keeps_rare_languages(spark, monkeypatch):
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit("some words of a text").alias("text"), F.when(F.col("id") < 20, "rare").otherwise(F.concat(F.lit("l"), F.col("id") % 8)).alias("lang"))
+    seen = {}
+    monkeypatch.setattr(langid.Network, "fit", lambda self, x, y: seen.update(zip(self.languages, np.bincount(y).tolist(), strict=True)))
+    langid.fit(rows, F.lit(True))
+    assert seen["rare"] >= 12 * langid.WINDOWS
+    assert min(n for k, n in seen.items() if k != "rare") >= 250 * langid.WINDOWS
+
+
 def test_gradients_by_differences():
     n = langid.Network(["a", "b", "c"])
     rng = np.random.default_rng(2)
