@@ -24,6 +24,7 @@ def analyse(pov: DataFrame, grn: DataFrame, stock: DataFrame, pv: DataFrame | No
         "sbc_data": classes,
         "sku_metrics": inventory.sku_metrics(pov, grn, stock, p),
         "forecast": forecast.forecast(forecast.series(demand), classes, p),
+        "forecast_errors": forecast.forecast_errors(demand, p, forecast.ENGINES),
     }
 
 

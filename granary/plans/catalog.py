@@ -82,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "rf_forecast": _query(lambda x: forecast.rf(x.series.join(x.classes.where("sbc = 'Smooth'"), "sku", "left_semi"), P)),
     "forecast_routed": _query(lambda x: forecast.forecast(x.series, x.classes, P)),
     "forecast_errors": _query(lambda x: forecast.forecast_errors(x.demand, P)),
+    "forecast_errors_all": _query(lambda x: forecast.forecast_errors(x.demand, P, forecast.ENGINES)),
     "forecast_compare": _query(_compare),
     "forecast_compare_all": _query(lambda x: forecast.forecast_compare(x.series.join(_top(x).select("sku").distinct(), "sku", "left_semi"), P)),
     "supplier_risk": _query(lambda x: _doubles(suppliers.supplier_risk(x.pov, x.grn))),

@@ -83,6 +83,29 @@ def test_forest_follows_a_pattern():
     assert out[0] < 4 < 6 < out[1]
 
 
+def test_errors_of_all_engines_by_hand(spark):
+    # Four points are too few for the forest, which forecasts their mean, 5; the gaps are 0, -2, 2 and 5.
+    demand = spark.createDataFrame([("A", t, y) for t, y in enumerate([2, 4, 6, 8, 5, 7, 3, 0])], "sku string, t int, demand int")
+    got = {r.engine: r for r in forecast.forecast_errors(demand, Params(), forecast.ENGINES).collect()}
+    assert set(got) == {"RF", "GLM", "TSB"}
+    assert (got["RF"].mae, got["RF"].rmse, got["RF"].bias, got["RF"].mape) == (2.25, 2.872281, 1.25, 0.31746)
+
+
+def test_errors_of_all_engines_are_returned(spark):
+    import os
+
+    from granary.api import analyse
+    from granary.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("needs the test tables")
+    x = catalog.Ledgers(spark, sf)
+    got = analyse(x.pov, x.grn, x.stock, p=catalog.P)["forecast_errors"].collect()
+    assert {r.engine for r in got} == {"RF", "GLM", "TSB"} and len({(r.sku, r.engine) for r in got}) == len(got) == 3 * len({r.sku for r in got})
+    assert sorted(got) == sorted(catalog.QUERIES["forecast_errors_all"](spark, sf).collect())
+
+
 def test_vendor_key_is_idempotent(spark):
     v = spark.createDataFrame([("  Acme, Ltd. ",), ("ACME LTD",), ("acme-ltd",), (None,)], "vendor_name string")
     got = suppliers.dedup_vendors(v).select("vendor_key").distinct().collect()
