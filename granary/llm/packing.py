@@ -8,17 +8,22 @@ one with the smallest of the other, until one is left. If its largest window exc
 window count rises and the group is split anew. There is no shuffle, so no key can be hot, memory is one
 group's, and a lost task repeats its own input split only.
 
-Words repeat, so each worker keeps the ids of the words it has seen (at most ``CACHE`` of them) and a batch
-is assembled with array gathers. Text may be divided before an ASCII white-space byte that follows
-a character other than white space: no pre-token spans such a place, so the ids are those of the whole text.
-
-Edge cases: null and empty texts hold the end id alone; rows that repeat are packed once each; an empty
-table gives no pieces; extra columns are ignored.
+All ids are the library's own. A byte-level BPE file without a normaliser lets a text be divided before an ASCII
+white-space byte that follows a character other than white space: no pre-token and no added token spans such a
+place, so the ids of the spans, one after another, are those of the whole text. Spans repeat, so a task keeps the
+ids of those it has seen, as arrays of at most CACHE bytes, and gives them up when it ends; spans over LONG bytes
+are encoded anew each time. Under any other kind of file whole texts are encoded.
+
+Edge cases: null and empty texts hold the end id alone; an added token written out in a text gets its id, as in the
+library; a very long text is cut into many whole windows, and one without white space is a single span, which is
+not kept; rows that repeat are packed once each; an empty table gives no pieces; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -26,100 +31,108 @@ from pyspark.sql import DataFrame
 
 from granary.llm.text import SPACE, U, ranges, slices, spans_hash, utf8
 
-CACHE = 1_000_000
+CACHE = 32 << 20
+LONG = 64
+SLICE = 1 << 20  # bytes of text encoded at once
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""  # fixed: the byte-level BPE's pre-token pattern
-_words: dict[str, Words] = {}
+_open: dict[str, Encoder] = {}
 
 
-class Words:
-    """Ids of words under a byte-level BPE file of the tokenizers library."""
+class Encoder:
+    """A tokenizers file, and the ids of spans seen so far."""
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
-        self.pattern = regex.compile(_PATTERN)
-        # The byte alphabet: printable Latin-1 stands for itself, every other byte for the next character from 256.
-        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-        other = iter(range(256, 512))
-        self.alphabet = {b: b if b in plain else next(other) for b in range(256)}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        known = json.loads(self.tokenizer.to_str())
+        pre = known["pre_tokenizer"] or {}
+        plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        added = known["added_tokens"] or []
+        whole = any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in added)
+        self.divides = bool(plain and known["normalizer"] is None and not whole)
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[int, int] = {}
-        self.tokens: dict[str, list[int]] = {}
-        self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in self.pattern.findall(text):
-            ids = self.tokens.get(piece)
-            if ids is None:
-                mapped = piece.encode().decode("latin-1").translate(self.alphabet)
-                ids = [t.id for t in self.model.tokenize(mapped)]
-                if len(self.tokens) >= CACHE // 4:
-                    self.tokens.clear()
-                self.tokens[piece] = ids
-            out += ids
-        return out
-
-    def add(self, key: int, text: str) -> None:
-        ids, n = self.encode(text), len(self.row)
-        if n == len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * n), np.resize(self.length, 2 * n)
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.start[n], self.length[n] = self.used, len(ids)
-        self.used += len(ids)
-        self.row[key] = n
-
-    def batch(self, column, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, each closed by ``end``, and the offsets of the texts in them."""
-        data, off = utf8(column)
-        n = len(off) - 1
+        self.keys, self.used = np.zeros(0, U), np.zeros(0, bool)
+        self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and each one's number of ids."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        length = np.fromiter(map(len, lists), np.int32, len(lists))
+        ids = np.fromiter((x for one in lists for x in one), np.uint32, int(length.sum()))
+        return ids, length
+
+    def spans(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the spans that may be encoded apart."""
+        if not len(data):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         cut = np.zeros(len(data) + 1, bool)
-        if len(data):
+        if self.divides:
             space = SPACE[data]
             cut[1:-1] = space[1:] & ~space[:-1]
             # A character of two or three bytes before it may be other white space: leave those places whole.
             wide = np.flatnonzero(cut[:-1] & np.concatenate([[False], data[:-1] >= 0x80]))
             odd = (data[wide - 2] == 0xC2) | ((wide >= 3) & np.isin(data[wide - 3], (0xE1, 0xE2, 0xE3)))
             cut[wide[odd]] = False
-            cut[off[:-1]] = True
-            cut[len(data)] = False
+        cut[off[:-1]] = True
+        cut[len(data)] = False
         s = np.flatnonzero(cut)
-        e = np.append(s[1:], len(data))
-        if not len(data):
-            s = e = np.zeros(0, np.int64)
+        return s, np.append(s[1:], len(data))
+
+    def batch(self, column, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each closed by ``end``, and the offsets of the texts in them."""
+        data, off = utf8(column)
+        s, e = self.spans(data, off)
         keys, first, which = np.unique(spans_hash(data, s, e), return_index=True, return_inverse=True)
-        if len(self.row) + len(keys) > CACHE:
-            self.clear()
-        known = keys.tolist()
-        raw = data.tobytes()
-        for k, i in zip(known, first.tolist(), strict=True):
-            if k not in self.row:
-                self.add(k, raw[s[i] : e[i]].decode("utf-8", "replace"))
-        rows = np.fromiter(map(self.row.__getitem__, known), np.int64, len(known))[which]
-        per_span = self.length[rows]
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        raw, new = data.tobytes(), np.flatnonzero(~known)
+        texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
+        ids, size = self.encode(texts) if texts else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
+        # The batch's ids by distinct span: kept ones, then new ones.
+        start, length = np.empty(len(keys), np.int64), np.empty(len(keys), np.int32)
+        start[known], length[known] = self.start[at[known]], self.length[at[known]]
+        start[new], length[new] = len(self.ids) + np.cumsum(size) - size, size
+        pool = np.concatenate([self.ids, ids])
+        per_span = length[which].astype(np.int64)
         # A text's ids, then its end: room for one more id after each text.
-        bounds = np.searchsorted(s, off)
+        n = len(off) - 1
         total = np.zeros(len(s) + 1, np.int64)
         np.cumsum(per_span, out=total[1:])
-        tokens = total[bounds]
-        doc_off = tokens + np.arange(n + 1)
+        doc_off = total[np.searchsorted(s, off)] + np.arange(n + 1)
         out = np.full(int(doc_off[-1]), end, np.uint32)
         place = np.ones(len(out), bool)
         place[doc_off[1:] - 1] = False
-        out[place] = self.ids[ranges(self.start[rows], per_span)]
+        out[place] = pool[ranges(start[which], per_span)]
+        self.used[at[known]] = True
+        short = new[(e - s)[first[new]] <= LONG]
+        self.keep(keys[short], start[short], length[short], pool)
         return out, doc_off
 
+    def keep(self, keys: np.ndarray, start: np.ndarray, length: np.ndarray, pool: np.ndarray) -> None:
+        """Adds spans; when CACHE is full, those that were not met again since it was last full go."""
+        keys = np.concatenate([self.keys, keys])
+        start, length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
+        used = np.concatenate([self.used, np.zeros(len(keys) - len(self.used), bool)])
+        order = np.argsort(keys, kind="stable")
+        self.ids = pool
+        if 21 * len(keys) + 4 * len(pool) > CACHE:
+            order = order[used[order]]
+            if 21 * len(order) + 4 * int(length[order].sum()) > CACHE // 2:
+                order = order[:0]
+            self.ids = pool[ranges(start[order], length[order])]
+            start[order] = np.cumsum(length[order], dtype=np.int64) - length[order]
+            used[:] = False
+        self.keys, self.used, self.start, self.length = keys[order], used[order], start[order], length[order]
+
 
 def differencing(sizes: np.ndarray, m: int) -> list[list[int]]:
     """Splits items into ``m`` parts of near-equal sums."""
@@ -179,7 +192,7 @@ def windows(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, piece: int = 512, group: int = 96) -> DataFrame:
     """Pieces of documents placed in sequences: SCHEMA, where ids holds little-endian 32-bit ids.
 
-    tokenizer: the path of a byte-level BPE file on every machine. A sequence's pieces lie gapless from
+    tokenizer: the path of a file of the tokenizers library on every machine. A sequence's pieces lie gapless from
     offset 0; sequence_id is unique over the whole result.
     """
 
@@ -210,8 +223,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, pi
             return rows
 
         for batch in batches:
-            for part in slices(batch, "text"):
-                encoder = _words.get(tokenizer) or _words.setdefault(tokenizer, Words(tokenizer))
+            for part in slices(batch, "text", SLICE):
+                encoder = _open.get(tokenizer) or _open.setdefault(tokenizer, Encoder(tokenizer))
                 ids, off = encoder.batch(part.column(part.schema.get_field_index("text")), end)
                 ids_of = part.column(part.schema.get_field_index("doc_id")).to_pylist()
                 rows = []
@@ -232,5 +245,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, pi
                     yield emit(rows)
         if waiting:
             yield emit(close())
+        if tokenizer in _open:
+            _open[tokenizer].clear()  # the worker goes on to other stages
 
     return docs.select("doc_id", "text").mapInArrow(kernel, SCHEMA)

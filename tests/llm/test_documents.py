@@ -213,9 +213,10 @@ def test_packing_round_trip(spark, odd_docs):
     P = pytest.importorskip("public_tokenizers")
     path = P.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    added = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y  ", "<|endoftext|> \n<|endoftext|>x", "<|endoftext", "x\u3000y  z", "q" * 9000]
+    more = spark.createDataFrame([(5000 + i, t) for i, t in enumerate(added)], "doc_id long, text string")
     for docs in both(spark, odd_docs):
-        docs = docs.where("doc_id is null or doc_id != 12")
+        docs = docs.where("doc_id is null or doc_id != 12").select("doc_id", "text").union(more)
         want = {r.doc_id: [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1] for r in docs.where("doc_id is not null").collect()}
         parts, sequences = collections.defaultdict(list), collections.defaultdict(list)
         for r in packing.pack(docs, path).collect():
@@ -237,6 +238,22 @@ def test_packing_round_trip(spark, odd_docs):
         assert len(sequences) <= total / 2048 * 1.1 + 8
 
 
+def test_packing_with_a_small_cache(monkeypatch):
+    """Ids are the library's when spans are given up and met again."""
+    import pyarrow as pa
+
+    from tests.llm.conftest import words
+
+    encoder = packing.Encoder(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    monkeypatch.setattr(packing, "CACHE", 1 << 14)
+    for k in range(8):
+        texts = [words(k % 3, 400) + " <|endoftext|> " + words(k, 90), None, " \n", words(9, 50)]
+        ids, off = encoder.batch(pa.array(texts), 1)
+        for t, a, b in zip(texts, off[:-1], off[1:], strict=True):
+            assert ids[a:b].tolist() == [*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 1]
+        assert 21 * len(encoder.keys) + 4 * len(encoder.ids) <= 1 << 14
+
+
 def test_differencing_is_near_equal():
     sizes = np.random.default_rng(0).integers(1, 512, 600)
     parts = packing.windows(sizes, 2048)
