@@ -10,8 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U = np.uint64
+TASK_ROWS = 1 << 21  # rows of a few numbers that a task holds at once
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -132,3 +134,10 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     lengths = np.asarray(lengths, np.int64)
     total = int(lengths.sum())
     return np.arange(total, dtype=np.int64) + np.repeat(np.asarray(starts, np.int64) - (np.cumsum(lengths) - lengths), lengths)
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` of about ``rows`` rows, partitioned by ``keys`` so that a task gets about TASK_ROWS at most, whatever the size."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = -(-rows // TASK_ROWS)
+    return df.repartition(n, *keys) if n > least else df.repartition(*keys)

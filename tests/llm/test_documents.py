@@ -101,6 +101,20 @@ def test_substrings(spark, odd_docs, length):
         assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == removed_windows(rows, length)
 
 
+def test_substrings_with_a_hot_anchor(spark, monkeypatch):
+    """A passage shorter than a window in every text, so its anchor has most runs and is split; some texts repeat."""
+    from tests.llm.conftest import words
+
+    monkeypatch.setattr(substrings, "HOT", 3)
+    passage = words(70, 30)
+    texts = [f"{words(100 + i, 12)} {passage} {words(200 + i, 12)}" for i in range(30)]
+    texts += texts[:3] + [f"{words(300, 9)} {t}" for t in texts[5:8]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = substrings.remove_repeats(docs, 35).collect()
+    want = removed_windows([(i, split(t)) for i, t in enumerate(texts)], 35)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == want
+
+
 def test_lines(spark, odd_docs):
     got = {(r.doc_id, r.text): (r.kept_text, r.lines_removed) for r in lines.dedup(odd_docs).collect()}
     by = {k[0]: v for k, v in got.items()}
