@@ -4,12 +4,13 @@ A text is cut into windows of WINDOW bytes, all of it. Bytes are embedded, filte
 a window, each keeps its largest response (max pooling), and a softmax gives the languages; a text's scores are
 the mean of its windows' log-probabilities, weighted by length. Forward and backward passes are numpy.
 
-The classifier is fitted on at most TRAIN_TEXTS labelled texts (a hash of the id picks them, evenly by
-language) with WINDOWS windows each, so training costs the same at any corpus size; at most LANGUAGES
-languages, the most frequent, are learned. Prediction reads whole texts in Arrow batches and moves nothing
+The classifier is fitted on at most TRAIN_TEXTS labelled texts, or PER_LANGUAGE for each language if those are more (a
+hash of the id picks them, evenly by language), with WINDOWS windows each, so training costs the same at any
+corpus size; every language that has labels is learned. Prediction reads whole texts in Arrow batches and moves nothing
 between tasks.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; without any labelled text all are;
+between languages of one probability the first by code point is told; a very long text is a batch of its own;
 rows that repeat get the same answer; an empty table gives an empty result; columns that the caller wants kept
 pass through.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from granary.llm.text import ranges, slices, utf8
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 12, 4
-TRAIN_TEXTS, WINDOWS, LANGUAGES = 3000, 3, 64
+TRAIN_TEXTS, PER_LANGUAGE, WINDOWS = 3000, 40, 3
 _REACH = max(WIDTHS)
 
 
@@ -114,17 +115,18 @@ def windows(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Network | None:
     """A network trained on a bounded sample of the rows for which ``train`` holds; None without labels."""
     has = docs.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    langs = has.groupBy(lang).agg(F.count("*").alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()
+    langs = has.groupBy(lang).agg(F.count("*").alias("n")).orderBy(lang).collect()  # a row a language
     if not langs:
         return None
     place = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    quota = TRAIN_TEXTS / len(langs)
+    bound = max(TRAIN_TEXTS, PER_LANGUAGE * len(langs))
+    quota = bound / len(langs)
     share = F.element_at(F.create_map(*[F.lit(v) for r in langs for v in (r[lang], min(1.0, 1.2 * quota / r["n"]))]), F.col(lang))
     picked = has.where(place < share)
     start = [F.pmod(F.xxhash64(key, F.lit(i)), F.greatest(F.length(text) - WINDOW // 2, F.lit(1))).cast("int") + 1 for i in range(WINDOWS)]
     cut = [F.substring(F.col(text), s, F.lit(WINDOW)).alias(f"w{i}") for i, s in enumerate(start)]
     # The place within the language's share, so that the limit cuts all languages alike.
-    sample = picked.select(lang, (place / share).alias("place"), *cut).orderBy("place").limit(TRAIN_TEXTS).collect()
+    sample = picked.select(lang, (place / share).alias("place"), *cut).orderBy("place").limit(bound).collect()
     names = sorted({r[lang] for r in sample})
     rng = np.random.default_rng(5)
     rows, labels = [], []

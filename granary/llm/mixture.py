@@ -1,13 +1,15 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each source gets a target number of words. A document's place is a hash of its id; a source takes every
+Each source gets a target number of words. A document's place is a hash of its id and text; a source takes every
 document whose hash lies below its threshold. The threshold is found by histograms: words summed by
 source and hash bucket, the bucket that crosses the budget found by a running sum over at most 4,096
 buckets a source, and only that bucket refined by the next 12 hash bits, down to single hash values.
 Nothing is sorted, and raising a target only adds documents (thresholds nest).
 
-Edge cases: null text counts 0 words; a null source is a source of its own; rows that share a doc_id
-share its hash, so they are taken together; an empty table gives an empty result.
+Edge cases: null and empty texts count 0 words; a null source is a source of its own; rows alike in id and text share
+their hash, so they are taken together; a very long text is one document like any other, so a source may miss its target
+by half of its longest one; an empty table gives an empty result; other columns pass through whatever their names,
+but those named like the added ones are replaced.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def place(doc_id: str | Column) -> Column:
-    """36 bits of the MD5 of the id: the same in any engine and on every run."""
-    return F.coalesce(F.conv(F.substring(F.md5(F.col(doc_id).cast("string")), 1, 9), 16, 10).cast("long"), F.lit(0))
+def place(doc_id: str, text: str) -> Column:
+    """36 bits of the MD5 of id and text: the same in any engine and on every run."""
+    both = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(" "), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(both.cast("binary")), 1, 9), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -76,10 +79,13 @@ def thresholds(base: DataFrame, goal: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The documents with size, source_size, target and copies (how often the mix takes each), as columns
     that start with ``mix_``."""
-    base = staged(docs.select("source", word_count("text").alias("size"), place("doc_id").alias("place")), "sizes")
+    added = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    names = [c for c in docs.columns if c not in added]
+    own = {c: f"c{i}" for i, c in enumerate(names)}
+    docs = docs.select(*[F.col(f"`{c}`").alias(own[c]) for c in names])  # so no name can clash
+    placed = docs.withColumns({"size": word_count(own["text"]), "place": place(own["doc_id"], own["text"])})
+    base = staged(placed.select(F.col(own["source"]).alias("source"), "size", "place"), "sizes")
     limits = thresholds(base, targets(base, weights, share, most))
-    limits = limits.select(F.col("source").alias("_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("whole").alias("_whole"), F.col("below").alias("_below"))
-    placed = docs.withColumns({"mix_size": word_count("text"), "_place": place("doc_id")})
-    copies = (F.col("_whole") + (F.col("_place") < F.col("_below")).cast("long")).alias("mix_copies")
-    joined = placed.join(limits, placed["source"].eqNullSafe(limits["_source"]))
-    return joined.select(*[placed[c] for c in docs.columns], "mix_size", "mix_source_size", "mix_target", copies)
+    copies = F.col("whole") + (F.col("place") < F.col("below")).cast("long")
+    joined = placed.join(limits, F.col(own["source"]).eqNullSafe(limits["source"]))
+    return joined.select(*own.values(), "size", "source_size", "target", copies.alias("copies")).toDF(*names, *added)

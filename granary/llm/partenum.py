@@ -18,7 +18,7 @@ change the result.
 
 Edge cases: null and empty texts (or white space only) have no set and link with nothing; a text shorter than
 a shingle is one shingle; a null doc_id is returned with a null component; rows that share a doc_id are one
-node; an empty table gives an empty result; extra columns are ignored.
+node; a very long text is a batch of its own; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.staging import staged, unstage
 from granary.llm.cluster import components
-from granary.llm.text import U, grams, mix, slices, word_hashes
+from granary.llm.text import U, dealt, grams, mix, slices, word_hashes
 
 CHUNK = 16 << 20  # bytes of text combined before signatures are shipped
 BLOCK = 1024  # documents of one signature compared in one task, by pairs of such blocks
@@ -336,7 +336,8 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     full = staged(texts.mapInArrow(_sign(percent, n), _SIGNED), "signed")
     signed = staged(full.select("doc_id", "n", "head", "bits"), "sizes")
     copies = signed.where("doc_id != head").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
-    met = full.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).repartition("sig").mapInArrow(_meet, "sig long, doc long, leader long")
+    n_sigs = full.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    met = dealt(full.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")), n_sigs, "sig").mapInArrow(_meet, "sig long, doc long, leader long")
     local = full.where(F.size("shared") > 0).select("doc_id", F.explode(F.arrays_zip("shared", "leaders")).alias("x")).select(F.col("x.shared").alias("sig"), F.col("doc_id").alias("doc"), F.col("x.leaders").alias("leader"))
     met = staged(met.union(local.where("leader != doc")), "met", release=True)
     unstage(full)
@@ -380,12 +381,13 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     member = member.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
     member = staged(member, "member")
     wide = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo != hi")
-    wide = staged(wide.select("sig", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "wide")
+    wide = staged(wide.select("sig", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), "rows"), "wide")
+    n_open = 8 * (wide.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] or 0)  # a row holds a sketch
     open_ = member.join(wide, "sig").join(sketches, F.col("doc") == F.col("doc_id")).select("sig", "doc", "c", "n", "bits", "blocks")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc", "sig"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("sig", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "doc", "c", "n", "bits")
-    third = open_.repartition("sig", "left", "right").mapInArrow(_across(percent), "doc long, leaders array<long>")
-    third = third.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("leaders"))).alias("leaders")).select("doc", F.explode("leaders").alias("leader"))
+    third = dealt(open_, n_open, "sig", "left", "right").mapInArrow(_across(percent), "doc long, leaders array<long>")
+    third = third.select("doc", F.explode("leaders").alias("leader")).distinct()
     third = staged(third.join(pairs, ["doc", "leader"], "left_anti"), "third", release=True)
     if not third.isEmpty():
         more = staged(verified(third, sets_of(third)), "links")

@@ -279,6 +279,18 @@ def test_mixture(spark, odd_docs):
         assert sorted(map(str, rows)) == sorted(map(str, mixture.mix(docs.repartition(2)).collect()))
 
 
+def test_mixture_with_null_ids_and_clashing_names(spark):
+    from tests.llm.conftest import words
+
+    added = ["size", "place", "mix_size", "mix_target", "below", "c0", "source_size"]
+    rows = [(None if i % 5 else i, words(i, 20 + i % 9), "s", *range(len(added))) for i in range(300)] + [(None, words(700, 9000), "t", *range(len(added)))]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, source string, {', '.join(f'{c} int' for c in added)}")
+    got = mixture.mix(docs, weights=(1, 1), share=0.6, most=2.0).collect()
+    assert len(got) == len(rows) and [got[0][c] for c in ("size", "place", "below", "c0", "source_size")] == [0, 1, 4, 5, 6]
+    s = [r for r in got if r.source == "s"]
+    assert abs(sum(r.mix_size * r.mix_copies for r in s) - s[0].mix_target) <= 15
+
+
 def test_packing_round_trip(spark, odd_docs):
     from tokenizers import Tokenizer
 

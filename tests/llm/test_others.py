@@ -164,3 +164,23 @@ def test_pipeline(spark):
         ids = kept
     packed = c.pack(spark, docs, "")
     assert {r.doc_id for r in packed.select("doc_id").collect()} == ids
+
+
+def test_pipeline_odd_rows(spark, odd_docs, no_docs):
+    """Nulls, copies under one id, under none and under others: the Jaccard stage keeps one row of each group."""
+    import corpus_pipeline as c
+
+    from tests.llm.conftest import words
+
+    text = [words(800 + k, 60) for k in range(6)]
+    near = " ".join("changed" if k == 30 else w for k, w in enumerate(text[2].split()))
+    rows = [(1, text[0]), (1, text[0]), (None, text[1]), (None, text[1]), (3, text[2]), (2, near), (4, text[3]), (4, text[4]), (5, None), (6, ""), (7, text[0])]
+    docs = spark.createDataFrame([(i, t, "en", None, 1, "x") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, uid string")
+    got = sorted(((r.doc_id, r.text) for r in c.near_documents(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, text[0]), (None, text[1]), (2, near), (4, text[3]), (4, text[4]), (5, None), (6, "")], key=str)
+    for docs in (odd_docs, no_docs):
+        for _, stage in c.STAGES[:-1]:
+            docs = stage(spark, docs, "")
+            assert docs.columns == c.COLUMNS
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert (c.pack(spark, docs, "").count() > 0) == (docs.count() > 0)
