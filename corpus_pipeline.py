@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of documents.
+
+Edge cases, in every stage: columns other than those of documents are dropped; an empty table stays empty. A null text or
+one without a letter goes in the first stage; a null lang is filled in there. A null source is a source of its own. Rows
+alike in doc_id and text, null ids included, keep the same lines and are one document to the Jaccard stage, which
+keeps one row of them; rows that share a doc_id but not the text are two documents. Very long texts are processed whole.
 """
 
 from __future__ import annotations
@@ -29,14 +34,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one occurrence of each group of similar lines; a document that loses all its words goes."""
     kept = lines.dedup(docs.select(*COLUMNS)).where((F.col("lines_removed") == 0) | F.col("kept_text").rlike(mixture.WORD))
-    size = F.when(F.col("lines_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    size = F.when(F.col("lines_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars").cast("long"))
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", size.alias("n_chars"))
 
 
 def near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of documents with similar sets of five-word shingles (0.8 or more)."""
-    others = partenum.similar(docs, percent=80, n=5).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(others, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one document, that of the smallest doc_id, of each group with similar sets of five-word shingles (0.8 or more)."""
+    # Ids may be null or repeat, so documents are told apart by id and text.
+    docs = docs.select(*COLUMNS, F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("uid"))
+    ids = docs.groupBy("uid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "uid")).alias("id"), F.count("*").alias("n"))
+    groups = partenum.similar(docs.select(F.col("uid").alias("doc_id"), "text"), percent=80, n=5)
+    groups = groups.select(F.col("doc_id").alias("uid"), F.col("component_id").alias("c")).distinct()
+    groups = staged(groups.join(ids, "uid"), "groups", release=True)
+    keep = groups.groupBy("c").agg(F.min("id").alias("keep"), F.count("*").alias("members")).where("members > 1")
+    others = staged(groups.join(keep, "c").where(F.col("id") != F.col("keep")).select("uid"), "others")
+    again = staged(groups.where("n > 1").select("uid"), "again")
+    kept = docs.join(others, "uid", "left_anti")
+    single = kept.join(again, "uid", "left_semi").dropDuplicates(["uid", "doc_id"])
+    return kept.join(again, "uid", "left_anti").union(single).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
