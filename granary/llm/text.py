@@ -1,8 +1,8 @@
 """Vectorised word kernels on Arrow string buffers.
 
 Words are runs of bytes other than ASCII white space (``[^\\x20\\x09-\\x0D]+``); a UTF-8 continuation
-byte is never one of those, so working on bytes equals working on code points. Hashes are 64 bits wide:
-a sum of bytes times fixed random coefficients by position, mixed with the length.
+byte is never one of those, so working on bytes equals working on code points. Hashes are 64 bits wide: a
+polynomial of a random number for each byte value, read off prefix sums, mixed with the length.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_coefficients = np.zeros(0, U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,12 +31,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def coefficients(n: int) -> np.ndarray:
-    global _coefficients
-    if len(_coefficients) < n:
-        k = np.arange(max(n, 4096), dtype=U)
-        _coefficients = mix(k * U(0x9E3779B97F4A7C15) + U(0x1234567)) | U(1)
-    return _coefficients
+_A = 0x9E3779B97F4A7C15
+_BYTES = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+_powers = np.ones((2, 1), U)
+
+
+def powers(n: int) -> np.ndarray:
+    """The powers of _A up to the ``n``-th, and those of its inverse modulo 2**64."""
+    global _powers
+    if _powers.shape[1] <= n:
+        out = np.empty((2, max(n + 1, 1 << 16)), U)
+        out[:, 0] = 1
+        out[0, 1:], out[1, 1:] = U(_A), U(pow(_A, -1, 1 << 64))
+        np.multiply.accumulate(out, axis=1, out=out)
+        _powers = out
+    return _powers
 
 
 def utf8(col) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +96,11 @@ def spans_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each of the disjoint, ascending byte spans [s, e)."""
     if not len(s):
         return np.zeros(0, U)
-    n = e - s
-    first = np.cumsum(n) - n
-    position = np.arange(int(n.sum()), dtype=np.int64)
-    within = position - np.repeat(first, n)
-    bytes_ = data[within + np.repeat(s, n)]
-    total = np.zeros(len(within) + 1, U)
-    np.cumsum((bytes_.astype(U) + U(1)) * coefficients(int(n.max()))[within], out=total[1:])
-    return mix((total[first + n] - total[first]) ^ (n.astype(U) * U(0xD6E8FEB86659FD93)))
+    up, down = powers(len(data))
+    total = np.zeros(len(data) + 1, U)
+    np.multiply(_BYTES[data], up[: len(data)], out=total[1:])
+    np.cumsum(total, out=total)
+    return mix(((total[e] - total[s]) * down[s]) ^ ((e - s).astype(U) * U(0xD6E8FEB86659FD93)))
 
 
 def word_hashes(col, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -113,20 +118,16 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     if m <= 0:
         return np.zeros(0, U)
     # A polynomial over prefix sums: sum of h[i+j] * a**j, times a common power that is divided out.
-    a = U(0x9E3779B97F4A7C15)
-    inverse = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
     if n <= 8:
         out = np.zeros(m, U)
         for j in range(n):
-            out *= a
+            out *= U(_A)
             out += hashes[j : j + m]
         return mix(out)
-    with np.errstate(over="ignore"):
-        up = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(len(hashes) - 1, a, U)]))
-        down = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(m - 1, inverse, U)]))
-        total = np.zeros(len(hashes) + 1, U)
-        np.cumsum(hashes * up, out=total[1:])
-        return mix((total[n:] - total[:-n]) * down)
+    up, down = powers(len(hashes))
+    total = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[:m])
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
