@@ -184,3 +184,26 @@ def test_pipeline_odd_rows(spark, odd_docs, no_docs):
             assert docs.columns == c.COLUMNS
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert (c.pack(spark, docs, "").count() > 0) == (docs.count() > 0)
+
+
+def test_components(spark, monkeypatch):
+    import random
+
+    from granary.llm import cluster
+
+    monkeypatch.setattr(cluster, "CHUNK", 50)
+    rnd = random.Random(1)
+    links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(60)]
+    root = list(range(2000))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {x: find(x) for link in links if link[0] != link[1] for x in link}
+    got = cluster.components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
