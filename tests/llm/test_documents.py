@@ -138,8 +138,8 @@ def normalised(text):
 @tables
 @pytest.mark.parametrize("agree", [3, 4])
 def test_lines_against_all_pairs(spark, monkeypatch, agree):
-    """All line pairs of a table by edit similarity, without SimHash: most are found, and the result is what the found links
-    and equal lines give, with different plans."""
+    """All line pairs of a table by edit similarity, without SimHash: most of those at 0.95 and more are found (the README has
+    the figures for all from 0.8), and the result is what the found links and equal lines give, with different plans."""
     plan = lines.Plan(agree, agree - 2)
     monkeypatch.setattr(lines, "plan_for", lambda n: plan)
     docs = spark.read.parquet(SF).where("doc_id < 60")
@@ -158,7 +158,8 @@ def test_lines_against_all_pairs(spark, monkeypatch, agree):
 
     sims = [int(lines.lines_of(pa.array([row.decode()]))[1][0]) for row in different]
     found = [(i, j) for i, j in pairs if (sims[i] ^ sims[j]).bit_count() <= lines.BITS]
-    assert len(found) >= 0.8 * len(pairs) > 5
+    near = [(i, j) for i, j in pairs if lines.distance(different[i], different[j]) <= 0.05 * max(size[i], size[j])]
+    assert len(set(found) & set(near)) >= 0.8 * len(near) > 5
     root = list(range(len(different)))
 
     def find(x):
