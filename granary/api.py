@@ -1,4 +1,7 @@
-"""The engine's one entry point: file groups in, lazy result frames out."""
+"""The engine's one entry point: file groups in, result frames out.
+
+Frames are lazy but for what they share: item values, vendors' spend, routed series and the cluster model are computed when the
+dict is made, once."""
 
 from __future__ import annotations
 
@@ -15,15 +18,20 @@ def analyse(pov: DataFrame, grn: DataFrame, stock: DataFrame, pv: DataFrame | No
     classes = classify.sbc_class(demand, p)
     per_item = inventory.lead_times(inventory.fifo_match(pov, grn, ["sku", "vendor"]), ["sku", "vendor"])
     ledgers = {"pov": pov, "grn": grn, **({"pv": pv} if pv is not None else {}), "stock": stock}
+    abc, risk, series = finance.abc_class(finance.value_by_sku(pov), p), suppliers.supplier_risk(pov, grn), forecast.series(demand)
     return {
-        "abc_data": finance.abc_class(finance.value_by_sku(pov), p),
+        "abc_data": abc,
+        "abc_distribution": finance.abc_distribution(abc),
         "historical_data": history.historical(ledgers),
-        "supplier_data": suppliers.supplier_risk(pov, grn),
+        "supplier_data": risk,
+        "supplier_clusters": suppliers.supplier_clusters(risk, p),
         "lead_time_data": suppliers.lead_time_box(per_item),
         "top10_trends": suppliers.top_trends(demand, p),
         "sbc_data": classes,
         "sku_metrics": inventory.sku_metrics(pov, grn, stock, p),
-        "forecast": forecast.forecast(forecast.series(demand), classes, p),
+        "demand_history": demand,
+        "forecast": forecast.forecast(series, classes, p),
+        "forecast_compare": forecast.forecast_compare(series, p),
         "forecast_errors": forecast.forecast_errors(demand, p, forecast.ENGINES),
     }
 

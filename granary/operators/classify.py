@@ -9,8 +9,8 @@ from granary.params import Params
 
 
 def sbc_class(demand: DataFrame, p: Params = Params()) -> DataFrame:
-    """(sku, n_periods, n_demands, total, adi, cv2, sbc): ADI is periods over periods with demand, CV squared comes from
-    the moments of demand sizes above 0. An item without demand is NoDemand."""
+    """(sku, n_periods, n_demands, total, adi, cv2, sbc): ADI is calendar periods (demand has a row for each) over periods with
+    demand, CV squared comes from the moments of demand sizes above 0. An item without demand is NoDemand."""
     d = F.col("demand").cast("double")
     some = F.when(F.col("demand") > 0, d)
     m = demand.groupBy("sku").agg(F.count("*").alias("n_periods"), F.count(some).alias("n_demands"), F.coalesce(F.sum(some), F.lit(0.0)).alias("total"), F.sum(some * some).alias("squares"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.ranked import with_global_order
+from granary.functions.staging import staged
 from granary.params import Params
 
 
@@ -15,6 +16,7 @@ def value_by_sku(pov: DataFrame) -> DataFrame:
 
 def pareto(values: DataFrame) -> DataFrame:
     """Items by falling value with their running total and share: range-partitioned, no single-partition window."""
+    values = staged(values, "values")  # one row an item, read three times
     total = values.agg(F.sum("value").cast("decimal(38,2)").alias("total"))  # one row
     ranked = with_global_order(values, [F.desc("value"), F.col("sku")], rn="rank", running={"running": "value"})
     joined = ranked.crossJoin(F.broadcast(total))

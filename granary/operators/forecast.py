@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.staging import staged
 from granary.params import Params
 
 ENGINES = ("RF", "GLM", "TSB")
@@ -134,7 +135,7 @@ KERNELS = {"RF": rf, "GLM": glm, "TSB": tsb}
 
 def forecast(s: DataFrame, classes: DataFrame, p: Params = Params()) -> DataFrame:
     """Each item's forecast by the engine of its class; items without demand have none."""
-    joined = s.join(classes.select("sku", "sbc"), "sku")
+    joined = staged(s.join(classes.select("sku", "sbc"), "sku"), "series")  # read once for each engine
     parts = [KERNELS[e](joined.where(F.col("sbc").isin([c for c, x in ROUTES.items() if x == e])), p) for e in ENGINES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

@@ -60,14 +60,29 @@ def pending(pov: DataFrame, grn: DataFrame) -> DataFrame:
 
 
 def demand_balance(stock: DataFrame, grn: DataFrame, bucket: str = "quarter") -> DataFrame:
-    """(sku, t, demand, negative): opening stock plus receipts less closing stock of each period after an item's
-    first snapshot; a negative balance counts as 0 and is flagged (assumed)."""
-    closing = stock.groupBy("sku", period("as_of", bucket).alias("t")).agg(F.max_by("qty", F.struct("as_of", "src_row")).alias("closing"))
-    receipts = grn.groupBy("sku", period("receipt_date", bucket).alias("t")).agg(F.sum("qty").alias("receipts"))
+    """(sku, t, demand, negative): between two snapshots of an item, opening stock plus all receipts after the first and up to
+    the second less closing stock; a negative balance counts as 0 and is flagged in the closing period (assumed).
+
+    Snapshots may leave periods out: the balance is then spread evenly over the periods since the last one, what thousandths
+    are left over going to the closing period (assumed), so every calendar period from an item's first snapshot to its last has a
+    row. Receipts up to the first snapshot are part of its stock; those after the last wait for the next one.
+    """
+    closing = stock.select("sku", period("as_of", bucket).alias("t"), F.struct("as_of", "src_row", "qty").alias("last"), F.lit(None).cast("decimal(18,3)").alias("got"))
+    receipts = grn.select("sku", period("receipt_date", bucket).alias("t"), F.lit(None).cast(closing.schema["last"].dataType).alias("last"), F.col("qty").alias("got"))
+    moves = closing.unionByName(receipts).groupBy("sku", "t").agg(F.max("last").alias("last"), F.coalesce(F.sum("got"), F.lit(0)).alias("got"))
     by_sku = Window.partitionBy("sku").orderBy("t")
-    joined = closing.join(receipts, ["sku", "t"], "left").withColumn("opening", F.lag("closing").over(by_sku)).where("opening is not null")
-    balance = (F.col("opening") + F.coalesce("receipts", F.lit(0)) - F.col("closing")).cast("decimal(28,3)")
-    return joined.select("sku", "t", F.greatest(balance, F.lit(0).cast("decimal(28,3)")).alias("demand"), (balance < 0).cast("int").alias("negative"))
+    ends = F.min(F.when(F.col("last").isNotNull(), F.col("t"))).over(by_sku.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    spans = moves.withColumn("end", ends).where("end is not null").groupBy("sku", F.col("end").alias("t"))
+    spans = spans.agg(F.max("last.qty").alias("closing"), F.sum("got").alias("got"))
+    spans = spans.withColumns({"opening": F.lag("closing").over(by_sku), "before": F.lag("t").over(by_sku)}).where("opening is not null")
+    balance = F.col("opening") + F.col("got") - F.col("closing")
+    milli = F.greatest(balance * 1000, F.lit(0)).cast("long")
+    even = F.expr("milli div (end - before)")
+    spread = spans.select("sku", F.col("t").alias("end"), "before", milli.alias("milli"), balance.alias("balance"))
+    spread = spread.withColumn("t", F.explode(F.sequence(F.col("before") + 1, F.col("end"))))
+    own = F.when(F.col("t") < F.col("end"), even).otherwise(F.col("milli") - even * (F.col("end") - F.col("before") - 1))
+    flag = ((F.col("t") == F.col("end")) & (F.col("balance") < 0)).cast("int")
+    return spread.select("sku", "t", (own.cast("decimal(25,0)") / 1000).cast("decimal(28,3)").alias("demand"), flag.alias("negative"))
 
 
 def on_hand(stock: DataFrame) -> DataFrame:

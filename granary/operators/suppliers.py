@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions.staging import staged
 from granary.operators.inventory import fifo_match, lead_times
 from granary.params import Params
 
 
 def vendor_key(name: str | Column) -> Column:
-    return F.regexp_replace(F.upper(F.trim(name)), "[^A-Z0-9]+", "")
+    """Upper-case letters, marks and digits of all scripts; a name without any is its own key."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.upper(F.trim(name)), r"[^\p{L}\p{M}\p{N}]+", ""), F.lit("")), F.trim(name))
 
 
 def dedup_vendors(vendors: DataFrame, name: str = "vendor_name") -> DataFrame:
@@ -18,32 +20,39 @@ def dedup_vendors(vendors: DataFrame, name: str = "vendor_name") -> DataFrame:
     while the vendor list is small."""
     keyed = vendors.withColumn("vendor_key", vendor_key(F.col(name)))
     names = keyed.groupBy("vendor_key").agg(F.min(name).alias("canonical_name"))
-    return keyed.join(names, "vendor_key")
+    return keyed.join(names, "vendor_key", "left")  # a null name stays, without a key
 
 
 def supplier_risk(pov: DataFrame, grn: DataFrame) -> DataFrame:
     """Per vendor: spend and its share, items, lead time (mean and spread over items), pending ratio (indicators assumed)."""
     spend = pov.groupBy("vendor").agg(F.sum("amount").cast("decimal(28,2)").alias("spend"), F.count_distinct("sku").alias("n_skus"), F.count("*").alias("n_lines"), F.sum("qty").cast("decimal(28,3)").alias("ordered"))
+    spend = staged(spend, "spend")  # a row a vendor
     got = grn.groupBy("vendor").agg(F.sum("qty").cast("decimal(28,3)").alias("received"))
     per = lead_times(fifo_match(pov, grn, ["sku", "vendor"]), ["sku", "vendor"])
     d, n = F.col("lead_time_days"), F.count("*")
     lead = per.groupBy("vendor").agg(F.round(F.avg(d), 4).alias("lead_time_mean"), F.round(F.sqrt(F.greatest((n * F.sum(d * d) - F.sum(d) * F.sum(d)) / (n * n), F.lit(0.0))), 4).alias("lead_time_spread"))
-    total = pov.agg(F.sum("amount").cast("double").alias("total"))
+    total = spend.agg(F.sum("spend").cast("double").alias("total"))
     joined = spend.join(got, "vendor", "left").join(lead, "vendor", "left").crossJoin(F.broadcast(total))  # total is one row
     ratio = F.round(F.greatest((F.col("ordered") - F.coalesce("received", F.lit(0))).cast("double") / F.col("ordered").cast("double"), F.lit(0.0)), 6)
     return joined.select("vendor", "spend", F.round(F.col("spend").cast("double") / F.col("total"), 8).alias("spend_share"), "n_skus", "n_lines", "lead_time_mean", "lead_time_spread", ratio.alias("pending_ratio"))
 
 
 def supplier_clusters(risk: DataFrame, p: Params = Params()) -> DataFrame:
-    """k-means on scaled indicators with a fixed seed (algorithm assumed)."""
+    """k-means on scaled indicators with a fixed seed (algorithm assumed), fitted when called; fewer different vendors than two are one."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     columns = ["spend_share", "lead_time_mean", "lead_time_spread", "pending_ratio", "n_skus"]
-    ready = risk.fillna(0, columns).withColumns({c: F.col(c).cast("double") for c in columns})
+    ready = risk.withColumns({c: F.col(c).cast("double") for c in columns})
+    known = ready.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in columns])  # one row
+    # A vendor without receipts has no lead time; it is taken for an average one.
+    ready = ready.crossJoin(F.broadcast(known)).withColumns({c: F.coalesce(c, f"mean_{c}") for c in columns})
+    clusters = ready.select(*columns).distinct().limit(p.clusters).count()  # no more than there are different vendors
+    if clusters < 2:
+        return ready.select("vendor", *columns, F.lit(0).alias("cluster"))
     ready = VectorAssembler(inputCols=columns, outputCol="raw").transform(ready)
     ready = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(ready).transform(ready)
-    model = KMeans(k=p.clusters, seed=p.seed, featuresCol="features", predictionCol="cluster").fit(ready)
+    model = KMeans(k=clusters, seed=p.seed, featuresCol="features", predictionCol="cluster").fit(ready)
     return model.transform(ready).select("vendor", *columns, "cluster")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from granary.operators import classify, finance, forecast, history, inventory, suppliers
 from granary.params import Params
 from granary.plans import fixtures
-from granary.plans.fixtures import SQL
+from granary.plans.fixtures import SPARSE_SQL, SQL
 
 P = Params()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ class Ledgers:
     def demand(self) -> DataFrame:
         return inventory.demand_balance(self.stock, self.grn, P.bucket)
 
+    @property
+    def gap_demand(self) -> DataFrame:
+        return inventory.demand_balance(fixtures.sparse(self.stock), self.grn, P.bucket)
+
     @property
     def series(self) -> DataFrame:
         return forecast.series(self.demand)
@@ -81,6 +85,9 @@ QUERIES: dict[str, Query] = {
     "glm_forecast": _query(lambda x: forecast.glm(x.series, P)),
     "rf_forecast": _query(lambda x: forecast.rf(x.series.join(x.classes.where("sbc = 'Smooth'"), "sku", "left_semi"), P)),
     "forecast_routed": _query(lambda x: forecast.forecast(x.series, x.classes, P)),
+    "forecast_routed_formulas": _query(lambda x: forecast.forecast(x.series, x.classes, P).where("engine != 'RF'")),
+    "demand_balance_gaps": _query(lambda x: _doubles(x.gap_demand)),
+    "sbc_class_gaps": _query(lambda x: classify.sbc_class(x.gap_demand, P).select("sku", "n_periods", "n_demands", "adi", "cv2", "sbc")),
     "forecast_errors": _query(lambda x: forecast.forecast_errors(x.demand, P)),
     "forecast_errors_all": _query(lambda x: forecast.forecast_errors(x.demand, P, forecast.ENGINES)),
     "forecast_compare": _query(_compare),
@@ -164,7 +171,7 @@ glm_made AS (
 
 _RECURSIVE = SQL.replace("WITH pov", "WITH RECURSIVE pov", 1)
 _TOP = ", top AS (SELECT sku, CAST(sum(demand) AS DOUBLE) AS total FROM demand GROUP BY sku ORDER BY sum(demand) DESC, sku LIMIT 10)"
-_KEY = "regexp_replace(upper(trim(vendor_name)), '[^A-Z0-9]+', '', 'g')"
+_KEY = r"regexp_replace(upper(trim(vendor_name)), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 
 ORACLE: dict[str, str] = {
     "abc_class": SQL + _ABC + " SELECT sku, CAST(value AS DOUBLE) AS value, rank, CAST(running AS DOUBLE) AS running, cumulative_share, abc FROM abc",
@@ -181,6 +188,12 @@ ORACLE: dict[str, str] = {
     "sbc_scatter": SQL + " SELECT sku, adi, cv2, total, sbc FROM classes",
     "tsb_forecast": _RECURSIVE + _engines(0, 4) + " SELECT sku, engine, h, yhat FROM tsb_made",
     "glm_forecast": _RECURSIVE + _engines(0, 4) + " SELECT sku, engine, h, yhat FROM glm_made",
+    "forecast_routed_formulas": _RECURSIVE
+    + _engines(0, 4)
+    + """ SELECT m.sku, engine, h, yhat FROM (SELECT * FROM tsb_made UNION ALL SELECT * FROM glm_made) m JOIN classes c ON c.sku = m.sku
+WHERE (engine = 'GLM' AND sbc = 'Erratic') OR (engine = 'TSB' AND sbc IN ('Intermittent', 'Lumpy'))""",
+    "demand_balance_gaps": SPARSE_SQL + " SELECT sku, t, CAST(demand AS DOUBLE) AS demand, negative FROM gap_demand",
+    "sbc_class_gaps": SPARSE_SQL + " SELECT sku, n_periods, n_demands, adi, cv2, sbc FROM classes",
     "forecast_errors": _RECURSIVE
     + _engines(4, 4)
     + """

@@ -47,6 +47,11 @@ def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(F.col("p_partkey").cast("string").alias("sku"), last.alias("as_of"), qty.alias("qty"), F.lit(None).cast("decimal(18,2)").alias("value"), F.lit("part").alias("src_file"), F.col("i").cast("long").alias("src_row"))
 
 
+def sparse(stock: DataFrame) -> DataFrame:
+    """The snapshots that are left when a quarter of them, another one for each part, was not taken."""
+    return stock.where((F.col("sku").cast("long") + F.col("src_row")) % 4 != 1)
+
+
 def messy_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three spellings of every supplier."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").withColumn("v", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
@@ -84,3 +89,20 @@ classes AS (
   SELECT *, CASE WHEN n_demands = 0 THEN 'NoDemand' WHEN adi < 1.32 AND cv2 < 0.49 THEN 'Smooth' WHEN adi < 1.32 THEN 'Erratic'
                  WHEN cv2 < 0.49 THEN 'Intermittent' ELSE 'Lumpy' END AS sbc FROM shapes)
 """
+
+_CLASSES = SQL.index("moments AS")
+#: The same from sparse snapshots: gap_demand, and classes made of it.
+SPARSE_SQL = (
+    SQL[:_CLASSES]
+    + """sparse AS (SELECT sku, t, qty FROM stock WHERE (CAST(sku AS BIGINT) + i) % 4 <> 1),
+spans AS (SELECT sku, t, qty AS closing, lag(qty) OVER w AS opening, lag(t) OVER w AS since FROM sparse WINDOW w AS (PARTITION BY sku ORDER BY t)),
+balances AS (
+  SELECT s.sku, s.t, since, opening + coalesce(sum(receipts), 0) - closing AS balance
+  FROM spans s LEFT JOIN received r ON r.sku = s.sku AND r.t > since AND r.t <= s.t WHERE opening IS NOT NULL GROUP BY s.sku, s.t, since, opening, closing),
+spread AS (SELECT sku, t, since, balance, CAST(greatest(balance, 0) * 1000 AS BIGINT) AS milli, unnest(generate_series(since + 1, t)) AS p FROM balances),
+gap_demand AS (
+  SELECT sku, CAST(p AS INTEGER) AS t, (CASE WHEN p < t THEN milli // (t - since) ELSE milli - (milli // (t - since)) * (t - since - 1) END) / 1000.0 AS demand,
+         CAST(p = t AND balance < 0 AS INTEGER) AS negative FROM spread),
+"""
+    + SQL[_CLASSES:].replace("FROM demand GROUP", "FROM gap_demand GROUP")
+)

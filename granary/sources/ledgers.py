@@ -1,20 +1,22 @@
 """Typed ledgers from ERP exports: .csv and .xlsx files with padding rows and messy headers.
 
-Every file is read by itself, its header row found among the first rows by matching names against an alias table,
-its columns mapped to the ledger's schema, and only then are files united: reading several files with one header
-would assign columns by place. Rows that cannot be typed go to a second frame with a reason.
+Every file, and every sheet of a workbook, is read by itself, its header row found among the first rows by matching names
+against an alias table, its columns mapped to the ledger's schema, and only then are they united: reading several files
+with one header would assign columns by place. Headers of several files are looked up at the same time. Rows with a
+required value missing or any value that cannot be typed go to a second frame with a reason, and so do sheets without
+a header row in a workbook that has others with one. A purchase order's missing amount is its quantity times its rate.
 """
 
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-COLUMNS = 64  # most columns of a .csv file
 LOOK_AHEAD = 25  # rows searched for a header
 
 
@@ -97,7 +99,7 @@ def typed(cell: Column, kind: str) -> Column:
     text = F.nullif(F.trim(cell), F.lit(""))
     if kind == "string":
         return text
-    number = F.regexp_replace(text, "[, ]", "")
+    number = plain_number(text)
     if kind == "date":
         serial = number.try_cast("double")
         as_serial = F.when(text.rlike(r"^[0-9]{4,6}(\.[0-9]+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")))
@@ -105,6 +107,19 @@ def typed(cell: Column, kind: str) -> Column:
     return number.try_cast(kind)
 
 
+def plain_number(text: Column) -> Column:
+    """A number's text with a decimal point only. Commas before groups of two or three digits, three at last, divide
+    thousands or lakhs; points before groups of three do so if a comma or another point follows; any other comma is the
+    decimal mark. What fits none of these stays as it is and fails to be typed."""
+    t = F.regexp_replace(text, r"[\s\u00a0']", "")
+    return (
+        F.when(t.rlike(r"^[-+]?[0-9]{1,3}(,[0-9]{2,3})*,[0-9]{3}(\.[0-9]+)?$"), F.regexp_replace(t, ",", ""))
+        .when(t.rlike(r"^[-+]?[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$") | t.rlike(r"^[-+]?[0-9]+,[0-9]+$"), F.translate(F.regexp_replace(t, r"\.", ""), ",", "."))
+        .when(t.rlike(r"^[-+]?[0-9]{1,3}(\.[0-9]{3}){2,}$"), F.regexp_replace(t, r"\.", ""))
+        .otherwise(t)
+    )
+
+
 def check_size(spark: SparkSession, path: str, caps: dict[str, int] | None) -> None:
     """Raises if a file is larger than its extension's cap in bytes."""
     cap = (caps or {}).get(path.rsplit(".", 1)[-1].lower())
@@ -117,27 +132,27 @@ def check_size(spark: SparkSession, path: str, caps: dict[str, int] | None) -> N
 
 
 def _cells(spark: SparkSession, path: str) -> DataFrame:
-    """(src_row, cells) of a file, untyped."""
+    """(sheet, src_row, cells) of a file, untyped; a .csv file is one sheet without a name."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        # Padding rows may be narrower than the table, so the width is not taken from the first row.
-        wide = ", ".join(f"c{i} string" for i in range(COLUMNS))
+        # Padding rows may be narrower than the table, so the width is not taken from the first row; columns right of the
+        # header's last have no name, so the widest of the rows that may hold the header is wide enough.
+        head = spark.read.text(path).limit(LOOK_AHEAD).collect()
+        wide = ", ".join(f"c{i} string" for i in range(max([r[0].count(",") + 1 for r in head], default=1)))
         raw = spark.read.schema(wide).option("header", False).option("ignoreLeadingWhiteSpace", True).csv(path)
-        return raw.select(F.monotonically_increasing_id().alias("src_row"), F.array(*raw.columns).alias("cells"))
+        return raw.select(F.lit("").alias("sheet"), F.monotonically_increasing_id().alias("src_row"), F.array(*raw.columns).alias("cells"))
     if kind == "xlsx":
-        from granary.sources.xlsx import read_rows
-
-        schema = "src_row long, cells array<string>"
+        from granary.sources.xlsx import read_sheets
 
         def kernel(batches):
             import pandas as pd
 
             for pdf in batches:
                 for content in pdf.content:
-                    rows = read_rows(content)
-                    yield pd.DataFrame({"src_row": range(len(rows)), "cells": rows})
+                    for name, rows in read_sheets(content):
+                        yield pd.DataFrame({"sheet": name, "src_row": range(len(rows)), "cells": rows})
 
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(kernel, schema)
+        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(kernel, "sheet string, src_row long, cells array<string>")
     if kind == "xls":
         raise LedgerError(f"{path}: .xls needs a reader that this installation lacks; save it as .xlsx or .csv")
     raise LedgerError(f"{path}: unknown kind of file")
@@ -146,27 +161,54 @@ def _cells(spark: SparkSession, path: str) -> DataFrame:
 def load_file(spark: SparkSession, kind: str, path: str, caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     check_size(spark, path, caps)
     cells = _cells(spark, path)
-    head = cells.orderBy("src_row").limit(LOOK_AHEAD).collect()
-    at, index = find_header(kind, [r["cells"] or [] for r in head])
-    body = cells.where(F.col("src_row") > head[at]["src_row"]).where(F.exists("cells", lambda c: F.trim(c) != ""))
-    columns = {}
-    for f in LEDGERS[kind]:
-        cell = F.get("cells", F.lit(index[f.name])) if f.name in index else F.lit(None).cast("string")
-        columns[f.name] = typed(cell, f.kind)
-    rows = body.select(*[c.alias(n) for n, c in columns.items()], F.lit(path).alias("src_file"), "src_row", "cells")
-    bad = F.concat_ws(", ", *[F.when(F.col(f.name).isNull(), f.name) for f in LEDGERS[kind] if f.required])
-    rows = rows.withColumn("_bad", bad)
+    # A .csv file's first rows are those of its first partition; a workbook is one partition.
+    ahead = cells.limit(LOOK_AHEAD) if path.lower().endswith(".csv") else cells.where(F.col("src_row") < LOOK_AHEAD)
+    sheets: dict[str, list] = {}
+    for r in ahead.collect():
+        sheets.setdefault(r["sheet"], []).append(r)
+    parts, other, why = [], [], LedgerError(f"{path}: no rows")
+    for name, head in sheets.items():
+        try:
+            at, index = find_header(kind, [r["cells"] or [] for r in head])
+        except LedgerError as e:
+            other.append((path, head[0]["src_row"], f"sheet {name}: {e}", head[0]["cells"]))
+            why = e
+            continue
+        parts.append(_typed_rows(kind, path, cells.where((F.col("sheet") == name) & (F.col("src_row") > head[at]["src_row"])), index))
+    if not parts:
+        raise why
+    rows, rejects = parts[0]
+    for more, bad in parts[1:]:
+        rows, rejects = rows.unionByName(more), rejects.unionByName(bad)
+    if other:
+        rejects = rejects.unionByName(spark.createDataFrame(other, REJECTS))
+    return rows, rejects
+
+
+REJECTS = "src_file string, src_row long, reason string, cells array<string>"
+
+
+def _typed_rows(kind: str, path: str, cells: DataFrame, index: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    body = cells.where(F.exists("cells", lambda c: F.trim(c) != ""))
+    raw = {f.name: F.get("cells", F.lit(index[f.name])) if f.name in index else F.lit(None).cast("string") for f in LEDGERS[kind]}
+    columns = {f.name: typed(raw[f.name], f.kind) for f in LEDGERS[kind]}
+    bad = [F.when(columns[f.name].isNull() & (F.lit(f.required) | (F.coalesce(F.trim(raw[f.name]), F.lit("")) != "")), f.name) for f in LEDGERS[kind]]
+    rows = body.select(*[c.alias(n) for n, c in columns.items()], F.lit(path).alias("src_file"), "src_row", "cells", F.concat_ws(", ", *bad).alias("_bad"))
     rejects = rows.where("_bad != ''").select("src_file", "src_row", F.concat(F.lit("missing or unreadable: "), "_bad").alias("reason"), "cells")
-    return rows.where("_bad = ''").drop("_bad", "cells"), rejects
+    rows = rows.where("_bad = ''").drop("_bad", "cells")
+    if kind == "pov":
+        rows = rows.withColumn("amount", F.coalesce("amount", (F.col("qty") * F.col("rate")).cast("decimal(18,2)")))
+    return rows, rejects
 
 
 def load_ledger(spark: SparkSession, kind: str, paths: list[str], caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of all files of one ledger."""
     if not paths:
         schema = T.StructType([*[T.StructField(f.name, T._parse_datatype_string(f.kind)) for f in LEDGERS[kind]], T.StructField("src_file", T.StringType()), T.StructField("src_row", T.LongType())])
-        return spark.createDataFrame([], schema), spark.createDataFrame([], "src_file string, src_row long, reason string, cells array<string>")
-    rows, rejects = load_file(spark, kind, paths[0], caps)
-    for path in paths[1:]:
-        more, bad = load_file(spark, kind, path, caps)
+        return spark.createDataFrame([], schema), spark.createDataFrame([], REJECTS)
+    with ThreadPoolExecutor(min(8, len(paths))) as pool:
+        files = list(pool.map(lambda path: load_file(spark, kind, path, caps), paths))
+    rows, rejects = files[0]
+    for more, bad in files[1:]:
         rows, rejects = rows.unionByName(more), rejects.unionByName(bad)
     return rows, rejects

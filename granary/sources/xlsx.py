@@ -1,4 +1,4 @@
-"""The first sheet of an .xlsx workbook as rows of strings, with the standard library only."""
+"""The sheets of an .xlsx workbook as rows of strings, with the standard library only."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ import zipfile
 from xml.etree import ElementTree
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINKS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def _column(ref: str) -> int:
@@ -18,30 +19,47 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def read_rows(content: bytes) -> list[list[str | None]]:
+def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of all sheets in the workbook's order; by part where the workbook doesn't list them."""
+    names = book.namelist()
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        found = []
+        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet"):
+            target = targets.get(sheet.get(f"{LINKS}id"), "")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if part in names:
+                found.append((sheet.get("name", part), part))
+        if found:
+            return found
+    parts = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
+    return [(n.rsplit("/", 1)[-1].removesuffix(".xml"), n) for n in parts]
+
+
+def read_sheets(content: bytes) -> list[tuple[str, list[list[str | None]]]]:
     with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = book.namelist()
         shared = []
-        if "xl/sharedStrings.xml" in names:
+        if "xl/sharedStrings.xml" in book.namelist():
             for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{MAIN}si"):
                 shared.append("".join(t.text or "" for t in item.iter(f"{MAIN}t")))
-        sheets = sorted((n for n in names if n.startswith("xl/worksheets/sheet")), key=lambda n: (len(n), n))
-        rows: list[list[str | None]] = []
-        if not sheets:
-            return rows
-        for row in ElementTree.fromstring(book.read(sheets[0])).iter(f"{MAIN}row"):
-            number = int(row.get("r", len(rows) + 1))
-            rows += [[] for _ in range(number - 1 - len(rows))]  # rows that are left out are empty
-            cells: list[str | None] = []
-            for cell in row.iter(f"{MAIN}c"):
-                at = _column(cell.get("r", "")) if cell.get("r") else len(cells)
-                cells += [None] * (at + 1 - len(cells))
-                value, kind = cell.find(f"{MAIN}v"), cell.get("t")
-                if kind == "s" and value is not None:
-                    cells[at] = shared[int(value.text)]
-                elif kind == "inlineStr":
-                    cells[at] = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
-                elif value is not None:
-                    cells[at] = value.text
-            rows.append(cells)
-        return rows
+        return [(name, _rows(ElementTree.fromstring(book.read(part)), shared)) for name, part in _sheets(book)]
+
+
+def _rows(sheet: ElementTree.Element, shared: list[str]) -> list[list[str | None]]:
+    rows: list[list[str | None]] = []
+    for row in sheet.iter(f"{MAIN}row"):
+        number = int(row.get("r", len(rows) + 1))
+        rows += [[] for _ in range(number - 1 - len(rows))]  # rows that are left out are empty
+        cells: list[str | None] = []
+        for cell in row.iter(f"{MAIN}c"):
+            at = _column(cell.get("r", "")) if cell.get("r") else len(cells)
+            cells += [None] * (at + 1 - len(cells))
+            value, kind = cell.find(f"{MAIN}v"), cell.get("t")
+            if kind == "s" and value is not None:
+                cells[at] = shared[int(value.text)]
+            elif kind == "inlineStr":
+                cells[at] = "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
+            elif value is not None:
+                cells[at] = value.text
+        rows.append(cells)
+    return rows

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.sources.ledgers import LEDGERS, typed
 
 
+def _raw(spark: SparkSession, kind: str, folder: str) -> DataFrame:
+    """A header in another order than the ledger's is an error, not a mix-up of columns."""
+    schema = ", ".join(f"{f.name} string" for f in LEDGERS[kind])
+    return spark.readStream.option("header", True).option("enforceSchema", False).schema(schema).csv(folder)
+
+
+def _bad(kind: str) -> Column:
+    names = [F.when(typed(F.col(f.name), f.kind).isNull() & (F.lit(f.required) | (F.coalesce(F.trim(f.name), F.lit("")) != "")), f.name) for f in LEDGERS[kind]]
+    return F.concat_ws(", ", *names)
+
+
 def stream_ledger(spark: SparkSession, kind: str, folder: str) -> DataFrame:
-    """Rows of .csv files with the ledger's own column names that land in a folder; untypable rows are dropped
-    here and kept by the batch reader's rejects."""
-    fields = LEDGERS[kind]
-    raw = spark.readStream.option("header", True).schema(", ".join(f"{f.name} string" for f in fields)).csv(folder)
-    rows = raw.select(*[typed(F.col(f.name), f.kind).alias(f.name) for f in fields])
-    return rows.dropna(subset=[f.name for f in fields if f.required])
+    """Typed rows of .csv files with the ledger's own column names, in its order, that land in a folder; rows that can't be typed
+    are those of stream_rejects."""
+    rows = _raw(spark, kind, folder).where(_bad(kind) == "")
+    return rows.select(*[typed(F.col(f.name), f.kind).alias(f.name) for f in LEDGERS[kind]])
+
+
+def stream_rejects(spark: SparkSession, kind: str, folder: str) -> DataFrame:
+    """(reason, cells) of the rows that stream_ledger leaves out."""
+    raw = _raw(spark, kind, folder).withColumn("_bad", _bad(kind)).where("_bad != ''")
+    return raw.select(F.concat(F.lit("missing or unreadable: "), "_bad").alias("reason"), F.array(*[f.name for f in LEDGERS[kind]]).alias("cells"))
 
 
 def running_value(pov: DataFrame, late: str = "30 days") -> DataFrame:

@@ -38,6 +38,19 @@ def test_fifo_conserves_quantity(spark):
     assert got == {s: min(total(o, s), total(g, s)) for s in "abc" if min(total(o, s), total(g, s))}
 
 
+def test_demand_with_gaps_in_stock(spark):
+    """Receipts between two snapshots count whatever their period, and every calendar period has a row."""
+    stock = spark.createDataFrame([("a", dt.date(2020, 3, 31), Decimal(10), 1), ("a", dt.date(2020, 9, 30), Decimal(5), 2), ("a", dt.date(2020, 10, 31), Decimal(9), 3)], "sku string, as_of date, qty decimal(18,3), src_row long")
+    got = [("a", dt.date(2020, 3, 30), Decimal(7)), ("a", dt.date(2020, 5, 1), Decimal(100)), ("a", dt.date(2020, 9, 30), Decimal("0.5")), ("a", dt.date(2020, 12, 1), Decimal(3)), ("b", dt.date(2020, 5, 1), Decimal(3))]
+    grn = spark.createDataFrame(got, "sku string, receipt_date date, qty decimal(18,3)")
+    rows = inventory.demand_balance(stock, grn, "month").orderBy("t").collect()
+    first = 2020 * 12 + 3
+    assert [(r.t, r.demand, r.negative) for r in rows] == [
+        *[(first + k, Decimal("17.583"), 0) for k in range(5)], (first + 5, Decimal("17.585"), 0), (first + 6, Decimal(0), 1)
+    ]
+    assert classify.sbc_class(inventory.demand_balance(stock, grn, "month")).first().n_periods == 7
+
+
 def test_abc_and_pareto(spark):
     values = spark.createDataFrame([("a", Decimal(80)), ("b", Decimal(15)), ("c", Decimal(5)), ("d", Decimal(0))], "sku string, value decimal(18,2)")
     got = {r.sku: (r.abc, r.cumulative_share) for r in finance.abc_class(values).collect()}
@@ -109,4 +122,12 @@ def test_errors_of_all_engines_are_returned(spark):
 def test_vendor_key_is_idempotent(spark):
     v = spark.createDataFrame([("  Acme, Ltd. ",), ("ACME LTD",), ("acme-ltd",), (None,)], "vendor_name string")
     got = suppliers.dedup_vendors(v).select("vendor_key").distinct().collect()
-    assert [r[0] for r in got] == ["ACMELTD"]
+    assert sorted(r[0] or "" for r in got) == ["", "ACMELTD"]
+    other = spark.createDataFrame([("株式会社",), ("ООО Ромашка",), ("ооо «Ромашка»",), ("--",), ("!",)], "vendor_name string")
+    assert sorted(r.vendor_key for r in suppliers.dedup_vendors(other).collect()) == ["!", "--", "ОООРОМАШКА", "ОООРОМАШКА", "株式会社"]
+
+
+def test_clusters_without_lead_times(spark):
+    risk = [(v, 0.1 * k, None if k == 2 else 3.0 + k, None if k == 2 else 1.0, 0.0, 4) for k, v in enumerate("abcd")]
+    got = suppliers.supplier_clusters(spark.createDataFrame(risk, "vendor string, spend_share double, lead_time_mean double, lead_time_spread double, pending_ratio double, n_skus long"))
+    assert {r.vendor: r.lead_time_mean for r in got.collect()}["c"] == pytest.approx((3 + 4 + 6) / 3)

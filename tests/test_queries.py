@@ -53,3 +53,27 @@ def test_stream_of_orders(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.sku, int(r.qty)) for r in spark.table("orders_in").collect()] == [("A", 10)]
+
+
+def test_stream_rejects_and_order_of_columns(spark, tmp_path):
+    from granary.streaming.ledgers import running_value, stream_ledger, stream_rejects
+
+    good, other = tmp_path / "good", tmp_path / "other"
+    for folder in (good, other):
+        folder.mkdir()
+    head = "po_id,line_no,sku,vendor,order_date,qty,rate,amount"
+    (good / "a.csv").write_text(f"{head}\n1,1,A,V,2020-01-05,10,2,20\n2,1,A,V,2020-01-06,1,2,oops\n3,1,A,V,2020-01-07,1,2,5\n")
+    (other / "a.csv").write_text(f"{head.replace('sku,vendor', 'vendor,sku')}\n1,1,V,A,2020-01-05,10,2,20\n")
+
+    def run(df, name, mode="append"):
+        q = df.writeStream.format("memory").outputMode(mode).queryName(name).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return spark.table(name).collect()
+
+    assert [r.reason for r in run(stream_rejects(spark, "pov", str(good)), "bad_in")] == ["missing or unreadable: amount"]
+    assert [float(r.value) for r in run(running_value(stream_ledger(spark, "pov", str(good))), "value_in", "complete")] == [25.0]
+    with pytest.raises(Exception, match="(?i)header|STREAM_FAILED"):
+        run(stream_ledger(spark, "pov", str(other)), "mixed_in")
