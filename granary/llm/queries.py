@@ -25,7 +25,7 @@ def op2_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from granary.llm.caps import link
 
     linked = link(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", least=0.98)
-    return linked.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,88 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
-QUERIES = {"op1_lines": op1_lines, "op4_urls": op4_urls, "op7_ann": op7_ann, "op5_langid": op5_langid, "op8_substrings": op8_substrings, "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent}
-
-ORACLE: dict[str, str] = {}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4_urls says without its templates: host, path, rule and the rule's verdict."""
+    from granary.llm.urls import RULES, host_and_path, matching
+
+    host, path = host_and_path(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    found = matching(RULES, F.col("host"), F.col("path"))
+    return pages.select("page_id", "host", "path", found["rule"].alias("rule"), found["verdict"].alias("verdict"))
+
+
+QUERIES = {
+    "op1_lines": op1_lines, "op4_urls": op4_urls, "op7_ann": op7_ann, "op5_langid": op5_langid, "op8_substrings": op8_substrings,
+    "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent,
+    "url_rules": url_rules,
+}
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _components(nodes: str) -> str:
+    """Recursive closure of the links e (x < y): (node, component)."""
+    return f"""
+, ways AS (SELECT x AS a, y AS b FROM e UNION SELECT y, x FROM e),
+reach AS (SELECT DISTINCT {nodes} UNION SELECT ways.b, reach.root FROM reach JOIN ways ON ways.a = reach.node),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)"""
+
+
+ORACLE: dict[str, str] = {
+    "op2_caps": """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98)"""
+    + _components("vec_id AS node, vec_id AS root FROM embeddings")
+    + """
+SELECT vec_id, (SELECT count(*) FROM ways WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN comp ON node = vec_id""",
+    "op3_mixture": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ' ' || coalesce(text, '')), 1, 9) AS BIGINT) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)) AS w FROM d GROUP BY source),
+rates AS (
+  SELECT 0 AS step, 1.5 * (SELECT sum(source_size) FROM s) / (SELECT sum(w) FROM s) AS rate
+  UNION ALL
+  SELECT step + 1, (1.5 * (SELECT sum(source_size) FROM s) - coalesce((SELECT sum(2 * source_size) FROM s WHERE 2 * source_size < w * rate), 0)) / (SELECT sum(w) FROM s WHERE 2 * source_size >= w * rate)
+  FROM rates WHERE step < 64 AND rate IS NOT NULL),
+t AS (SELECT source, source_size, least(CAST(2 * source_size AS DOUBLE), w * (SELECT CAST(max(rate) AS DOUBLE) FROM rates)) AS target FROM s),
+b AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+v AS (SELECT source, place, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY source ORDER BY place) AS upto FROM d GROUP BY source, place),
+c AS (
+  SELECT v.source, CASE WHEN 2 * (target - whole * source_size - (upto - n)) > n THEN place + 1 ELSE place END AS below
+  FROM v JOIN b ON v.source IS NOT DISTINCT FROM b.source WHERE upto >= target - whole * source_size AND upto - n < target - whole * source_size)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN place < coalesce(below, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source""",
+    "op8_substrings": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+windows AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS g FROM starts),
+repeated AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM windows WHERE g IN (SELECT g FROM repeated)),
+each AS (SELECT r, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS word FROM d),
+kept AS (SELECT e.r, string_agg(word, ' ' ORDER BY e.k) AS text FROM each e LEFT JOIN gone g ON g.r = e.r AND g.k = e.k WHERE g.k IS NULL GROUP BY e.r),
+lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.r = d.r LEFT JOIN lost ON lost.r = d.r""",
+    "op9_partenum": f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c))"""
+    + _components("doc_id AS node, doc_id AS root FROM documents")
+    + """
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON node = d.doc_id""",
+    "url_rules": r"""
+WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS t(verdict, name, start)),
+hits AS (
+  SELECT page_id, arg_max(name || start, len(name || start)) AS rule, arg_max(verdict, len(name || start)) AS verdict
+  FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY page_id)
+SELECT p.page_id, host, path, rule, verdict FROM p LEFT JOIN hits ON hits.page_id = p.page_id""",
+}

@@ -1,19 +1,24 @@
 """URL filters: explicit rules, and path templates rejected by smoothed labelled purity. DataFrame operations only.
 
 A url's host and path are cut into segments. Digits are generalised first, so a host's paths fall
-into few shapes; then the tree is walked from its root: where a node has more than FANOUT different children, the
-segment is variable and all become ``*``; what lies below DEPTH is one branch. Sibling branches whose labelled shares
-of bad pages do not differ from their pooled share by more than Z deviations are merged and judged on
-the pooled evidence; a branch without labels is merged with none. A template is rejected if
-(bad + STRENGTH * PRIOR) / (labelled + STRENGTH) exceeds LIMIT, so an unlabelled one never is.
+into few shapes; then each host's tree of segments is walked from its root, down to the last segment: where a node has
+more than FANOUT different children, the segment is variable and all become ``*``. Sibling branches whose labelled
+shares of bad pages do not differ from their pooled share by more than Z deviations are merged and judged on the pooled
+evidence; a branch without labels is merged with none.
+
+A branch's purity is (bad + STRENGTH * purity above) / (labelled + STRENGTH), that above a host being PRIOR: few labels are
+drawn towards what is known of the branch above, and a branch without labels is judged by it alone. A branch with all
+the labels of the one above tells nothing new and keeps its purity. A template is rejected if its purity exceeds LIMIT.
 
 Labels are the caller's column; without one, the pages that a rule decides are the labelled ones.
 
 Everything is aggregated by host and shape before it is joined, so a host that holds a third of all pages is a
-few rows, unless its paths are; then the partial aggregates of a node carry the load.
+few rows, unless its paths are; then the partial aggregates of a node carry the load. A shape that is alone in its
+branch is not followed further, so the walk has as many rounds as different paths have segments in common.
 
-Edge cases: a null url and one without ``://`` have an empty host and path and no rule, and are allowed; rows
-that repeat are judged alike; an empty table gives an empty result; extra columns are ignored.
+Edge cases: a null url and one without ``://`` have an empty host and path and no rule; those are allowed unless labels
+say otherwise; empty segments and a last slash don't count; a very long path is followed as far as another one goes the
+same way; rows that repeat are judged alike; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +30,8 @@ from pyspark.sql import functions as F
 
 from granary.functions.staging import staged
 
-FANOUT, DEPTH, Z = 64, 4, 1.96
-STRENGTH, PRIOR, LIMIT = 5.0, 0.2, 0.8
+FANOUT, Z = 64, 1.96
+STRENGTH, PRIOR, LIMIT = 2.0, 0.3, 0.7
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 
@@ -53,33 +58,47 @@ def shape(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike("^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "{hex}").otherwise(F.regexp_replace(s, "[0-9]+", "#")))
 
 
-def templates(shapes: DataFrame) -> DataFrame:
-    """Adds to (host, shape, ...) the template's segments ``out`` by walking the tree from the root."""
-    now = shapes.withColumn("out", F.array().cast("array<string>"))
-    for level in range(DEPTH):
-        now = now.withColumns({"at": F.array_join("out", "/"), "segment": F.get(F.col("shape"), F.lit(level))})
-        wide = now.where("segment is not null").groupBy("host", "at").agg(F.count_distinct("segment").alias("n")).where(F.col("n") > FANOUT).select(F.col("host").alias("h"), F.col("at").alias("p"))
-        joined = now.join(wide, (F.col("host") == F.col("h")) & (F.col("at") == F.col("p")), "left")
-        segment = F.when(F.col("h").isNotNull(), F.lit("*")).otherwise(F.col("segment"))
-        out = F.when(F.col("segment").isNull(), F.col("out")).otherwise(F.concat("out", F.array(segment)))
-        now = staged(joined.withColumn("out", out).drop("h", "p", "at", "segment"), "templates")
-    return now.withColumn("out", F.when(F.size("shape") > DEPTH, F.concat("out", F.array(F.lit("**")))).otherwise(F.col("out")))
-
-
-def rejected(shapes: DataFrame) -> DataFrame:
-    """(host, shape) of rejected templates, from (host, shape, labelled, bad)."""
-    tree = templates(shapes).withColumns({"template": F.array_join("out", "/"), "parent": F.array_join(F.slice("out", 1, F.greatest(F.size("out") - 1, F.lit(0))), "/")})
-    own = staged(tree.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "evidence")
-    pool = own.where("labelled > 0").groupBy(F.col("host").alias("h"), F.col("parent").alias("p")).agg(F.sum("labelled").alias("all"), F.sum("bad").alias("all_bad"))
-    share = F.col("all_bad") / F.col("all")
-    deviation = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / F.col("all")))
-    alike = (F.col("labelled") > 0) & (F.abs(F.col("bad") / F.nullif(F.col("labelled"), F.lit(0)) - share) <= Z * deviation)
-    judged = own.join(pool, (F.col("host") == F.col("h")) & (F.col("parent") == F.col("p")), "left").withColumn("alike", F.coalesce(alike, F.lit(False)))
-    merged = judged.where("alike").groupBy(F.col("host").alias("mh"), F.col("parent").alias("mp")).agg(F.sum("labelled").alias("ml"), F.sum("bad").alias("mb"))
-    judged = judged.join(merged, F.col("alike") & (F.col("host") == F.col("mh")) & (F.col("parent") == F.col("mp")), "left")
-    n, bad = F.coalesce("ml", "labelled"), F.coalesce("mb", "bad")
-    worse = judged.where((bad + STRENGTH * PRIOR) / (n + STRENGTH) > LIMIT).select(F.col("host").alias("h"), F.col("template").alias("t"))
-    return tree.join(worse, (F.col("host") == F.col("h")) & (F.col("template") == F.col("t"))).select("host", F.array_join("shape", "/").alias("shape"))
+def purities(shapes: DataFrame) -> DataFrame:
+    """(host, name, purity) of all (host, name, shape, labelled, bad), walking each host's tree from the root."""
+
+    def smooth(bad, labelled, above):
+        return (bad + STRENGTH * above) / (labelled + STRENGTH)
+
+    roots = shapes.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("n_bad"))
+    roots = roots.select(F.col("host").alias("h"), "n", "n_bad", smooth(F.col("n_bad"), F.col("n"), F.lit(PRIOR)).alias("purity"))
+    now = shapes.join(roots, F.col("host") == F.col("h")).drop("h").withColumns({"at": F.lit(""), "open": F.size("shape") > 0})
+    now, done, level = staged(now, "tree"), [], 0
+    while True:
+        done.append(now.where("not open").select("host", "name", "purity"))
+        now = now.where("open")
+        if now.isEmpty():
+            break
+        now = now.withColumn("segment", F.get(F.col("shape"), F.lit(level)))
+        wide = now.groupBy(F.col("host").alias("h"), F.col("at").alias("p")).agg((F.count_distinct("segment") > FANOUT).alias("wide"))
+        now = now.join(wide, (F.col("host") == F.col("h")) & (F.col("at") == F.col("p"))).drop("h", "p")
+        child = F.concat_ws("/", "at", F.when(F.col("wide"), "*").otherwise(F.col("segment")))
+        now = staged(now.withColumn("child", child), "tree")
+        kids = now.groupBy("host", "at", "child").agg(
+            F.sum("labelled").alias("k"), F.sum("bad").alias("k_bad"), F.count("*").alias("shapes"), F.max("n").alias("n"), F.max("n_bad").alias("n_bad"), F.max("purity").alias("above")
+        )
+        n, k = (F.nullif(F.col(c), F.lit(0)) for c in ("n", "k"))  # null without labels, and then alike is null too
+        share = F.col("n_bad") / n
+        deviation = F.sqrt(share * (1 - share) * (1 / k + 1 / n))
+        alike = F.abs(F.col("k_bad") / k - share) <= Z * deviation + 1e-12
+        kids = staged(kids.withColumn("alike", F.coalesce(alike, F.lit(False))), "branches")
+        merged = kids.where("alike").groupBy(F.col("host").alias("mh"), F.col("at").alias("mp")).agg(F.sum("k").alias("m"), F.sum("k_bad").alias("m_bad"))
+        kids = kids.join(merged, F.col("alike") & (F.col("host") == F.col("mh")) & (F.col("at") == F.col("mp")), "left")
+        m, m_bad = F.coalesce("m", "k"), F.coalesce("m_bad", "k_bad")
+        purity = F.when((m == F.col("n")) | (m == 0), F.col("above")).otherwise(smooth(m_bad, m, F.col("above")))
+        kids = kids.select(F.col("host").alias("h"), F.col("child").alias("c"), "shapes", "k", "k_bad", purity.alias("of_child"))
+        next_ = now.join(kids, (F.col("host") == F.col("h")) & (F.col("child") == F.col("c")))
+        open_ = (F.size("shape") > level + 1) & (F.col("shapes") > 1)
+        now = next_.select("host", "name", "shape", "labelled", "bad", F.col("k").alias("n"), F.col("k_bad").alias("n_bad"), F.col("of_child").alias("purity"), F.col("child").alias("at"), open_.alias("open"))
+        now, level = staged(now, "tree"), level + 1
+    out = done[0]
+    for d in done[1:]:
+        out = out.union(d)
+    return out
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, bad: Column | None = None, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
@@ -89,8 +108,12 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, bad: Column | None =
     base = pages.select(*keep, host.alias("host"), path.alias("path"), label.alias("_label"))
     base = base.withColumn("_rule", matching(rules, F.col("host"), F.col("path")))
     base = base.withColumns({"_shape": shape(F.col("path")), "_bad": F.coalesce("_label", F.col("_rule.verdict") == "block")})
-    shapes = base.groupBy("host", F.col("_shape").alias("shape")).agg(F.count("_bad").alias("labelled"), F.sum(F.coalesce(F.col("_bad").cast("long"), F.lit(0))).alias("bad"))
-    out = staged(rejected(staged(shapes, "shapes")), "rejected").select(F.col("host").alias("_h"), F.col("shape").alias("_s"), F.lit(True).alias("_no"))
-    joined = base.join(out, (F.col("host") == F.col("_h")) & (F.array_join("_shape", "/") == F.col("_s")), "left")
+    base = base.withColumn("_name", F.array_join("_shape", "/"))
+    shapes = base.groupBy("host", F.col("_name").alias("name")).agg(
+        F.first("_shape").alias("shape"), F.count("_bad").alias("labelled"), F.sum(F.coalesce(F.col("_bad").cast("long"), F.lit(0))).alias("bad")
+    )
+    out = purities(staged(shapes, "shapes")).where(F.col("purity") > LIMIT)
+    out = staged(out, "rejected").select(F.col("host").alias("_h"), F.col("name").alias("_s"), F.lit(True).alias("_no"))
+    joined = base.join(out, (F.col("host") == F.col("_h")) & (F.col("_name") == F.col("_s")), "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_no"), "block"), F.lit("allow"))
     return joined.select(*keep, "host", "path", F.col("_rule.rule").alias("rule"), verdict.alias("verdict"))

@@ -104,6 +104,87 @@ def test_url_rules_and_templates(spark):
     assert all(out[i] == ("block" if "/spam/" in u else "allow") for i, (u, _) in enumerate(rows))
 
 
+def brute_tree(rows):
+    """Purity of every (host, shape) from (host, segments, label or None), by recursion over lists of pages."""
+    out = {}
+
+    def smooth(b, n, above):
+        return (b + urls.STRENGTH * above) / (n + urls.STRENGTH)
+
+    def evidence(pages):
+        known = [bad for _, bad in pages if bad is not None]
+        return len(known), sum(known)
+
+    def walk(host, pages, level, purity):
+        n, bad = evidence(pages)
+        branches = {}
+        names = {s[level] for s, _ in pages if len(s) > level}
+        for s, x in pages:
+            if len(s) == level:
+                out[host, s] = purity
+            else:
+                branches.setdefault("*" if len(names) > urls.FANOUT else s[level], []).append((s, x))
+        told = {k: evidence(v) for k, v in branches.items()}
+        share = bad / n if n else 0
+        alike = {k for k, (m, b) in told.items() if m and abs(b / m - share) <= urls.Z * (share * (1 - share) * (1 / m + 1 / n)) ** 0.5 + 1e-12}
+        pool = tuple(map(sum, zip(*(told[k] for k in alike), strict=True))) if alike else (0, 0)
+        for k, v in branches.items():
+            m, b = pool if k in alike else told[k]
+            walk(host, v, level + 1, purity if m in (0, n) else smooth(b, m, purity))
+
+    for host in {h for h, _, _ in rows}:
+        pages = [(s, x) for h, s, x in rows if h == host]
+        n, bad = evidence(pages)
+        walk(host, pages, 0, smooth(bad, n, urls.PRIOR))
+    return out
+
+
+def test_url_tree_by_brute_force(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(urls, "FANOUT", 4)
+    rnd = random.Random(2)
+    rows = []
+    for k in range(600):
+        host = f"h{k % 3}"
+        s = tuple(rnd.choice("abcdefgh"[: 3 + 3 * (level % 2)]) for level in range(rnd.randrange(7)))
+        bad = None if rnd.random() < 0.5 else rnd.random() < (0.9 if s[:1] == ("a",) else 0.1)
+        rows.append((host, s, bad))
+    want = brute_tree(rows)
+    df = spark.createDataFrame([(k, f"http://{h}/{'/'.join(s)}", x) for k, (h, s, x) in enumerate(rows)], "page_id long, url string, bad boolean")
+    got = {r.page_id: r.verdict for r in urls.judge(df, bad=F.col("bad")).collect()}
+    assert got == {k: "block" if want[h, s] > urls.LIMIT else "allow" for k, (h, s, _) in enumerate(rows)}
+    assert len(set(got.values())) == 2 and any(x is None and got[k] == "block" for k, (_, _, x) in enumerate(rows))
+
+
+@tables
+def test_templates_decide_pages_without_a_rule(spark):
+    from granary.llm.queries import op4_urls
+
+    verdicts = {r.verdict for r in op4_urls(spark, SF).where("rule is null").collect()}
+    assert verdicts == {"allow", "block"}
+
+
+@tables
+@pytest.mark.parametrize("name", ["op2_caps", "op3_mixture", "op8_substrings", "op9_partenum", "url_rules"])
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    from granary.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    want = con.execute(queries.ORACLE[name])
+    cols = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, SF).select(*cols).collect()
+
+    def plain(row):
+        return str([round(v, 4) if isinstance(v, float) else v for v in row])
+
+    assert sorted(map(plain, got)) == sorted(map(plain, want.fetchall()))
+
+
 def test_language_id_odd_rows(spark, odd_docs, no_docs):
     network = langid.fit(odd_docs, F.lit(True))
     got = {r.doc_id: r for r in langid.predict(odd_docs, network, ["doc_id"]).collect()}
