@@ -159,7 +159,7 @@ def test_lines_against_all_pairs(spark, monkeypatch, agree):
     sims = [int(lines.lines_of(pa.array([row.decode()]))[1][0]) for row in different]
     found = [(i, j) for i, j in pairs if (sims[i] ^ sims[j]).bit_count() <= lines.BITS]
     near = [(i, j) for i, j in pairs if lines.distance(different[i], different[j]) <= 0.05 * max(size[i], size[j])]
-    assert len(set(found) & set(near)) >= 0.8 * len(near) > 5
+    assert len(near) > 5 and len(set(found) & set(near)) >= 0.8 * len(near)
     root = list(range(len(different)))
 
     def find(x):
