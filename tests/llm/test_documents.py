@@ -385,12 +385,65 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def small_vocabulary(size: int = 0) -> maxent.Vocabulary:
+    shape = maxent.Shape(size)
+    stats = np.zeros(3 + 2 * shape.rest, np.int64)
+    stats[:3] = 5000, 40, 3
+    return maxent.Vocabulary(np.arange(10, 20, dtype=np.uint64), np.arange(20, 10, -1), stats, shape)
+
+
 def test_model_is_a_distribution():
-    rng = np.random.default_rng(0)
-    w, m = rng.normal(size=(maxent.CLASS_ROWS, maxent.CLASSES)), rng.normal(size=(maxent.MEMBER_ROWS, maxent.BUCKETS))
-    one, two = np.array([3, 7]), np.array([0, 9])
-    p = np.exp(maxent.class_scores(w, one, two)).repeat(maxent.MEMBERS, 1) * np.exp(maxent.member_scores(m, one))
-    assert p.sum(1) == pytest.approx([1, 1])
+    for size in (0, 10**9):
+        shape = maxent.Shape(size)
+        rng = np.random.default_rng(0)
+        w = rng.normal(size=(shape.class_rows, shape.classes)), rng.normal(size=(1 + shape.history, shape.buckets))
+        one, two = np.array([3, shape.history - 1]), np.array([0, 9])
+        p = np.exp(maxent.class_scores(w[0], one, two, shape)).repeat(shape.members, 1) * np.exp(maxent.member_scores(w[1], one, shape))
+        assert p.sum(1) == pytest.approx([1, 1])
+        bucket = np.arange(shape.buckets)
+        norms = maxent.member_norms(w[1], shape)
+        got = maxent._model(bucket, np.full_like(bucket, 3), np.zeros_like(bucket), w, norms, shape)
+        assert got == pytest.approx(np.log(p[0]), abs=1e-4)
+
+
+def test_model_grows_with_the_corpus():
+    sizes = [maxent.Shape(10**k) for k in range(8, 15)]
+    for name in ("classes", "buckets", "top", "history", "class_rows"):
+        grown = [getattr(s, name) for s in sizes]
+        assert grown == sorted(set(grown))
+
+
+def test_model_gradient():
+    """A block's gradient against differences of its negative log-likelihood, token by token."""
+    vocabulary = small_vocabulary()
+    shape, rng = vocabulary.shape, np.random.default_rng(1)
+    n = 400
+    one, two = 4 + rng.integers(0, 4, n), rng.integers(0, shape.history, n)
+    bucket = rng.integers(0, 40, n) * 20
+    w = [rng.normal(size=(shape.class_rows, shape.classes)), rng.normal(size=(1 + shape.history, shape.buckets))]
+    codes = np.concatenate([(one - 4) * shape.span + two * shape.classes + bucket // shape.members, (one - 4) * shape.span + shape.history * shape.classes + bucket])
+    codes, times = np.unique(codes, return_counts=True)
+    got = [np.zeros_like(x) for x in w]
+    for level, row, g in maxent._block_gradient(1, codes, times.astype(float), w, vocabulary):
+        got[level][row] += np.frombuffer(g, "<f4")
+
+    def loss():
+        c, m = maxent.class_scores(w[0], one, two, shape), maxent.member_scores(w[1], one, shape)
+        at = np.arange(n)
+        seen = (c[at, bucket // shape.members] + m[at, bucket]).sum()
+        return -seen - vocabulary.unknown * (c[:, -1] + m[:, -1]).sum()
+
+    for level in (0, 1):
+        used = np.argwhere(got[level])
+        for row, column in used[rng.permutation(len(used))[:40]]:
+            kept = w[level][row, column]
+            w[level][row, column] = kept + 1e-5
+            up = loss()
+            w[level][row, column] = kept - 1e-5
+            slope = (up - loss()) / 2e-5
+            w[level][row, column] = kept
+            assert slope == pytest.approx(got[level][row, column], rel=1e-3, abs=1e-3)
+    assert not got[0][1:5].any() and got[0][5:9].any()  # only the block's own words
 
 
 def test_empty_tables(no_docs):
