@@ -1,21 +1,24 @@
 """Nearest neighbours by an inverted file with product-quantised residuals and exact reranking.
 
 Coarse centroids and residual codebooks are fitted on at most SAMPLE vectors, picked by a hash; every vector
-is indexed. On the sample it is measured how many cells must be probed, and how many candidates reranked,
-for RECALL of the true neighbours; those two numbers are used for the search.
+is indexed. PILOTS vectors of the sample are then compared with all vectors, at every size of the table: that
+gives their true neighbours, and so how many cells must be probed, and how many candidates reranked, for RECALL of
+them. Those two numbers, without an upper end, are used for the search.
 
-Cells are dealt into shards of at most SHARD codes (a larger cell is salted over several), queries into blocks
-of QBLOCK. A task holds one shard and one block: it builds a distance table for each query and cell, sums table
-entries by code, and returns each query's best candidates of the shard. Candidates of all shards are cut to
-the best by estimate and reranked on the original vectors in double precision.
+Cells are dealt into shards of at most SHARD codes (a larger cell is salted over several), and the queries that
+probe a shard into blocks of QBLOCK; a code goes to the blocks of its own shard only. A task holds one shard and
+one block: it builds a distance table for each query and cell, sums table entries by code, and returns each query's
+best candidates of the shard. Candidates of all shards are cut to the best by estimate and reranked on the
+original vectors in double precision.
 
 Exact copies are indexed once; a copied vector stands for its smallest ids, as many as an answer can need. So a
 vector that a third of all rows share takes one code, and ties go to the smaller id.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null
-ids; a query is never its own neighbour; with fewer candidates than k all are returned; tables of up to ALL
-vectors are searched whole; vectors of another length than the query's are not compared; an empty table gives
-an empty result.
+ids; a query is never its own neighbour; with fewer candidates than k all are returned; vectors of another
+length than the query's are not compared; rows that share an id are one candidate and one query, by their
+nearest vectors; the index sees components cut to 1e100, the scores don't, and are scaled where their squares would
+overflow; columns other than the two named are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql.window import Window
 from granary.functions.staging import staged
 from granary.llm.caps import _column, matrix
 
-SAMPLE, RECALL, ALL = 20_000, 0.98, 2_000
+SAMPLE, PILOTS, RECALL = 20_000, 100, 0.98
+PROBES, RERANK = 32, 500  # at least
 SHARD, QBLOCK, CELLS, ITERATIONS = 32_768, 512, 4_096, 8
 
 
@@ -37,10 +41,21 @@ def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
 
 
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Each row's nearest row of ``c``."""
+    cuts = range(0, len(x), 1024)
+    return np.concatenate([squared(x[at : at + 1024], c).argmin(1) for at in cuts]) if len(x) else np.zeros(0, np.int64)
+
+
+def seen(column, dim: int) -> np.ndarray:
+    """The vectors as the index sees them, with squares that stay finite."""
+    return np.clip(matrix(column, dim), -1e100, 1e100)
+
+
 def kmeans(x: np.ndarray, k: int, rng) -> np.ndarray:
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(ITERATIONS):
-        near = squared(x, c).argmin(1)
+        near = nearest(x, c)
         n = np.bincount(near, minlength=len(c))
         total = np.stack([np.bincount(near, x[:, j], len(c)) for j in range(x.shape[1])], 1)
         c[n > 0] = total[n > 0] / n[n > 0, None]
@@ -55,46 +70,92 @@ class Index:
         dim = x.shape[1]
         self.cells = max(1, min(CELLS, round(n**0.5), len(x)))
         self.centroids = kmeans(x, self.cells, rng)
-        own = squared(x, self.centroids).argmin(1)
-        rest = x - self.centroids[own]
+        rest = x - self.centroids[nearest(x, self.centroids)]
         bounds = np.linspace(0, dim, min(dim, max(1, dim // 4)) + 1).astype(int)
         self.parts = [slice(a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         self.books = [kmeans(rest[:, p], min(256, len(x)), rng) for p in self.parts]
-        self.probes, self.rerank = self.cells, max(50, 5 * k)
-        if n > ALL and len(x) > 20 * k:
-            self.measure(x, own, k, rng)
+        self.pilots = x[rng.permutation(len(x))[:PILOTS]]
+        self.probes, self.rerank = PROBES, max(RERANK, 5 * k)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = squared(x, self.centroids).argmin(1)
+        own = nearest(x, self.centroids)
         rest = x - self.centroids[own]
-        return own, np.stack([squared(rest[:, p], b).argmin(1) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
+        codes = [nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)]
+        return own, np.stack(codes, 1).astype(np.uint8)
+
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        words = [b[codes[:, j]] for j, b in enumerate(self.books)]
+        return self.centroids[cell] + np.concatenate(words, 1)
 
     def estimate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to a cell's codes, by table."""
         rest = q - self.centroids[cell]
-        out = np.zeros((len(q), len(codes)), np.float32)
+        out = np.zeros((len(q), len(codes)))
         for j, (p, b) in enumerate(zip(self.parts, self.books, strict=True)):
-            out += squared(rest[:, p], b).astype(np.float32)[:, codes[:, j]]
+            out += squared(rest[:, p], b)[:, codes[:, j]]
         return out
 
-    def measure(self, x, own, k, rng) -> None:
-        pick = rng.permutation(len(x))[:100]
-        near = squared(x[pick], x)
-        near[np.arange(len(pick)), pick] = np.inf
-        true = np.argsort(near, 1)[:, :k]
-        order = np.argsort(squared(x[pick], self.centroids), 1)
+    def measure(self, reps: DataFrame, codes: DataFrame, k: int) -> None:
+        """Widths that find RECALL of the pilots' ``k`` nearest of all vectors."""
+        dim = self.centroids.shape[1]
+        best = Window.partitionBy("pilot").orderBy("far", "guess")
+        found = reps.mapInArrow(_pilot_nearest(self, dim, k), "pilot int, far double, guess double, cell int")
+        true = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k).toArrow()  # PILOTS * k rows
+        pilot, guess, cell = (true.column(c).to_numpy() for c in ("pilot", "guess", "cell"))
+        if not len(pilot):
+            return
+        order = np.argsort(squared(self.pilots, self.centroids), 1)
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(self.cells)[None], 1)
-        at = np.sort(np.take_along_axis(rank, own[true], 1).ravel())
-        self.probes = min(self.cells, int(at[int(np.ceil(RECALL * len(at))) - 1]) + 1)
-        _, codes = self.encode(x)
-        guess = np.empty((len(pick), len(x)), np.float32)
-        for c in np.unique(own):
-            mine = np.flatnonzero(own == c)
-            guess[:, mine] = self.estimate(x[pick], c, codes[mine])
-        guess[np.arange(len(pick)), pick] = np.inf
-        place = (guess[:, None, :] < np.take_along_axis(guess, true, 1)[:, :, None]).sum(2).ravel()
-        self.rerank = int(np.clip(3 * np.sort(place)[int(np.ceil(0.99 * len(place))) - 1], max(50, 5 * k), 4000))
+        at = int(np.ceil(RECALL * len(pilot))) - 1
+        self.probes = max(self.probes, int(np.sort(rank[pilot, cell])[at]) + 1)
+        before = codes.mapInArrow(_pilot_places(self, pilot, guess), "neighbour int, n long")
+        places = before.groupBy("neighbour").agg(F.sum("n").alias("n")).toArrow().column("n").to_numpy()
+        self.rerank = max(self.rerank, int(np.sort(places)[at]) + 1)
+
+
+def _pilot_nearest(index: Index, dim: int, k: int):
+    """A partition's nearest vectors of each pilot, but the pilot itself: exact and estimated distance, cell."""
+
+    def kernel(batches):
+        held = [np.zeros((len(index.pilots), 0)) for _ in range(3)]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                x = seen(_column(batch.slice(at, 2048), "v"), dim)
+                cell, code = index.encode(x)
+                far, guess = squared(index.pilots, x), squared(index.pilots, index.decode(cell, code))
+                for i, j in zip(*np.nonzero(far <= 1e-9 * (index.pilots**2).sum(1)[:, None]), strict=True):
+                    if (x[j] == index.pilots[i]).all():
+                        far[i, j] = np.inf
+                new = [far, guess, np.broadcast_to(cell.astype(float), far.shape)]
+                held = [np.concatenate(z, 1) for z in zip(held, new, strict=True)]
+                near = np.argsort(held[0], 1, kind="stable")[:, :k]
+                held = [np.take_along_axis(z, near, 1) for z in held]
+        far, guess, cell = (z.ravel() for z in held)
+        pilot = np.repeat(np.arange(len(index.pilots), dtype=np.int32), held[0].shape[1])
+        fine = np.isfinite(far)
+        cols = [pilot[fine], far[fine], guess[fine], cell[fine].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["pilot", "far", "guess", "cell"])
+
+    return kernel
+
+
+def _pilot_places(index: Index, pilot: np.ndarray, limit: np.ndarray):
+    """How many of a partition's vectors are estimated nearer than each of the true neighbours."""
+
+    def kernel(batches):
+        n = np.zeros(len(pilot), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                code = np.frombuffer(b"".join(_column(part, "code").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                guess = np.sort(squared(index.pilots, index.decode(_column(part, "cell").to_numpy(), code)), 1)
+                for i in range(len(index.pilots)):
+                    mine = pilot == i
+                    n[mine] += np.searchsorted(guess[i], limit[mine])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n)], ["neighbour", "n"])
+
+    return kernel
 
 
 def _assign(index: Index, dim: int):
@@ -102,8 +163,9 @@ def _assign(index: Index, dim: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                own, codes = index.encode(matrix(_column(part, "v"), dim))
-                yield pa.RecordBatch.from_arrays([_column(part, "rep"), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["rep", "cell", "code"])
+                own, codes = index.encode(seen(_column(part, "v"), dim))
+                data = [pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())]
+                yield pa.RecordBatch.from_arrays([_column(part, "rep"), *data], ["rep", "cell", "code"])
 
     return kernel
 
@@ -113,7 +175,7 @@ def _probe(index: Index, dim: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                far = squared(matrix(_column(part, "q"), dim), index.centroids)
+                far = squared(seen(_column(part, "q"), dim), index.centroids)
                 near = np.argsort(far, 1)[:, : index.probes].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, near.shape[1]).astype(np.int32)), pa.array(near.ravel()))
                 yield pa.RecordBatch.from_arrays([_column(part, "query_id"), _column(part, "q"), lists], ["query_id", "q", "cells"])
@@ -123,17 +185,17 @@ def _probe(index: Index, dim: int):
 
 def _search(index: Index, dim: int):
     def kernel(key, codes, queries):
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "guess": pa.array([], pa.float32())})
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "guess": pa.array([], pa.float64())})
         if not codes.num_rows or not queries.num_rows:
             return empty
         rep, cell = codes.column("rep").to_numpy(), codes.column("cell").to_numpy()
         code = np.frombuffer(b"".join(codes.column("code").to_pylist()), np.uint8).reshape(len(rep), -1)
-        q, ids = matrix(queries.column("q"), dim), queries.column("query_id").to_numpy()
+        q, ids = seen(queries.column("q"), dim), queries.column("query_id").to_numpy()
         probed = np.zeros((len(ids), index.cells), bool)
         lists = queries.column("cells").combine_chunks()
         flat, width = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
         probed[np.repeat(np.arange(len(ids)), width), flat] = True
-        guess = np.full((len(ids), len(rep)), np.inf, np.float32)
+        guess = np.full((len(ids), len(rep)), np.inf)
         for c in np.unique(cell):
             who, mine = np.flatnonzero(probed[:, c]), np.flatnonzero(cell == c)
             if len(who):
@@ -155,8 +217,18 @@ def _exact(batches):
         if batch.num_rows:
             q, v = _column(batch, "q"), _column(batch, "v")
             dim = len(q[0])
-            d = matrix(q, dim) - matrix(v, dim)
-            yield pa.RecordBatch.from_arrays([_column(batch, "query_id"), _column(batch, "rep"), pa.array(np.sqrt((d * d).sum(1)))], ["query_id", "rep", "score"])
+            with np.errstate(over="ignore"):
+                a, b = matrix(q, dim), matrix(v, dim)
+                d = a - b
+                score = np.sqrt((d * d).sum(1))
+            odd = np.flatnonzero(~np.isfinite(score) | ((score < 1e-140) & d.any(1)))  # squares out of range
+            if len(odd):
+                scale = np.maximum(np.abs(a[odd]).max(1), np.abs(b[odd]).max(1))[:, None]
+                d = a[odd] / scale - b[odd] / scale
+                most = np.maximum(np.abs(d).max(1, keepdims=True), 1e-300)
+                with np.errstate(over="ignore"):
+                    score[odd] = np.sqrt(((d / most) ** 2).sum(1)) * most[:, 0] * scale[:, 0]
+            yield pa.RecordBatch.from_arrays([_column(batch, "query_id"), _column(batch, "rep"), pa.array(score)], ["query_id", "rep", "score"])
 
 
 def usable(v: Column) -> Column:
@@ -176,9 +248,10 @@ def search(rows: DataFrame, vec_id: str, embedding: str, is_query: Column, k: in
         n = reps.count()
         share = min(1.0, 1.1 * SAMPLE / n)
         sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("rep").limit(SAMPLE).select("v") if n > SAMPLE else reps.select("v")
-        x = matrix(sample.toArrow().column("v"), dim)
+        x = seen(sample.toArrow().column("v"), dim)
         index = Index(x, n, k)
         codes = staged(reps.mapInArrow(_assign(index, dim), "rep long, cell int, code binary"), "codes")
+        index.measure(reps, codes, k)
         shard_of, shard, used = [], 0, 0  # (cell, salts, first shard): one row a cell
         for r in sorted(codes.groupBy("cell").count().collect(), key=lambda r: r["cell"]):
             salts = -(-r["count"] // SHARD)
@@ -190,11 +263,17 @@ def search(rows: DataFrame, vec_id: str, embedding: str, is_query: Column, k: in
                 shard, used = shard + salts, 0
         shards = spark.createDataFrame(shard_of, "cell int, salts int, first int")
         queries = staged(own.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct().mapInArrow(_probe(index, dim), "query_id long, q array<double>, cells array<int>"), "queries")
-        blocks = max(1, -(-queries.count() // QBLOCK))
-        placed = codes.join(F.broadcast(shards), "cell").select((F.col("first") + F.pmod(F.xxhash64("rep"), F.col("salts"))).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "rep", "cell", "code")
-        asked = queries.withColumn("cell", F.explode("cells")).join(F.broadcast(shards), "cell").withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)))
-        asked = asked.groupBy("query_id", "shard").agg(F.first("q").alias("q"), F.collect_list("cell").alias("cells")).select("shard", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "query_id", "q", "cells")
-        near = placed.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(index, dim), "query_id long, rep long, guess float")
+        asked = queries.withColumn("cell", F.explode("cells")).join(F.broadcast(shards), "cell")
+        asked = asked.withColumn("shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("salts") - 1)))
+        asked = staged(asked.groupBy("query_id", "q", "shard").agg(F.collect_list("cell").alias("cells")), "asked")
+        # A shard's codes go to as many blocks as the queries that probe it fill.
+        blocks = staged(asked.groupBy("shard").agg(F.ceil(F.count("*") / QBLOCK).cast("int").alias("blocks")), "blocks")
+        of_shard = (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("salts"))).cast("int")
+        placed = codes.join(F.broadcast(shards), "cell").select(of_shard.alias("shard"), "rep", "cell", "code").join(blocks, "shard")
+        placed = placed.select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "cell", "code")
+        block = F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")
+        asked = asked.join(blocks, "shard").select("shard", block.alias("block"), "query_id", "q", "cells")
+        near = placed.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(index, dim), "query_id long, rep long, guess double")
         best = Window.partitionBy("query_id").orderBy("guess", "rep")
         near = staged(near.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= index.rerank).select("query_id", "rep"), "candidates")
         exact = near.join(reps, "rep").join(queries.select("query_id", "q"), "query_id").mapInArrow(_exact, "query_id long, rep long, score double")

@@ -73,6 +73,47 @@ def test_recall_of_a_searched_index(spark):
     assert hit >= 0.9 * 500
 
 
+def exact_neighbours(x, q, k=10):
+    d = ((x - x[q]) ** 2).sum(1)
+    d[q] = np.inf
+    return set(np.lexsort((np.arange(len(x)), d))[:k].tolist())
+
+
+@pytest.mark.parametrize("n", [300, 1900, 2100, 20_500])
+def test_recall_at_all_sizes(spark, n):
+    """Close groups amid spread vectors; copies count as neighbours of one another."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 16)).astype(np.float32)
+    x[: n // 3] = x[rng.integers(n // 2, n, n // 3)] + rng.normal(size=(n // 3, 16)).astype(np.float32) * 0.1
+    x[7:27] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, "vec_id", "embedding", F.col("vec_id") % 100 == 0, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = range(0, n, 100)
+    hit = sum(len(exact_neighbours(x.astype(float), q) & got[q]) for q in asked)
+    assert hit >= 0.95 * 10 * len(asked)
+    assert got[0] == set(range(7, 17))
+
+
+def test_neighbours_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))
+    x[:12] *= 1e200
+    x[12:20] *= 1e-200
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, "vec_id", "embedding", F.lit(True), 10).collect():
+        got.setdefault(r.query_id, []).append(r)
+    big = x.astype(np.longdouble)
+    for q, found in got.items():
+        d = np.sqrt(((big - big[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert len(found) == 10
+        want = np.sort(d)[:10].astype(float).tolist()
+        assert [r.score for r in sorted(found, key=lambda r: r["rank"])] == pytest.approx(want, rel=1e-9)
+
+
 def test_empty_vectors(spark):
     none = spark.createDataFrame([], ODD)
     assert caps.link(none, "vec_id", "embedding", "label").count() == 0
