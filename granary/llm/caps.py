@@ -8,10 +8,10 @@ precision.
 
 The cap is relative to a vector's best filter (its maximum less ``slack``), so no vector is without filters.
 At cosine c two unit vectors differ by d = sqrt(2 - 2c), and any filter's score by at most d; with a slack of
-2d the best filter of either is surely in both lists. In high dimension that is far more than is needed:
-the difference of two scores then has a deviation near d * sqrt(2 / dim), and ``slack`` is SLACK * d, two
-deviations at 64 components for one filter, of a dozen or more that a pair shares: pairs at the limit of 0.98
-shared no fewer than 5 of about 20 when measured with a smaller slack. Below 16 components the sure slack is used.
+2d the best filter of either is surely in both lists. That is far more than is needed, so the slack is measured
+for the dimension and the code at hand (``slack_for``): the smallest of a rising series at which each of PAIRS
+random pairs at exactly the limit shares SHARED filters or more. The rotation is random, so how a pair lies to
+the filters does not depend on the data.
 
 A filter's vectors are compared in blocks of at most ``BLOCK``: a hot filter becomes many block pairs, spread
 over tasks, and a task holds two blocks. A pair is counted in the first filter that both have,
@@ -20,7 +20,8 @@ copies (same label, same components) are collapsed to their smallest id before,
 
 Edge cases: a null label, and vectors that are null, empty, zero or hold null or non-finite components
 link with nothing and keep themselves; vectors of unlike lengths never link; rows that share an id are one
-node and link by any of its vectors; an empty table gives an empty result.
+node and link by any of its vectors; rows without an id keep it and have no component; columns other than the
+three named are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,8 +36,7 @@ from granary.llm.cluster import components
 from granary.llm.text import ranges
 
 PARTS = 3
-SLACK = 0.35
-MOST = 1200  # code words a block, so that a filter's number fits 32 bits
+PAIRS, SHARED = 512, 2
 BLOCK = 1024
 
 
@@ -91,7 +91,30 @@ def decode(x: np.ndarray, rotation, codes, blocks, slack: float) -> tuple[np.nda
     return rows, ids
 
 
-def _decode_kernel(dim: int, size: int, seed: int, slack: float):
+def slack_for(dim: int, size: int, seed: int, least: float) -> float:
+    """The smallest slack of a rising series at which random pairs at cosine ``least`` share SHARED filters."""
+    sure = 2 * float(np.sqrt(max(0.0, 2 - 2 * least)))
+    if dim < 2 or not sure:
+        return sure
+    rng = np.random.default_rng([seed, dim])
+    parts = code(dim, size, seed)
+    x, z = (unit(rng.normal(size=(PAIRS, dim))) for _ in range(2))
+    y = least * x + np.sqrt(1 - least**2) * unit(z - (z * x).sum(1, keepdims=True) * x)
+    slack = sure / 40
+    while slack < sure:
+        shared = []
+        for at in range(0, PAIRS, 64):
+            both = [decode(v[at : at + 64], *parts, slack) for v in (x, y)]
+            one, two = (rows * size**PARTS + ids for rows, ids in both)
+            common = np.intersect1d(one, two, assume_unique=True) // size**PARTS
+            shared.append(np.bincount(common, minlength=len(x[at : at + 64])).min())
+        if min(shared) >= SHARED:
+            return slack
+        slack *= 1.1
+    return sure
+
+
+def _decode_kernel(dim: int, size: int, seed: int, slack: float, number: type):
     def kernel(batches):
         parts = code(dim, size, seed)
         for batch in batches:
@@ -102,7 +125,7 @@ def _decode_kernel(dim: int, size: int, seed: int, slack: float):
                 order = np.lexsort((ids, rows))
                 rows, ids = rows[order], ids[order]
                 off = np.searchsorted(rows, np.arange(part.num_rows + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(ids.astype(number)))
                 yield pa.RecordBatch.from_arrays([*[_column(part, c) for c in ("node", "label", "copies", "v")], lists], ["node", "label", "copies", "v", "filters"])
 
     return kernel
@@ -213,9 +236,10 @@ def link(rows: DataFrame, vec_id: str, embedding: str, label: str, least: float
     for dim in dims:
         own = groups.where(F.size("v") == dim).select(F.col("least").alias("node"), "label", "copies", "v")
         n = own.count()
-        k = min(MOST, size or max(4, round((10 * n) ** (1 / PARTS))))
-        slack = (2 if dim < 16 else SLACK) * float(np.sqrt(2 - 2 * least))
-        decoded = own.mapInArrow(_decode_kernel(dim, k, seed, slack), f"node long, label string, copies long, v {kind}, filters array<int>")
+        k = size or max(4, round((10 * n) ** (1 / PARTS)))
+        number, name = (np.int32, "int") if k**PARTS < 1 << 31 else (np.int64, "long")
+        kernel = _decode_kernel(dim, k, seed, slack_for(dim, k, seed, least), number)
+        decoded = own.mapInArrow(kernel, f"node long, label string, copies long, v {kind}, filters array<{name}>")
         decoded = staged(decoded.withColumn("uid", F.monotonically_increasing_id()), "decoded")
         # Which filters another vector has is settled on ids; the vectors are dealt once, to those filters only.
         slim = decoded.select("uid", "label", F.explode("filters").alias("filter"))

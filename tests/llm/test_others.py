@@ -48,6 +48,40 @@ def test_caps_links(vectors):
     assert {i: r.component_id for i, r in got.items()} == root
 
 
+def test_caps_of_a_crowd_and_of_pairs_at_the_limit(spark):
+    """A crowd that takes several blocks of one filter, and pairs a hair above and below 0.98."""
+    rng = np.random.default_rng(6)
+    crowd = np.eye(16)[0] + rng.normal(size=(2500, 16)) * 0.03
+    x = caps.unit(rng.normal(size=(300, 16)))
+    z = rng.normal(size=x.shape)
+    z = caps.unit(z - (z * x).sum(1, keepdims=True) * x)
+    c = np.where(np.arange(300) % 2, 0.98 - 1e-6, 0.98 + 1e-6)[:, None]
+    v = np.concatenate([crowd, x, c * x + np.sqrt(1 - c**2) * z])
+    df = spark.createDataFrame([(i, r.tolist(), "a") for i, r in enumerate(v)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r for r in caps.link(df, "vec_id", "embedding", "label").collect()}
+    u = caps.unit(v)
+    near = u @ u.T >= 0.98
+    assert [got[i].n_links for i in range(len(v))] == (near.sum(1) - 1).tolist()
+    assert all((got[2800 + i].component_id == got[2500 + i].component_id) == (i % 2 == 0) for i in range(300))
+
+
+@pytest.mark.parametrize("dim", [1, 2, 24, 64, 384])
+def test_caps_slack(dim):
+    """Fresh pairs at the limit share a filter, and the lists stay short in high dimension."""
+    size, seed = 79, 7
+    slack = caps.slack_for(dim, size, seed, 0.98)
+    rng = np.random.default_rng(99)
+    x, z = (caps.unit(rng.normal(size=(1000, dim))) for _ in range(2))
+    y = x if dim == 1 else 0.98 * x + np.sqrt(1 - 0.98**2) * caps.unit(z - (z * x).sum(1, keepdims=True) * x)
+    parts = caps.code(dim, size, seed)
+    found = []
+    for at in range(0, 1000, 100):
+        (a, f), (b, g) = (caps.decode(v[at : at + 100], *parts, slack) for v in (x, y))
+        found.append((len(set(zip(a.tolist(), f.tolist(), strict=True)) & set(zip(b.tolist(), g.tolist(), strict=True))), len(a)))
+        assert len(np.unique(np.intersect1d(a * size**3 + f, b * size**3 + g) // size**3)) == 100
+    assert dim < 24 or sum(n for _, n in found) < 120 * 1000
+
+
 def test_neighbours(vectors):
     rows = [r for r in vectors.collect() if usable(r)]
     got = {}
