@@ -12,7 +12,7 @@ distribution over the vocabulary.
 
 The model grows with the corpus, without an upper end: the numbers of history values, of pairs and of buckets
 grow with the fourth root of its bytes, the weights so with the square root (``Shape``): some 5 million at
-30 GB, 300 million at 100 TB.
+30 GB, 250 million at 100 TB.
 
 Training reads every training text. Tokens with the same hashed history have the same features and so the
 same gradient: each task counts (history, class) and (history, bucket) sparsely, the counts are summed by a
