@@ -36,7 +36,7 @@ from granary.llm.cluster import components
 from granary.llm.text import ranges
 
 PARTS = 3
-PAIRS, SHARED = 512, 2
+PAIRS, SHARED = 256, 4
 BLOCK = 1024
 
 
