@@ -88,6 +88,32 @@ def op10_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), remainder(10) == 0)
 
 
+def op11_annulus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.centroids import cluster
+
+    done = cluster(table(spark, sf_dir, "embeddings"))
+    sums = done.assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()  # a row a cluster
+    sizes = {r["cluster"]: int(r["s"]) for r in sums}
+    rows = [(i, sizes.get(i, 0), sum(sizes.values()), digest) for i, digest in enumerate(done.digests())]
+    each = spark.createDataFrame(rows, "c int, cluster_inertia long, inertia long, centroid_sha256 string")
+    joined = done.assigned.join(F.broadcast(each), F.col("cluster") == F.col("c"))
+    return joined.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder(3) == 1, F.lit(False))
+    return score(docs.withColumn("held_out", held_out), fit(docs, table(spark, sf_dir, "labels"), ~held_out), ["doc_id", "held_out"])
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from granary.llm.audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4_urls says without its templates: host, path, rule and the rule's verdict."""
     from granary.llm.urls import RULES, host_and_path, matching
@@ -101,7 +127,7 @@ def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lines": op1_lines, "op4_urls": op4_urls, "op7_ann": op7_ann, "op5_langid": op5_langid, "op8_substrings": op8_substrings,
     "op9_partenum": op9_partenum, "op2_caps": op2_caps, "op3_mixture": op3_mixture, "op6_packing": op6_packing, "op10_maxent": op10_maxent,
-    "url_rules": url_rules,
+    "op11_annulus": op11_annulus, "op12_quality": op12_quality, "op13_audit": op13_audit, "url_rules": url_rules,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -116,6 +142,31 @@ reach AS (SELECT DISTINCT {nodes} UNION SELECT ways.b, reach.root FROM reach JOI
 comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)"""
 
 
+def _lloyd(k: int, rounds: int) -> str:
+    """Lloyd's rounds in integers, written out: m0 are the first centroids, a<i> the assignments of a round, m<i> the centroids after it."""
+    out = f"""
+WITH u AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+m0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS INTEGER) AS c, v AS m FROM u ORDER BY sha256('3:' || vec_id) LIMIT {k})"""
+    for i in range(rounds + 1):
+        out += f""",
+d{i} AS (SELECT vec_id, v, c, CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance FROM u CROSS JOIN m{i}),
+a{i} AS MATERIALIZED (SELECT vec_id, first(v) AS v, CAST(first(c ORDER BY distance, c) AS INTEGER) AS c, min(distance) AS distance FROM d{i} GROUP BY vec_id)"""
+        if i < rounds:
+            out += f""",
+e{i} AS (SELECT c, unnest(v) AS x, unnest(range(1, 65)) AS k FROM a{i}),
+s{i} AS (SELECT c, k, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e{i} GROUP BY c, k),
+n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY k) AS m FROM s{i} GROUP BY c),
+m{i + 1} AS MATERIALIZED (SELECT o.c, coalesce(n.m, o.m) AS m FROM m{i} o LEFT JOIN n{i} n ON n.c = o.c)"""
+    return (
+        out
+        + f"""
+SELECT vec_id, a.c AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} a JOIN m{rounds} m ON m.c = a.c"""
+    )
+
+
 ORACLE: dict[str, str] = {
     "op2_caps": """
 WITH RECURSIVE u AS (
@@ -163,6 +214,28 @@ e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y W
     + _components("doc_id AS node, doc_id AS root FROM documents")
     + """
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN comp ON node = d.doc_id""",
+    "op11_annulus": _lloyd(8, 10),
+    "op13_audit": f"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+f AS (
+  SELECT doc_id, part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * len(text),
+         regexp_matches(text, '[#$%&*|]'), coalesce(least < doc_id, false)] AS fails FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM f LEFT JOIN l ON l.doc_id = f.doc_id GROUP BY ALL),
+i AS (SELECT CAST(range AS INTEGER) + 1 AS i FROM range(5)),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM i a, i b, i c, i d, i e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+x AS (SELECT part, good, toxic, n, fails, o, coalesce(list_position(list_transform(o, lambda k: fails[k]), true), 6) AS gone FROM m CROSS JOIN o),
+steps AS (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM x),
+r AS (
+  SELECT part, o, CAST(step AS INTEGER) AS step, o[step] AS f, CAST(coalesce(sum(n) FILTER (gone > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (gone = step), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (gone < step AND fails[o[step]]), 0) AS BIGINT) AS redundant,
+         CAST(coalesce(sum(n) FILTER (fails[o[step]] AND len(list_filter(fails, lambda v: v)) = 1), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(n) FILTER (gone = step AND good = 1), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(n) FILTER (gone = step AND toxic = 1), 0) AS BIGINT) AS toxic_lost
+  FROM steps GROUP BY part, o, step)
+SELECT part, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r""",
     "url_rules": r"""
 WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (
