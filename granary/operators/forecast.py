@@ -122,6 +122,12 @@ def forest(y: np.ndarray, p: Params) -> list[float]:
 
 
 def rf(s: DataFrame, p: Params = Params()) -> DataFrame:
+    """The forest engine: one small forest for each item in Python, or one pooled forest grown from Spark aggregates."""
+    if p.forest == "pooled":
+        from granary.operators.forest import pooled
+
+        return pooled(s, p)
+
     def kernel(batches):
         for pdf in batches:
             rows = [(sku, "RF", h, round(v, 4)) for sku, y in zip(pdf.sku, pdf.y, strict=True) for h, v in enumerate(forest(np.asarray(y, float), p), 1)]
@@ -149,6 +155,18 @@ def forecast_compare(s: DataFrame, p: Params = Params(), engines: tuple[str, ...
     return out.groupBy("sku", "h").pivot("engine", list(engines)).agg(F.first("yhat"))
 
 
+def beside_history(demand: DataFrame, s: DataFrame, p: Params = Params(), engines: tuple[str, ...] = ENGINES) -> DataFrame:
+    """(sku, t, kind, y): each item's demand by period, kind "history", and after its last period every engine's forecast, kind being the
+    engine: the lines of a chart that lays forecasts over history."""
+    past = demand.select("sku", "t", F.lit("history").alias("kind"), F.col("demand").cast("double").alias("y"))
+    last = demand.groupBy("sku").agg(F.max("t").alias("last"))
+    made = KERNELS[engines[0]](s, p)
+    for e in engines[1:]:
+        made = made.unionByName(KERNELS[e](s, p))
+    ahead = made.join(last, "sku").select("sku", (F.col("last") + F.col("h")).alias("t"), F.col("engine").alias("kind"), F.col("yhat").alias("y"))
+    return past.unionByName(ahead)
+
+
 def forecast_errors(demand: DataFrame, p: Params = Params(), engines: tuple[str, ...] = ("GLM", "TSB")) -> DataFrame:
     """MAE, RMSE, bias and MAPE (over actuals above 0) by item and engine on the last ``holdout`` periods."""
     ahead = F.row_number().over(_latest())

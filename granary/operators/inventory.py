@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.functions.segmented import segmented
 from granary.params import Params
 
 
@@ -40,6 +41,27 @@ def fifo_match(pov: DataFrame, grn: DataFrame, keys: list[str] | None = None) ->
     return cut.where("matched > 0 and order_date is not null and receipt_date is not null")
 
 
+def fifo_match_spread(pov: DataFrame, grn: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """What fifo_match returns, with no key in one task: its running totals and its sweep over the quantity axis are scans whose
+    parts are cut by order, not by key. It costs two range partitionings with a write each, so it is for ledgers where one key holds
+    more rows than a task should."""
+    keys = keys or ["sku"]
+
+    def side(df: DataFrame, date: str, receipt: bool) -> DataFrame:
+        tie = F.struct(F.col(date).alias("date"), "src_file", "src_row", "line_no", "vendor", "qty", "amount")
+        dates = (F.lit(None).cast("date"), F.col(date)) if receipt else (F.col(date), F.lit(None).cast("date"))
+        columns = [F.col(k).alias(f"key_{k}") for k in keys]
+        return df.where("qty > 0").select(*columns, F.lit(receipt).alias("receipt"), tie.alias("place"), F.col("qty").cast("decimal(28,3)").alias("qty"), dates[0].alias("ordered"), dates[1].alias("received"))
+
+    own = [f"key_{k}" for k in keys]
+    moves = side(pov, "order_date", False).unionByName(side(grn, "receipt_date", True))
+    ends = segmented(moves, [*own, "receipt"], [F.col("place")], sums={"end": "qty"}).drop("place", "qty", "part")
+    ends = ends.withColumns({"end": F.col("end").cast("decimal(28,3)"), "_r": F.col("receipt").cast("int")})
+    swept = segmented(ends, own, [F.desc("end"), F.col("_r")], lasts={"order_date": "ordered", "receipt_date": "received"}, nexts={"below": "end"})
+    cut = swept.select(*[F.col(f"key_{k}").alias(k) for k in keys], "order_date", "receipt_date", (F.col("end") - F.coalesce("below", F.lit(0))).alias("matched"), "part")
+    return cut.where("matched > 0 and order_date is not null and receipt_date is not null")
+
+
 def lead_times(matches: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Quantity-weighted days from order to receipt; quantity matched to a later order is counted, not hidden."""
     keys = keys or ["sku"]

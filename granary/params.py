@@ -19,8 +19,11 @@ class Params:
     trees: int = 20
     tree_depth: int = 3
     lags: int = 3
+    forest: str = "item"  # a forest for each item, or one "pooled" over all
+    pooled_trees: int = 50
     horizon: int = 4
     holdout: int = 4
+    backtest_from: int = 8  # periods that the first origin of a backtest has seen
     clusters: int = 3
     seed: int = 42
     top_n: int = 10

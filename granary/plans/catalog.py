@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators import classify, finance, forecast, history, inventory, suppliers
+from granary.functions.staging import shared_dir, staged
+from granary.operators import backtest, classify, finance, forecast, forest, history, inventory, suppliers
 from granary.params import Params
 from granary.plans import fixtures
 from granary.plans.fixtures import SPARSE_SQL, SQL
+from granary.sources.ledgers import load_ledger
+from granary.streaming.fifo import replayed
 
 P = Params()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,12 +73,33 @@ def _compare(led: Ledgers) -> DataFrame:
     return forecast.forecast_compare(led.series.join(top, "sku", "left_semi"), P, ("GLM", "TSB"))
 
 
+def ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All purchase orders back from files of four layouts."""
+    rows, _ = load_ledger(spark, "pov", fixtures.exports(spark, sf_dir))
+    return _doubles(rows.select("po_id", "line_no", "sku", "vendor", "order_date", "qty", "amount"))
+
+
+def fifo_hot_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = Ledgers(spark, sf_dir)
+    return _doubles(inventory.lead_times(inventory.fifo_match_spread(fixtures.one_hot_item(led.pov), fixtures.one_hot_item(led.grn))))
+
+
+def fifo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fifo_lead_time from a stream of both ledgers."""
+    led = Ledgers(spark, sf_dir)
+    out = replayed(spark, led.pov, led.grn, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+    return _doubles(inventory.lead_times(out.where("kind = 'match'")))
+
+
 QUERIES: dict[str, Query] = {
     "abc_class": _query(lambda x: _doubles(x.abc.select("sku", "value", "rank", "running", "cumulative_share", "abc"))),
     "abc_distribution": _query(lambda x: _doubles(finance.abc_distribution(x.abc))),
     "pareto_curve": _query(lambda x: _doubles(x.abc.select("rank", "sku", "cumulative_share"))),
     "value_by_sku": _query(lambda x: _doubles(finance.value_by_sku(x.pov))),
     "fifo_lead_time": _query(lambda x: _doubles(x.lead_by("sku"))),
+    "fifo_hot_item": fifo_hot_item,
+    "fifo_stream": fifo_stream,
+    "ledger_scan": ledger_scan,
     "pending_qty": _query(lambda x: _doubles(inventory.pending(x.pov, x.grn))),
     "demand_balance": _query(lambda x: _doubles(x.demand)),
     "unordered_qty": _query(lambda x: _doubles(inventory.sku_metrics(x.pov, x.grn, x.stock, P).select("sku", "unordered_qty"))),
@@ -84,13 +110,17 @@ QUERIES: dict[str, Query] = {
     "tsb_forecast": _query(lambda x: forecast.tsb(x.series, P)),
     "glm_forecast": _query(lambda x: forecast.glm(x.series, P)),
     "rf_forecast": _query(lambda x: forecast.rf(x.series.join(x.classes.where("sbc = 'Smooth'"), "sku", "left_semi"), P)),
+    "rf_pooled": _query(lambda x: forest.pooled(staged(x.series, "series"), P)),
+    "rf_stump": _query(lambda x: forest.pooled(staged(x.series, "series"), replace(P, pooled_trees=1, tree_depth=1), bootstrap=False, subset=False)),
     "forecast_routed": _query(lambda x: forecast.forecast(x.series, x.classes, P)),
     "forecast_routed_formulas": _query(lambda x: forecast.forecast(x.series, x.classes, P).where("engine != 'RF'")),
     "demand_balance_gaps": _query(lambda x: _doubles(x.gap_demand)),
     "sbc_class_gaps": _query(lambda x: classify.sbc_class(x.gap_demand, P).select("sku", "n_periods", "n_demands", "adi", "cv2", "sbc")),
     "forecast_errors": _query(lambda x: forecast.forecast_errors(x.demand, P)),
+    "backtest": _query(lambda x: backtest.backtest(x.series, P)),
     "forecast_errors_all": _query(lambda x: forecast.forecast_errors(x.demand, P, forecast.ENGINES)),
     "forecast_compare": _query(_compare),
+    "forecast_history": _query(lambda x: forecast.beside_history(x.demand, x.series, P, ("GLM", "TSB"))),
     "forecast_compare_all": _query(lambda x: forecast.forecast_compare(x.series.join(_top(x).select("sku").distinct(), "sku", "left_semi"), P)),
     "supplier_risk": _query(lambda x: _doubles(suppliers.supplier_risk(x.pov, x.grn))),
     "supplier_clusters": _query(lambda x: suppliers.supplier_clusters(suppliers.supplier_risk(x.pov, x.grn), P)),
@@ -115,6 +145,18 @@ lead_times AS (
   FROM matches GROUP BY ALL)"""
 
 
+#: Half of all rows are one item's: an overlap join would pair them all, so each piece looks up the next end of either ledger.
+_HOT = (
+    SQL.replace("CAST(l_partkey AS VARCHAR) AS sku", "CASE WHEN (l_orderkey + l_linenumber) % 2 = 0 THEN 'HOT' ELSE CAST(l_partkey AS VARCHAR) END AS sku")
+    + """
+, o AS (SELECT sku, order_date, sum(qty) OVER (PARTITION BY sku ORDER BY order_date, po, ln, vendor, qty, amount ROWS UNBOUNDED PRECEDING) AS hi FROM pov WHERE qty > 0),
+r AS (SELECT sku, receipt_date, sum(qty) OVER (PARTITION BY sku ORDER BY receipt_date, po, ln, vendor, qty, amount ROWS UNBOUNDED PRECEDING) AS hi FROM grn WHERE qty > 0),
+ends AS (SELECT sku, hi FROM o UNION SELECT sku, hi FROM r),
+cuts AS (SELECT sku, hi, hi - coalesce(lag(hi) OVER (PARTITION BY sku ORDER BY hi), 0) AS matched FROM ends),
+pieces AS (
+  SELECT c.sku, matched, date_diff('day', order_date, receipt_date) AS days
+  FROM cuts c ASOF JOIN o ON c.sku = o.sku AND c.hi <= o.hi ASOF JOIN r ON c.sku = r.sku AND c.hi <= r.hi)"""
+)
 _ABC = """
 , v AS (SELECT sku, sum(amount) AS value FROM pov GROUP BY sku),
 ranked AS (SELECT sku, value, row_number() OVER w AS rank, sum(value) OVER (w ROWS UNBOUNDED PRECEDING) AS running, sum(value) OVER () AS total FROM v WINDOW w AS (ORDER BY value DESC, sku)),
@@ -179,6 +221,11 @@ ORACLE: dict[str, str] = {
     "pareto_curve": SQL + _ABC + " SELECT rank, sku, cumulative_share FROM abc",
     "value_by_sku": SQL + " SELECT sku, CAST(sum(amount) AS DOUBLE) AS value, CAST(sum(qty) AS DOUBLE) AS qty, count(*) AS n_lines FROM pov GROUP BY sku",
     "fifo_lead_time": SQL + _fifo("sku") + " SELECT sku, matched_qty, lead_time_days, early_qty FROM lead_times",
+    "fifo_stream": SQL + _fifo("sku") + " SELECT sku, matched_qty, lead_time_days, early_qty FROM lead_times",
+    "fifo_hot_item": _HOT
+    + """ SELECT sku, CAST(sum(matched) AS DOUBLE) AS matched_qty, round(CAST(sum(matched * days) AS DOUBLE) / CAST(sum(matched) AS DOUBLE), 6) AS lead_time_days,
+       CAST(coalesce(sum(matched) FILTER (days < 0), 0) AS DOUBLE) AS early_qty FROM pieces GROUP BY sku""",
+    "ledger_scan": SQL + " SELECT CAST(po AS VARCHAR) AS po_id, ln AS line_no, sku, vendor, order_date, CAST(qty AS DOUBLE) AS qty, CAST(amount AS DOUBLE) AS amount FROM pov",
     "pending_qty": SQL + _PENDING + " SELECT sku, CAST(ordered AS DOUBLE) AS ordered, CAST(received AS DOUBLE) AS received, CAST(pending_qty AS DOUBLE) AS pending_qty, CAST(received_without_po AS DOUBLE) AS received_without_po FROM open_orders",
     "demand_balance": SQL + " SELECT sku, t, CAST(demand AS DOUBLE) AS demand, negative FROM demand",
     "unordered_qty": _METRICS + " SELECT sku, unordered_qty FROM metrics",
@@ -192,6 +239,25 @@ ORACLE: dict[str, str] = {
     + _engines(0, 4)
     + """ SELECT m.sku, engine, h, yhat FROM (SELECT * FROM tsb_made UNION ALL SELECT * FROM glm_made) m JOIN classes c ON c.sku = m.sku
 WHERE (engine = 'GLM' AND sbc = 'Erratic') OR (engine = 'TSB' AND sbc IN ('Intermittent', 'Lumpy'))""",
+    "rf_stump": SQL
+    + """
+, base AS (SELECT sku, list(round(CAST(demand AS DOUBLE) * 1000) ORDER BY t) AS m, count(*) AS n, sum(round(CAST(demand AS DOUBLE) * 1000)) AS total FROM demand GROUP BY sku),
+ratios AS (SELECT sku, n, total, CASE WHEN total > 0 AND n >= 7 THEN list_transform(m, lambda v: CAST(floor(v * n * 1000 / total) AS BIGINT)) END AS r FROM base),
+obs AS (SELECT sku, [r[i - 3], r[i - 2], r[i - 1]] AS x, r[i] AS y FROM (SELECT sku, r, unnest(range(4, n + 1)) AS i FROM ratios WHERE r IS NOT NULL)),
+long AS (SELECT f, x[f] AS v, y FROM obs CROSS JOIN (SELECT unnest([1, 2, 3]) AS f)),
+ranked AS (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) AS place, count(*) OVER (PARTITION BY f) AS n FROM long),
+borders AS (SELECT DISTINCT f, v AS border FROM ranked JOIN (SELECT unnest(range(1, 32)) AS k) ON place = CAST(ceil(k / 32 * n) AS BIGINT)),
+sides AS (
+  SELECT b.f, border, CAST(count(*) FILTER (v <= border) AS DOUBLE) AS ln, CAST(coalesce(sum(y) FILTER (v <= border), 0) AS DOUBLE) AS ls, CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS s
+  FROM borders b JOIN long l ON l.f = b.f GROUP BY b.f, border),
+split AS (SELECT f, border, ls / ln AS low, (s - ls) / (n - ln) AS high FROM sides WHERE ln > 0 AND ln < n ORDER BY ls * ls / ln + (s - ls) * (s - ls) / (n - ln) - s * s / n DESC, f, border LIMIT 1),
+h0 AS (SELECT sku, n, total, r[n - 2] AS a, r[n - 1] AS b, r[n] AS c, r IS NOT NULL AS ok FROM ratios),
+h1 AS (SELECT h0.*, CASE WHEN [a, b, c][f] <= border THEN low ELSE high END AS v1 FROM h0 CROSS JOIN split),
+h2 AS (SELECT h1.*, CASE WHEN [b, c, floor(v1)][f] <= border THEN low ELSE high END AS v2 FROM h1 CROSS JOIN split),
+h3 AS (SELECT h2.*, CASE WHEN [c, floor(v1), floor(v2)][f] <= border THEN low ELSE high END AS v3 FROM h2 CROSS JOIN split),
+h4 AS (SELECT h3.*, CASE WHEN [floor(v1), floor(v2), floor(v3)][f] <= border THEN low ELSE high END AS v4 FROM h3 CROSS JOIN split),
+made AS (SELECT sku, n, total, ok, unnest([v1, v2, v3, v4]) AS v, unnest([1, 2, 3, 4]) AS h FROM h4)
+SELECT sku, 'RF' AS engine, CAST(h AS INTEGER) AS h, round(CASE WHEN ok THEN v * total / n / 1000000 ELSE total / 1000 / n END, 4) AS yhat FROM made""",
     "demand_balance_gaps": SPARSE_SQL + " SELECT sku, t, CAST(demand AS DOUBLE) AS demand, negative FROM gap_demand",
     "sbc_class_gaps": SPARSE_SQL + " SELECT sku, n_periods, n_demands, adi, cv2, sbc FROM classes",
     "forecast_errors": _RECURSIVE
@@ -200,7 +266,21 @@ WHERE (engine = 'GLM' AND sbc = 'Erratic') OR (engine = 'TSB' AND sbc IN ('Inter
 , actual AS (SELECT sku, CAST(t - max(t) OVER (PARTITION BY sku) + 4 AS INTEGER) AS h, CAST(demand AS DOUBLE) AS y FROM demand),
 gaps AS (SELECT m.sku, engine, yhat - y AS gap, y FROM (SELECT * FROM tsb_made UNION ALL SELECT * FROM glm_made) m JOIN actual a ON a.sku = m.sku AND a.h = m.h)
 SELECT sku, engine, round(avg(abs(gap)), 6) AS mae, round(sqrt(avg(gap * gap)), 6) AS rmse, round(avg(gap), 6) AS bias, round(avg(abs(gap) / y) FILTER (y > 0), 6) AS mape FROM gaps GROUP BY ALL""",
+    "backtest": _RECURSIVE
+    + _engines(0, 4).replace("SELECT sku, y[1:len(y) - 0] AS y FROM whole", "SELECT sku || '@' || n AS sku, y[1:n] AS y FROM (SELECT sku, y, unnest(range(8, len(y))) AS n FROM whole)")
+    + """
+, made AS (
+  SELECT split_part(m.sku, '@', 1) AS sku, CAST(split_part(m.sku, '@', 2) AS INTEGER) AS n, engine, h, yhat FROM (SELECT * FROM tsb_made UNION ALL SELECT * FROM glm_made) m),
+gaps AS (
+  SELECT m.sku, engine, h, yhat - y[n + h] AS gap, list_sum(list_transform(range(2, n + 1), lambda i: abs(y[i] - y[i - 1]))) / (n - 1) AS scale
+  FROM made m JOIN whole w ON w.sku = m.sku WHERE n + h <= len(y))
+SELECT sku, engine, h, count(*) AS n_origins, round(avg(abs(gap)), 6) AS mae, round(sqrt(avg(gap * gap)), 6) AS rmse, round(avg(gap), 6) AS bias,
+       round(avg(abs(gap) / scale) FILTER (scale > 0), 6) AS mase FROM gaps GROUP BY ALL""",
     "forecast_compare": _RECURSIVE + _engines(0, 4) + _TOP + ' SELECT g.sku, g.h, g.yhat AS "GLM", t.yhat AS "TSB" FROM glm_made g JOIN tsb_made t ON g.sku = t.sku AND g.h = t.h WHERE g.sku IN (SELECT sku FROM top)',
+    "forecast_history": _RECURSIVE
+    + _engines(0, 4)
+    + """ SELECT sku, t, 'history' AS kind, CAST(demand AS DOUBLE) AS y FROM demand
+UNION ALL SELECT m.sku, CAST(last + h AS INTEGER) AS t, engine AS kind, yhat AS y FROM (SELECT * FROM tsb_made UNION ALL SELECT * FROM glm_made) m JOIN (SELECT sku, max(t) AS last FROM demand GROUP BY sku) l ON l.sku = m.sku""",
     "supplier_risk": SQL
     + _fifo("sku, vendor")
     + """

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.functions.staging import shared_dir
+
 QUARTERS = 27  # 1995-01 to 2001-09
 FIRST = 1995 * 4  # the first quarter's running number
 
@@ -52,6 +56,30 @@ def sparse(stock: DataFrame) -> DataFrame:
     return stock.where((F.col("sku").cast("long") + F.col("src_row")) % 4 != 1)
 
 
+def one_hot_item(ledger: DataFrame) -> DataFrame:
+    """Half of all rows belong to one item."""
+    return ledger.withColumn("sku", F.when((F.col("src_row") + F.col("line_no")) % 2 == 0, F.lit("HOT")).otherwise(F.col("sku")))
+
+
+def exports(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Folders of .csv files with the purchase orders, an order's last digits deciding among four layouts: names and order of
+    columns, separator, form of dates and of numbers."""
+    rows = pov(spark, sf_dir)
+    money = F.format_number("amount", 2)
+    layouts = (
+        (",", {"PO No": "po_id", "Line": "line_no", "Item Code": "sku", "Supplier Name": "vendor", "PO Date": F.date_format("order_date", "dd/MM/yyyy"), "Ordered Qty": "qty", "Net Amount": money}),
+        (";", {"Amount": F.translate(money, ",.", ".,"), "Quantity": F.concat(F.col("qty").cast("long"), F.lit(",0")), "Order Date": F.date_format("order_date", "dd.MM.yyyy"), "Material": "sku", "Party": "vendor", "S. No": "line_no", "Voucher No": "po_id"}),
+        ("\t", {" sku ": "sku", "QTY": "qty", "date": F.concat(F.date_format("order_date", "yyyy-MM-dd"), F.lit(" 08:30:00")), "vendor": "vendor", "value": "amount", "order no": "po_id", "sl_no": "line_no", "remarks": F.lit("none")}),
+        ("|", {"Order Date": F.date_format("order_date", "yyyyMMdd"), "po_number": "po_id", "part no": "sku", "supplier": "vendor", "line": "line_no", "order qty": "qty", "total": "amount"}),
+    )
+    folder, out = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}", []
+    for i, (separator, columns) in enumerate(layouts):
+        out.append(f"{folder}/{i}")
+        shown = [(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
+        rows.where(F.col("src_row") % 4 == i).select(*shown).write.option("header", True).option("sep", separator).option("ignoreLeadingWhiteSpace", False).csv(out[-1])
+    return out
+
+
 def messy_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three spellings of every supplier."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").withColumn("v", F.explode(F.array(*map(F.lit, (0, 1, 2)))))

@@ -1,10 +1,10 @@
-"""Typed ledgers from ERP exports: .csv and .xlsx files with padding rows and messy headers.
+"""Typed ledgers from ERP exports: .csv and .xlsx files with padding rows, messy headers and unlike layouts.
 
-Every file, and every sheet of a workbook, is read by itself, its header row found among the first rows by matching names
-against an alias table, its columns mapped to the ledger's schema, and only then are they united: reading several files
-with one header would assign columns by place. Headers of several files are looked up at the same time. Rows with a
-required value missing or any value that cannot be typed go to a second frame with a reason, and so do sheets without
-a header row in a workbook that has others with one. A purchase order's missing amount is its quantity times its rate.
+All files of a ledger are one scan by the data source of ``scan``: each file finds its own header row by matching names
+against an alias table, maps its columns to the ledger's schema, and types its cells, deciding decimal marks and the order of day and month by
+column. Rows with a required value missing or any value that cannot be typed carry a reason and go to a second frame, and so do sheets
+without a header row in a workbook that has others with one. A purchase order's missing amount is its quantity times its rate.
+The typed rows are written once to the shared folder, so nothing that is computed from them opens a file again.
 """
 
 from __future__ import annotations
@@ -13,11 +13,24 @@ import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOOK_AHEAD = 25  # rows searched for a header
+from granary.functions.staging import staged
+from granary.sources.values import BLANKS, COMMA, POINT, UNSURE
+
+
+@dataclass(frozen=True)
+class Reading:
+    """How files are read where they don't say themselves."""
+
+    look_ahead: int = 25  # rows searched for a header
+    mark: str = "."  # decimal mark of numbers in columns that don't decide it
+    first: str = "day"  # what comes first, day or month, in columns that don't decide it
+    separator: str | None = None  # of .csv cells; found by the header if None
+    encoding: str | None = None  # of .csv files; found by mark of order and by content if None
 
 
 @dataclass(frozen=True)
@@ -62,7 +75,6 @@ LEDGERS: dict[str, tuple[Field, ...]] = {
     ),
     "stock": (SKU, Field("as_of", "date", ("as_of", "as_on", "stock_date", "closing_date", "date"), True), QTY, Field("value", "decimal(18,2)", ("value", "amount", "closing_value"))),
 }
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "dd-MMM-yyyy")
 
 
 class LedgerError(ValueError):
@@ -95,29 +107,28 @@ def find_header(kind: str, rows: list[list[str | None]]) -> tuple[int, dict[str,
     return -i, m
 
 
-def typed(cell: Column, kind: str) -> Column:
+def typed(cell: Column, kind: str, reading: Reading = Reading()) -> Column:
+    """A text cell as a column expression, for streams: what a file decides by column, ``reading`` decides here."""
     text = F.nullif(F.trim(cell), F.lit(""))
     if kind == "string":
         return text
-    number = plain_number(text)
     if kind == "date":
-        serial = number.try_cast("double")
-        as_serial = F.when(text.rlike(r"^[0-9]{4,6}(\.[0-9]+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.floor(serial).cast("int")))
-        return F.coalesce(as_serial, *[F.try_to_date(text, f) for f in DATE_FORMATS])
-    return number.try_cast(kind)
+        t = F.regexp_replace(text, r"[T ]+\d{1,2}:\d{2}.*$", "")
+        t = F.regexp_replace(t, r"[./]", "-")
+        year_last = ("d-M-yyyy", "M-d-yyyy") if reading.first == "day" else ("M-d-yyyy", "d-M-yyyy")
+        serial = F.when(t.rlike(r"^[0-9]{5}(-[0-9]+)?$"), F.date_add(F.lit("1899-12-30").cast("date"), F.substring(t, 1, 5).cast("int")))
+        compact = F.when(t.rlike(r"^[0-9]{8}$"), F.try_to_date(t, "yyyyMMdd"))
+        other = F.when(~t.rlike(r"^[0-9]+(-[0-9]+)?$"), F.coalesce(*[F.try_to_date(t, f) for f in ("yyyy-M-d", *year_last, "d-MMM-yyyy")]))
+        return F.coalesce(serial, compact, other)
+    return plain_number(text, reading.mark).try_cast(kind)
 
 
-def plain_number(text: Column) -> Column:
-    """A number's text with a decimal point only. Commas before groups of two or three digits, three at last, divide
-    thousands or lakhs; points before groups of three do so if a comma or another point follows; any other comma is the
-    decimal mark. What fits none of these stays as it is and fails to be typed."""
-    t = F.regexp_replace(text, r"[\s\u00a0']", "")
-    return (
-        F.when(t.rlike(r"^[-+]?[0-9]{1,3}(,[0-9]{2,3})*,[0-9]{3}(\.[0-9]+)?$"), F.regexp_replace(t, ",", ""))
-        .when(t.rlike(r"^[-+]?[0-9]{1,3}(\.[0-9]{3})+,[0-9]+$") | t.rlike(r"^[-+]?[0-9]+,[0-9]+$"), F.translate(F.regexp_replace(t, r"\.", ""), ",", "."))
-        .when(t.rlike(r"^[-+]?[0-9]{1,3}(\.[0-9]{3}){2,}$"), F.regexp_replace(t, r"\.", ""))
-        .otherwise(t)
-    )
+def plain_number(text: Column, mark: str = ".") -> Column:
+    """A number's text with a decimal point only; what can be read in two ways is read with ``mark``, what in none fails to be typed."""
+    t = F.regexp_replace(text, BLANKS, "")
+    t = F.regexp_replace(t, r"^\((.*)\)$|^(.+)-$", "-$1$2")
+    points, commas = F.regexp_replace(t, ",", ""), F.translate(F.regexp_replace(t, r"\.", ""), ",", ".")
+    return F.when(t.rlike(UNSURE), points if mark == "." else commas).when(t.rlike(POINT), points).when(t.rlike(COMMA), commas).otherwise(t)
 
 
 def check_size(spark: SparkSession, path: str, caps: dict[str, int] | None) -> None:
@@ -131,84 +142,37 @@ def check_size(spark: SparkSession, path: str, caps: dict[str, int] | None) -> N
         raise LedgerError(f"{path} has {size} bytes; the cap is {cap}")
 
 
-def _cells(spark: SparkSession, path: str) -> DataFrame:
-    """(sheet, src_row, cells) of a file, untyped; a .csv file is one sheet without a name."""
-    kind = path.rsplit(".", 1)[-1].lower()
-    if kind == "csv":
-        # Padding rows may be narrower than the table, so the width is not taken from the first row; columns right of the
-        # header's last have no name, so the widest of the rows that may hold the header is wide enough.
-        head = spark.read.text(path).limit(LOOK_AHEAD).collect()
-        wide = ", ".join(f"c{i} string" for i in range(max([r[0].count(",") + 1 for r in head], default=1)))
-        raw = spark.read.schema(wide).option("header", False).option("ignoreLeadingWhiteSpace", True).csv(path)
-        return raw.select(F.lit("").alias("sheet"), F.monotonically_increasing_id().alias("src_row"), F.array(*raw.columns).alias("cells"))
-    if kind == "xlsx":
-        from granary.sources.xlsx import read_sheets
-
-        def kernel(batches):
-            import pandas as pd
-
-            for pdf in batches:
-                for content in pdf.content:
-                    for name, rows in read_sheets(content):
-                        yield pd.DataFrame({"sheet": name, "src_row": range(len(rows)), "cells": rows})
-
-        return spark.read.format("binaryFile").load(path).select("content").mapInPandas(kernel, "sheet string, src_row long, cells array<string>")
-    if kind == "xls":
-        raise LedgerError(f"{path}: .xls needs a reader that this installation lacks; save it as .xlsx or .csv")
-    raise LedgerError(f"{path}: unknown kind of file")
-
-
-def load_file(spark: SparkSession, kind: str, path: str, caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    check_size(spark, path, caps)
-    cells = _cells(spark, path)
-    # A .csv file's first rows are those of its first partition; a workbook is one partition.
-    ahead = cells.limit(LOOK_AHEAD) if path.lower().endswith(".csv") else cells.where(F.col("src_row") < LOOK_AHEAD)
-    sheets: dict[str, list] = {}
-    for r in ahead.collect():
-        sheets.setdefault(r["sheet"], []).append(r)
-    parts, other, why = [], [], LedgerError(f"{path}: no rows")
-    for name, head in sheets.items():
-        try:
-            at, index = find_header(kind, [r["cells"] or [] for r in head])
-        except LedgerError as e:
-            other.append((path, head[0]["src_row"], f"sheet {name}: {e}", head[0]["cells"]))
-            why = e
-            continue
-        parts.append(_typed_rows(kind, path, cells.where((F.col("sheet") == name) & (F.col("src_row") > head[at]["src_row"])), index))
-    if not parts:
-        raise why
-    rows, rejects = parts[0]
-    for more, bad in parts[1:]:
-        rows, rejects = rows.unionByName(more), rejects.unionByName(bad)
-    if other:
-        rejects = rejects.unionByName(spark.createDataFrame(other, REJECTS))
-    return rows, rejects
-
-
-REJECTS = "src_file string, src_row long, reason string, cells array<string>"
-
-
-def _typed_rows(kind: str, path: str, cells: DataFrame, index: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    body = cells.where(F.exists("cells", lambda c: F.trim(c) != ""))
-    raw = {f.name: F.get("cells", F.lit(index[f.name])) if f.name in index else F.lit(None).cast("string") for f in LEDGERS[kind]}
-    columns = {f.name: typed(raw[f.name], f.kind) for f in LEDGERS[kind]}
-    bad = [F.when(columns[f.name].isNull() & (F.lit(f.required) | (F.coalesce(F.trim(raw[f.name]), F.lit("")) != "")), f.name) for f in LEDGERS[kind]]
-    rows = body.select(*[c.alias(n) for n, c in columns.items()], F.lit(path).alias("src_file"), "src_row", "cells", F.concat_ws(", ", *bad).alias("_bad"))
-    rejects = rows.where("_bad != ''").select("src_file", "src_row", F.concat(F.lit("missing or unreadable: "), "_bad").alias("reason"), "cells")
-    rows = rows.where("_bad = ''").drop("_bad", "cells")
-    if kind == "pov":
-        rows = rows.withColumn("amount", F.coalesce("amount", (F.col("qty") * F.col("rate")).cast("decimal(18,2)")))
-    return rows, rejects
-
-
-def load_ledger(spark: SparkSession, kind: str, paths: list[str], caps: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of all files of one ledger."""
+def _type(kind: str) -> T.DataType:
+    """The type of a field, without a session: tasks ask for it too."""
+    if kind.startswith("decimal"):
+        return T.DecimalType(*map(int, kind[8:-1].split(",")))
+    return {"string": T.StringType(), "int": T.IntegerType(), "date": T.DateType()}[kind]
+
+
+def schema_of(kind: str) -> T.StructType:
+    """The columns of a scan: the ledger's fields, where a row comes from, and why it is rejected."""
+    fields = [T.StructField(f.name, _type(f.kind)) for f in LEDGERS[kind]]
+    return T.StructType([*fields, T.StructField("src_file", T.StringType()), T.StructField("src_row", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("cells", T.ArrayType(T.StringType()))])
+
+
+def load_ledger(spark: SparkSession, kind: str, paths: list[str], caps: dict[str, int] | None = None, reading: Reading = Reading()) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of all files of one ledger, read once. A path may be a folder or a glob."""
+    from granary.sources.scan import check_kind, expanded, scan
+
+    paths = [p for path in paths for p in ([path] if path.lower().endswith((".csv", ".xlsx", ".xls")) and "*" not in path else expanded(spark, path))]
+    for path in paths:
+        check_kind(path)
     if not paths:
-        schema = T.StructType([*[T.StructField(f.name, T._parse_datatype_string(f.kind)) for f in LEDGERS[kind]], T.StructField("src_file", T.StringType()), T.StructField("src_row", T.LongType())])
-        return spark.createDataFrame([], schema), spark.createDataFrame([], REJECTS)
-    with ThreadPoolExecutor(min(8, len(paths))) as pool:
-        files = list(pool.map(lambda path: load_file(spark, kind, path, caps), paths))
-    rows, rejects = files[0]
-    for more, bad in files[1:]:
-        rows, rejects = rows.unionByName(more), rejects.unionByName(bad)
-    return rows, rejects
+        read = spark.createDataFrame([], schema_of(kind))
+    else:
+        if caps:
+            with ThreadPoolExecutor(min(8, len(paths))) as pool:
+                list(pool.map(lambda path: check_size(spark, path, caps), paths))
+        try:
+            read = staged(scan(spark, kind, paths, reading), f"ledger-{kind}")
+        except PySparkException as e:
+            if found := re.search(r"LedgerError: (.*)", str(e)):
+                raise LedgerError(found[1]) from e
+            raise
+    rejects = read.where("reason is not null").select("src_file", "src_row", "reason", "cells")
+    return read.where("reason is null").drop("reason", "cells"), rejects
