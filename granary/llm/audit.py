@@ -144,7 +144,8 @@ def audit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marks = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("l"))
     marks = staged(marks.agg(F.max((F.coalesce(F.col(good) == 1, F.lit(False))).cast("int")).alias("g"), F.max((F.coalesce(F.col(toxic) == 1, F.lit(False))).cast("int")).alias("t")), "marks")
     made = [marks]
-    joined = masks(docs, key, text, part, made).join(marks, F.col("id") == F.col("l"), "left")
+    # Ids compress so well that the planner would take a long table of labels for a small one and broadcast it.
+    joined = masks(docs, key, text, part, made).join(marks.hint("merge"), F.col("id") == F.col("l"), "left")
     seen = joined.select("part", "mask", (F.coalesce("g", F.lit(0)) + 2 * F.coalesce("t", F.lit(0))).alias("label"))
     counts = staged(seen.mapInArrow(_counts, "part string, at int, n long").groupBy("part", "at").agg(F.sum("n").alias("n")), "counts")
     for table in made:

@@ -207,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_row: Column, key: str = "doc_i
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), pa.array(np.minimum(z * BINS, BINS - 1).astype(np.int32))], ["id", "bin"])
 
     binned = texts.mapInArrow(bins, f"id {docs.schema[key].dataType.simpleString()}, bin int")
-    tails = binned.join(trusted, F.col("id") == F.col("l"), "left").groupBy("bin").agg(F.count("*").alias("u"), F.count("l").alias("p"))
+    # Ids compress so well that the planner would take a long table of them for a small one and broadcast it.
+    tails = binned.join(trusted.hint("merge"), F.col("id") == F.col("l"), "left").groupBy("bin").agg(F.count("*").alias("u"), F.count("l").alias("p"))
     count_p, count_u = np.zeros(BINS), np.zeros(BINS)
     for r in tails.collect():  # a row a bin
         count_p[r["bin"]], count_u[r["bin"]] = r["p"], r["u"]
