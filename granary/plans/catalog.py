@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.staging import shared_dir, staged
-from granary.operators import backtest, classify, finance, forecast, forest, history, inventory, suppliers
+from granary.operators import backtest, classify, finance, forecast, forest, fuzzy, history, inventory, summaries, suppliers, temporal
 from granary.params import Params
 from granary.plans import fixtures
 from granary.plans.fixtures import SPARSE_SQL, SQL
+from granary.plans.sql import register_sql
 from granary.sources.ledgers import load_ledger
 from granary.streaming.fifo import replayed
+from granary.streaming.sessions import replayed_sessions, sessions
 
 P = Params()
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +93,69 @@ def fifo_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doubles(inventory.lead_times(out.where("kind = 'match'")))
 
 
+def spend_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = Ledgers(spark, sf_dir)
+    lines = led.pov.join(fixtures.item_groups(spark, sf_dir), "sku").withColumn("quarter", inventory.period("order_date"))
+    return _doubles(summaries.spend_cube(lines, ["vendor", "item_group", "quarter"]))
+
+
+def stock_asof(led: Ledgers) -> DataFrame:
+    """Stock on hand at each order's date."""
+    snapshots = led.stock.select("sku", "as_of", F.col("qty").alias("snapshot"), "src_row")
+    found = temporal.asof_join(led.pov, snapshots, ["sku"], "order_date", "as_of", {"on_hand": "snapshot", "as_of": "as_of"}, tie=["src_row"])
+    return _doubles(found.select("po_id", "line_no", "sku", "vendor", "order_date", "qty", "on_hand", "as_of"))
+
+
+def open_orders(led: Ledgers) -> DataFrame:
+    """What was on order during each quarter: matched quantities from order to receipt."""
+    spans = inventory.fifo_match(led.pov, led.grn)
+    met = temporal.overlap_join(spans, fixtures.quarters(led.spark), [], ("order_date", "receipt_date"), ("begins", "ends"))
+    return _doubles(met.groupBy("sku", "t").agg(F.count("*").alias("n_spans"), F.sum("matched").cast("decimal(28,3)").alias("open_qty")))
+
+
+def sketch_bounds(led: Ledgers) -> DataFrame:
+    """Whether sketches by vendor and month, merged by vendor, stay within their errors: rank of quartiles within 0.01, number of skus within 5%."""
+    keys = ["sku", "vendor"]
+    matches = staged(inventory.fifo_match(led.pov, led.grn, keys), "matches")
+    last = matches.groupBy(*keys).agg(F.trunc(F.max("receipt_date"), "month").alias("month"))
+    items = staged(inventory.lead_times(matches, keys).join(last, keys), "items")
+    stored = staged(summaries.vendor_sketches(items, ["vendor", "month"]), "sketches")
+    said = summaries.told(summaries.merged(stored, ["vendor"])).withColumnRenamed("vendor", "v")
+    both = items.join(said, F.col("vendor") == F.col("v")).groupBy("vendor", "n_items", "n_skus", "q1", "median", "q3")
+    d, n = F.col("lead_time_days"), F.count("*")
+
+    def near(c: str, q: float):
+        below, upto = F.count(F.when(d < F.col(c), 1)) / n, F.count(F.when(d <= F.col(c), 1)) / n
+        return ((below <= q + 0.01) & (upto >= q - 0.01)).alias(f"{c}_ok")
+
+    exact = F.count_distinct("sku")
+    checked = both.agg(near("q1", 0.25), near("median", 0.5), near("q3", 0.75), (F.abs(F.first("n_skus") - exact) <= 0.05 * exact + 1).alias("skus_ok"))
+    return checked.select("vendor", "n_items", "skus_ok", "q1_ok", "median_ok", "q3_ok")
+
+
+def _sql(spark: SparkSession, sf_dir: str) -> None:
+    led = Ledgers(spark, sf_dir)
+    register_sql(spark, led.pov, led.grn, led.stock, P)
+
+
+def sql_fifo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _sql(spark, sf_dir)
+    return spark.sql("""
+SELECT sku, CAST(sum(matched) AS DOUBLE) AS matched_qty, round(CAST(sum(matched * datediff(receipt_date, order_date)) / sum(matched) AS DOUBLE), 6) AS lead_time_days,
+       CAST(coalesce(sum(matched) FILTER (WHERE receipt_date < order_date), 0) AS DOUBLE) AS early_qty
+FROM fifo(TABLE(moves) PARTITION BY sku ORDER BY (move_date, src_file, src_row, line_no, vendor, qty, amount)) GROUP BY sku""")
+
+
+def sql_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _sql(spark, sf_dir)
+    return spark.sql("SELECT * FROM forecast('TSB', 4, TABLE(demand) PARTITION BY sku ORDER BY t)")
+
+
+def delivery_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """delivery_sessions from a stream of receipts."""
+    return _doubles(replayed_sessions(spark, Ledgers(spark, sf_dir).grn, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")[0])
+
+
 QUERIES: dict[str, Query] = {
     "abc_class": _query(lambda x: _doubles(x.abc.select("sku", "value", "rank", "running", "cumulative_share", "abc"))),
     "abc_distribution": _query(lambda x: _doubles(finance.abc_distribution(x.abc))),
@@ -127,6 +192,15 @@ QUERIES: dict[str, Query] = {
     "top10_trends": _query(lambda x: _doubles(_top(x))),
     "lead_time_box": _query(lambda x: _doubles(suppliers.lead_time_box(x.lead_by("sku", "vendor")))),
     "vendor_dedup": lambda spark, sf_dir: suppliers.dedup_vendors(fixtures.messy_vendors(spark, sf_dir)),
+    "vendor_fuzzy": lambda spark, sf_dir: fuzzy.fuzzy_vendors(fixtures.misspelt_vendors(spark, sf_dir)),
+    "spend_cube": spend_cube,
+    "stock_asof": _query(stock_asof),
+    "open_orders": _query(open_orders),
+    "sketch_bounds": _query(sketch_bounds),
+    "sql_fifo": sql_fifo,
+    "sql_forecast": sql_forecast,
+    "delivery_sessions": _query(lambda x: _doubles(sessions(x.grn))),
+    "delivery_sessions_stream": delivery_sessions_stream,
     "historical_data": _query(lambda x: _doubles(history.historical({"pov": x.pov, "grn": x.grn, "pv": x.pv, "stock": x.stock}))),
 }
 
@@ -215,7 +289,40 @@ _RECURSIVE = SQL.replace("WITH pov", "WITH RECURSIVE pov", 1)
 _TOP = ", top AS (SELECT sku, CAST(sum(demand) AS DOUBLE) AS total FROM demand GROUP BY sku ORDER BY sum(demand) DESC, sku LIMIT 10)"
 _KEY = r"regexp_replace(upper(trim(vendor_name)), '[^\p{L}\p{M}\p{N}]+', '', 'g')"
 
+_SESSIONS = """
+, paced AS (SELECT vendor, receipt_date AS d, qty, lag(receipt_date) OVER (PARTITION BY vendor ORDER BY receipt_date) AS before FROM grn),
+numbered AS (SELECT *, sum(CASE WHEN before IS NULL OR d > before + 7 THEN 1 ELSE 0 END) OVER (PARTITION BY vendor ORDER BY d) AS s FROM paced)
+SELECT vendor, min(d) AS first_day, max(d) + 7 AS end, count(*) AS n_receipts, CAST(sum(qty) AS DOUBLE) AS qty FROM numbered GROUP BY vendor, s"""
+_ENDS = "CAST(DATE '1995-04-01' + CAST(i * 3 AS INTEGER) * INTERVAL 1 MONTH AS DATE)"
+
 ORACLE: dict[str, str] = {
+    "delivery_sessions": SQL + _SESSIONS,
+    "delivery_sessions_stream": SQL + _SESSIONS,
+    "sql_fifo": SQL + _fifo("sku") + " SELECT sku, matched_qty, lead_time_days, early_qty FROM lead_times",
+    "sql_forecast": _RECURSIVE + _engines(0, 4) + " SELECT sku, engine, h, yhat FROM tsb_made",
+    "sketch_bounds": SQL + _fifo("sku, vendor") + " SELECT vendor, count(*) AS n_items, true AS skus_ok, true AS q1_ok, true AS median_ok, true AS q3_ok FROM lead_times GROUP BY vendor",
+    "open_orders": SQL
+    + _fifo("sku")
+    + f""" SELECT sku, CAST(7980 + i AS INTEGER) AS t, count(*) AS n_spans, CAST(sum(matched) AS DOUBLE) AS open_qty FROM matches
+JOIN quarters ON order_date < {_ENDS} AND receipt_date > CAST({_ENDS} - INTERVAL 3 MONTH AS DATE) AND order_date < receipt_date GROUP BY sku, i""",
+    "stock_asof": SQL
+    + f""", snapshots AS (SELECT sku, qty, {_ENDS} - 1 AS as_of FROM stock)
+SELECT CAST(po AS VARCHAR) AS po_id, ln AS line_no, p.sku, vendor, order_date, CAST(p.qty AS DOUBLE) AS qty, CAST(s.qty AS DOUBLE) AS on_hand, as_of FROM pov p ASOF LEFT JOIN snapshots s ON p.sku = s.sku AND p.order_date >= s.as_of""",
+    "spend_cube": SQL
+    + """ SELECT vendor, item_group, quarter, CAST(GROUPING_ID(vendor, item_group, quarter) AS INTEGER) AS level, CAST(sum(amount) AS DOUBLE) AS spend, CAST(sum(qty) AS DOUBLE) AS qty, count(*) AS n_lines
+FROM (SELECT vendor, p_brand AS item_group, CAST(year(order_date) * 4 + quarter(order_date) - 1 AS INTEGER) AS quarter, amount, qty FROM pov JOIN part ON sku = CAST(p_partkey AS VARCHAR)) GROUP BY CUBE (vendor, item_group, quarter)""",
+    "vendor_fuzzy": f"""
+WITH RECURSIVE n AS (SELECT s_suppkey, translate(substr(md5(s_name), 1, 14), '0123456789', 'ghijklmnop') AS n FROM supplier),
+spelled AS (
+  SELECT s_suppkey AS vendor_id, v AS spelling,
+         CASE v WHEN 0 THEN n WHEN 1 THEN upper(substr(n, 1, 6)) || ' - ' || substr(n, 7, 8) WHEN 2 THEN substr(n, 1, 4) || substr(n, 6, 9) ELSE substr(n, 1, 7) || 'z' || substr(n, 9, 6) END AS vendor_name
+  FROM n CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS v)),
+keyed AS (SELECT *, {_KEY} AS vendor_key FROM spelled),
+k AS (SELECT key, list_distinct(list_transform(range(1, length(key) + 2), lambda i: substr('_' || key || '_', i, 2))) AS g FROM (SELECT DISTINCT vendor_key AS key FROM keyed)),
+e AS (SELECT a.key AS x, b.key AS y FROM k a JOIN k b ON a.key <> b.key AND 100 * len(list_intersect(a.g, b.g)) >= 60 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))),
+reach AS (SELECT key AS node, key AS root FROM k UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.node),
+groups AS (SELECT node, min(root) AS group_key FROM reach GROUP BY node)
+SELECT vendor_id, spelling, vendor_name, vendor_key, group_key, min(vendor_name) OVER (PARTITION BY group_key) AS canonical_name FROM keyed JOIN groups ON node = vendor_key""",
     "abc_class": SQL + _ABC + " SELECT sku, CAST(value AS DOUBLE) AS value, rank, CAST(running AS DOUBLE) AS running, cumulative_share, abc FROM abc",
     "abc_distribution": SQL + _ABC + " SELECT abc, count(*) AS n_skus, CAST(sum(value) AS DOUBLE) AS value FROM abc GROUP BY abc",
     "pareto_curve": SQL + _ABC + " SELECT rank, sku, cumulative_share FROM abc",

@@ -87,6 +87,26 @@ def messy_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("vendor_id"), F.col("v").alias("spelling"), name.alias("vendor_name"))
 
 
+def misspelt_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four spellings of every supplier under an invented name of 14 letters: right, in another case with a mark, a letter lost, a letter wrong."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.translate(F.substring(F.md5(F.col("s_name").cast("binary")), 1, 14), "0123456789", "ghijklmnop").alias("n"))
+    s = s.withColumn("v", F.explode(F.array(*map(F.lit, (0, 1, 2, 3)))))
+    cut = lambda a, n: F.substring("n", a, n)
+    name = F.when(F.col("v") == 0, F.col("n")).when(F.col("v") == 1, F.concat(F.upper(cut(1, 6)), F.lit(" - "), cut(7, 8)))
+    name = name.when(F.col("v") == 2, F.concat(cut(1, 4), cut(6, 9))).otherwise(F.concat(cut(1, 7), F.lit("z"), cut(9, 6)))
+    return s.select(F.col("s_suppkey").alias("vendor_id"), F.col("v").alias("spelling"), name.alias("vendor_name"))
+
+
+def item_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("sku"), F.col("p_brand").alias("item_group"))
+
+
+def quarters(spark: SparkSession) -> DataFrame:
+    """(t, begins, ends) of the quarters that the fixtures cover."""
+    begins = F.add_months(F.lit("1995-01-01").cast("date"), F.col("id").cast("int") * 3)
+    return spark.range(QUARTERS).select((F.col("id") + FIRST).cast("int").alias("t"), begins.alias("begins"), F.add_months(begins, 3).alias("ends"))
+
+
 SQL = """
 WITH pov AS (
   SELECT CAST(l_partkey AS VARCHAR) AS sku, CAST(l_suppkey AS VARCHAR) AS vendor, CAST(o_orderdate AS DATE) AS order_date,
