@@ -36,9 +36,9 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from granary.llm.urls import judge
+    from granary.llm.urls import judge, junk
 
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(table(spark, sf_dir, "pages"), bad=junk(F.col("html")))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

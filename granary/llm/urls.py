@@ -1,7 +1,7 @@
 """URL filters: explicit rules, and path templates rejected by smoothed labelled purity. DataFrame operations only.
 
 A url's host and path are cut into segments. Digits are generalised first, so a host's paths fall
-into few shapes; then each host's tree of segments is walked from its root, down to the last segment: where a node has
+into few shapes; then each host's tree of segments is walked from its root: where a node has
 more than FANOUT different children, the segment is variable and all become ``*``. Sibling branches whose labelled
 shares of bad pages do not differ from their pooled share by more than Z deviations are merged and judged on the pooled
 evidence; a branch without labels is merged with none.
@@ -10,11 +10,14 @@ A branch's purity is (bad + STRENGTH * purity above) / (labelled + STRENGTH), th
 drawn towards what is known of the branch above, and a branch without labels is judged by it alone. A branch with all
 the labels of the one above tells nothing new and keeps its purity. A template is rejected if its purity exceeds LIMIT.
 
-Labels are the caller's column; without one, the pages that a rule decides are the labelled ones.
+Labels are the caller's column (``junk`` makes one from a page's content) and the pages that a rule decides. What a rule says counts only
+at and below the rule's own path, where it takes the place of the page's other label: a rule against ``/de/`` is no evidence on
+``/en/``, nor on the host.
 
 Everything is aggregated by host and shape before it is joined, so a host that holds a third of all pages is a
-few rows, unless its paths are; then the partial aggregates of a node carry the load. A shape that is alone in its
-branch is not followed further, so the walk has as many rounds as different paths have segments in common.
+few rows, unless its paths are; then the partial aggregates of a node carry the load. A stretch of segments without a branching or
+an end in it is one edge, found by the first and last of a branch's shapes in their order, so the walk has as many rounds as a
+path has branchings and ends of others on it, however long it is.
 
 Edge cases: a null url and one without ``://`` have an empty host and path and no rule; those are allowed unless labels
 say otherwise; empty segments and a last slash don't count; a very long path is followed as far as another one goes the
@@ -58,29 +61,63 @@ def shape(path: Column) -> Column:
     return F.transform(segments, lambda s: F.when(s.rlike("^(?=.*[0-9])[0-9a-fA-F-]{8,}$"), "{hex}").otherwise(F.regexp_replace(s, "[0-9]+", "#")))
 
 
-def purities(shapes: DataFrame) -> DataFrame:
-    """(host, name, purity) of all (host, name, shape, labelled, bad), walking each host's tree from the root."""
+def junk(html: Column) -> Column:
+    """Whether a page's own text looks bad: signs for letters, shouting, hardly a sentence, or the same words again and again. Null for
+    pages of fewer than 20 words, which say too little."""
+    body = F.regexp_replace(html, r"(?is)<(script|style|nav|head)\b.*?</\1>|<!--.*?-->|<[^>]*>|&#?\w{1,8};", " ")
+    text = F.trim(F.regexp_replace(body, r"\s+", " "))
+    words = F.split(text, " ")
+    size, signs = F.length(text), F.length(F.regexp_replace(text, r"[^#$%&*|!]", ""))
+    capitals, small = F.length(F.regexp_replace(text, r"[^A-Z]", "")), F.length(F.regexp_replace(text, r"[^a-z]", ""))
+    bad = (signs * 20 > size) | (capitals > small) | (F.size(F.array_distinct(words)) * 5 < F.size(words))
+    return F.when(F.size(words) >= 20, bad)
+
+
+def purities(shapes: DataFrame, scopes: list[int]) -> DataFrame:
+    """(host, name, purity) of all (host, name, shape, scope, labelled, bad, ruled, ruled_bad), walking each host's tree from the root.
+
+    scope: from which depth on a rule decides the shape's pages, null without one; then ruled and ruled_bad count instead of labelled and
+    bad. scopes: all that occur."""
 
     def smooth(bad, labelled, above):
         return (bad + STRENGTH * above) / (labelled + STRENGTH)
 
-    roots = shapes.groupBy("host").agg(F.sum("labelled").alias("n"), F.sum("bad").alias("n_bad"))
-    roots = roots.select(F.col("host").alias("h"), "n", "n_bad", smooth(F.col("n_bad"), F.col("n"), F.lit(PRIOR)).alias("purity"))
-    now = shapes.join(roots, F.col("host") == F.col("h")).drop("h").withColumns({"at": F.lit(""), "open": F.size("shape") > 0})
-    now, done, level = staged(now, "tree"), [], 0
+    def told(names: tuple[str, str]) -> list[Column]:
+        """For each scope, and for none, what its shapes say above it; for each scope what they say below."""
+        out = [F.sum(F.when(F.col("scope").isNull(), F.col(names[0]))).alias(f"{names[0]}_x")]
+        for s in scopes:
+            out += [F.sum(F.when(F.col("scope") == s, F.col(c))).alias(f"{c}_{s}") for c in names]
+        return out
+
+    def evidence(names: tuple[str, str], depth: Column) -> Column:
+        out = F.coalesce(f"{names[0]}_x", F.lit(0))
+        for s in scopes:
+            out += F.coalesce(F.when(depth >= s, F.col(f"{names[1]}_{s}")).otherwise(F.col(f"{names[0]}_{s}")), F.lit(0))
+        return out
+
+    counts, bads = ("labelled", "ruled"), ("bad", "ruled_bad")
+    roots = shapes.groupBy("host").agg(*told(counts), *told(bads)).select(F.col("host").alias("h"), evidence(counts, F.lit(0)).alias("n"), evidence(bads, F.lit(0)).alias("n_bad"))
+    roots = roots.withColumn("purity", smooth(F.col("n_bad"), F.col("n"), F.lit(PRIOR)))
+    now = shapes.join(roots, F.col("host") == F.col("h")).drop("h").withColumns({"at": F.lit(""), "depth": F.lit(0)})
+    now, done = staged(now, "tree"), []
     while True:
-        done.append(now.where("not open").select("host", "name", "purity"))
-        now = now.where("open")
+        done.append(now.where(F.size("shape") <= F.col("depth")).select("host", "name", "purity"))
+        now = now.where(F.size("shape") > F.col("depth"))
         if now.isEmpty():
             break
-        now = now.withColumn("segment", F.get(F.col("shape"), F.lit(level)))
+        now = now.withColumn("segment", F.get(F.col("shape"), F.col("depth")))
         wide = now.groupBy(F.col("host").alias("h"), F.col("at").alias("p")).agg((F.count_distinct("segment") > FANOUT).alias("wide"))
         now = now.join(wide, (F.col("host") == F.col("h")) & (F.col("at") == F.col("p"))).drop("h", "p")
         child = F.concat_ws("/", "at", F.when(F.col("wide"), "*").otherwise(F.col("segment")))
-        now = staged(now.withColumn("child", child), "tree")
+        tail = F.slice("shape", F.col("depth") + 2, F.size("shape"))
+        now = staged(now.withColumns({"child": child, "tail": tail}), "tree")
         kids = now.groupBy("host", "at", "child").agg(
-            F.sum("labelled").alias("k"), F.sum("bad").alias("k_bad"), F.count("*").alias("shapes"), F.max("n").alias("n"), F.max("n_bad").alias("n_bad"), F.max("purity").alias("above")
+            *told(counts), *told(bads), F.min("tail").alias("low"), F.max("tail").alias("high"), F.max("depth").alias("d"), F.max("n").alias("n"), F.max("n_bad").alias("n_bad"), F.max("purity").alias("above")
         )
+        # What the first and the last shape below have in common all have: it belongs to the same edge.
+        differ = F.array_position(F.zip_with("low", "high", lambda a, b: a.eqNullSafe(b)), False)
+        depth = F.col("d") + 1 + F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int")
+        kids = kids.withColumn("reached", depth).withColumns({"k": evidence(counts, F.col("reached")), "k_bad": evidence(bads, F.col("reached"))})
         n, k = (F.nullif(F.col(c), F.lit(0)) for c in ("n", "k"))  # null without labels, and then alike is null too
         share = F.col("n_bad") / n
         deviation = F.sqrt(share * (1 - share) * (1 / k + 1 / n))
@@ -89,12 +126,12 @@ def purities(shapes: DataFrame) -> DataFrame:
         merged = kids.where("alike").groupBy(F.col("host").alias("mh"), F.col("at").alias("mp")).agg(F.sum("k").alias("m"), F.sum("k_bad").alias("m_bad"))
         kids = kids.join(merged, F.col("alike") & (F.col("host") == F.col("mh")) & (F.col("at") == F.col("mp")), "left")
         m, m_bad = F.coalesce("m", "k"), F.coalesce("m_bad", "k_bad")
-        purity = F.when((m == F.col("n")) | (m == 0), F.col("above")).otherwise(smooth(m_bad, m, F.col("above")))
-        kids = kids.select(F.col("host").alias("h"), F.col("child").alias("c"), "shapes", "k", "k_bad", purity.alias("of_child"))
-        next_ = now.join(kids, (F.col("host") == F.col("h")) & (F.col("child") == F.col("c")))
-        open_ = (F.size("shape") > level + 1) & (F.col("shapes") > 1)
-        now = next_.select("host", "name", "shape", "labelled", "bad", F.col("k").alias("n"), F.col("k_bad").alias("n_bad"), F.col("of_child").alias("purity"), F.col("child").alias("at"), open_.alias("open"))
-        now, level = staged(now, "tree"), level + 1
+        same = (m == F.col("n")) & (m_bad == F.col("n_bad"))  # nothing but what is known above
+        purity = F.when(same | (m == 0), F.col("above")).otherwise(smooth(m_bad, m, F.col("above")))
+        kids = kids.select(F.col("host").alias("h"), F.col("child").alias("c"), "k", "k_bad", "reached", purity.alias("of_child"))
+        now = now.drop("n", "n_bad", "purity", "at", "depth", "segment", "wide", "tail").join(kids, (F.col("host") == F.col("h")) & (F.col("child") == F.col("c")))
+        now = now.select(*shapes.columns, F.col("k").alias("n"), F.col("k_bad").alias("n_bad"), F.col("of_child").alias("purity"), F.col("child").alias("at"), F.col("reached").alias("depth"))
+        now = staged(now, "tree")
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
@@ -102,17 +139,23 @@ def purities(shapes: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES, bad: Column | None = None, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The columns ``keep`` with host, path, rule and verdict of every page. ``bad``: a boolean label, null where unknown."""
+    """The columns ``keep`` with host, path, rule and verdict of every page. ``bad``: a boolean label by other means than rules, null where unknown."""
     host, path = host_and_path(F.col(url))
     label = bad if bad is not None else F.lit(None).cast("boolean")
     base = pages.select(*keep, host.alias("host"), path.alias("path"), label.alias("_label"))
     base = base.withColumn("_rule", matching(rules, F.col("host"), F.col("path")))
-    base = base.withColumns({"_shape": shape(F.col("path")), "_bad": F.coalesce("_label", F.col("_rule.verdict") == "block")})
+    depths = {rule: len([x for x in rule.partition("/")[2].split("/") if x]) for _, rule in rules}
+    scope = F.coalesce(*[F.when(F.col("_rule.rule") == rule, d) for rule, d in depths.items()]) if rules else F.lit(None).cast("int")
+    base = base.withColumns({"_shape": shape(F.col("path")), "_scope": scope, "_ruled": F.col("_rule.verdict") == "block"})
     base = base.withColumn("_name", F.array_join("_shape", "/"))
-    shapes = base.groupBy("host", F.col("_name").alias("name")).agg(
-        F.first("_shape").alias("shape"), F.count("_bad").alias("labelled"), F.sum(F.coalesce(F.col("_bad").cast("long"), F.lit(0))).alias("bad")
+
+    def trues(c: str) -> Column:
+        return F.sum(F.coalesce(F.col(c).cast("long"), F.lit(0)))
+
+    shapes = base.groupBy("host", F.col("_name").alias("name"), F.col("_scope").alias("scope")).agg(
+        F.first("_shape").alias("shape"), F.count("_label").alias("labelled"), trues("_label").alias("bad"), F.count("_ruled").alias("ruled"), trues("_ruled").alias("ruled_bad")
     )
-    out = purities(staged(shapes, "shapes")).where(F.col("purity") > LIMIT)
+    out = purities(staged(shapes, "shapes"), sorted(set(depths.values()))).where(F.col("purity") > LIMIT).select("host", "name").distinct()
     out = staged(out, "rejected").select(F.col("host").alias("_h"), F.col("name").alias("_s"), F.lit(True).alias("_no"))
     joined = base.join(out, (F.col("host") == F.col("_h")) & (F.col("_name") == F.col("_s")), "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_no"), "block"), F.lit("allow"))

@@ -232,13 +232,53 @@ def test_url_tree_by_brute_force(spark, monkeypatch):
     assert len(set(got.values())) == 2 and any(x is None and got[k] == "block" for k, (_, _, x) in enumerate(rows))
 
 
+def test_a_rule_says_nothing_about_its_siblings(spark):
+    rows = [(f"http://x.example.com/de/{k}", None) for k in range(50)] + [(f"http://x.example.com/en/{k}", None) for k in range(5)] + [("http://x.example.com/", None), ("http://x.example.com/de", None)]
+    rows += [(f"http://y.example.com/en/{k}", True) for k in range(9)] + [("http://y.example.com/en/99", None), ("http://y.example.com/fr/1", False), ("http://y.example.com/fr/2", False)]
+    df = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)], "page_id long, url string, bad boolean")
+    got = {r.page_id: r.verdict for r in urls.judge(df, bad=F.col("bad")).collect()}
+    assert {got[i] for i in range(50)} == {"block"} and {got[i] for i in range(50, 56)} == {"allow"}
+    assert got[56] == "block"  # /de without a slash: not the rule's, but the template that the rule's pages share
+    assert {got[i] for i in range(57, 67)} == {"block"} and got[67] == got[68] == "allow"
+
+
+def test_a_long_path_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = urls.staged
+    monkeypatch.setattr(urls, "staged", lambda df, name: rounds.append(name) or real(df, name))
+    deep = "/".join(["trap"] * 1000)
+    rows = [f"http://h.xyz/{deep}/a", f"http://h.xyz/{deep}/b/c", f"http://h.xyz/{deep}/b/d", "http://h.xyz/x"]
+    df = spark.createDataFrame([(i, u, i < 3) for i, u in enumerate(rows)], "page_id long, url string, bad boolean")
+    got = {r.page_id: r.verdict for r in urls.judge(df, bad=F.col("bad")).collect()}
+    assert rounds.count("branches") <= 4 and got[3] == "allow"
+
+
+def test_junk_by_content(spark):
+    text = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twenty-one."
+    cases = {
+        f"<html><head><title>!!!!!!!!!!!!</title></head><body><nav>####</nav><p>{text}</p><script>var a = '&&&&&&&&&&&&&&&&'</script></body></html>": False,
+        f"<p>{text.replace(' ', '### ')}</p>": True, f"<p>{text.upper()}</p>": True, f"<p>{'again ' * 60}</p>": True, "<p>too short</p>": None, "": None,
+    }
+    df = spark.createDataFrame([(h,) for h in cases] + [(None,)], "html string")
+    got = {r.html: r.j for r in df.select("html", urls.junk(F.col("html")).alias("j")).collect()}
+    assert got == {**cases, None: None}
+
+
 @tables
 def test_templates_decide_pages_without_a_rule(spark):
-    from granary.llm.queries import op4_urls
-
-    # On sf0.01 no host has more than two labelled pages, too few for a verdict; hosts of sf0.1 have.
-    verdicts = {r.verdict for r in op4_urls(spark, "/root/testdata/sf0.1").where("rule is null").collect()}
-    assert verdicts == {"allow", "block"}
+    from granary.llm.queries import op4_urls, table
+
+    # Bad texts are spread over all templates of these tables, so hardly one goes; the rule against /de/ takes no other language along.
+    sf = "/root/testdata/sf0.1"
+    found = op4_urls(spark, sf).where("rule is null")
+    assert found.where("verdict = 'block'").count() <= 0.02 * found.count()
+    # With one template of the largest host all bad, its pages go, those without a label too, and the host's others stay.
+    host, path = urls.host_and_path(F.col("url"))
+    mine = (host == "blog.tionsh.example.com") & path.startswith("/es/")
+    bad = F.when(mine, F.when(F.col("page_id") % 3 > 0, True)).otherwise(urls.junk(F.col("html")))
+    got = urls.judge(table(spark, sf, "pages"), bad=bad).where("rule is null and host = 'blog.tionsh.example.com'").collect()
+    by = {p: {r.verdict for r in got if r.path.startswith("/es/") == p} for p in (True, False)}
+    assert by == {True: {"block"}, False: {"allow"}}
 
 
 @tables
