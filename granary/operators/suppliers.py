@@ -25,7 +25,9 @@ def dedup_vendors(vendors: DataFrame, name: str = "vendor_name") -> DataFrame:
 
 def supplier_risk(pov: DataFrame, grn: DataFrame) -> DataFrame:
     """Per vendor: spend and its share, items, lead time (mean and spread over items), pending ratio (indicators assumed)."""
-    spend = pov.groupBy("vendor").agg(F.sum("amount").cast("decimal(28,2)").alias("spend"), F.count_distinct("sku").alias("n_skus"), F.count("*").alias("n_lines"), F.sum("qty").cast("decimal(28,3)").alias("ordered"))
+    # By item first: a hot vendor's lines are summed before they meet, and items are counted without keeping them apart.
+    items = pov.groupBy("vendor", "sku").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"), F.sum("qty").alias("qty"))
+    spend = items.groupBy("vendor").agg(F.sum("amount").cast("decimal(28,2)").alias("spend"), F.count("sku").alias("n_skus"), F.sum("n").alias("n_lines"), F.sum("qty").cast("decimal(28,3)").alias("ordered"))
     spend = staged(spend, "spend")  # a row a vendor
     got = grn.groupBy("vendor").agg(F.sum("qty").cast("decimal(28,3)").alias("received"))
     per = lead_times(fifo_match(pov, grn, ["sku", "vendor"]), ["sku", "vendor"])
