@@ -39,7 +39,10 @@ def analyse(pov: DataFrame, grn: DataFrame, stock: DataFrame, pv: DataFrame | No
     }
 
 
-def process_multiledger(spark: SparkSession, pov_paths: list[str], grn_paths: list[str], stock_paths: list[str], pv_paths: list[str] | None = None, p: Params = Params(bucket="month"), caps: dict[str, int] | None = None, reading: Reading = Reading()) -> dict[str, DataFrame]:
+def process_multiledger(
+    spark: SparkSession, pov_paths: list[str], grn_paths: list[str], stock_paths: list[str], pv_paths: list[str] | None = None, p: Params = Params(bucket="month"),
+    caps: dict[str, int] | None = None, reading: Reading = Reading(),
+) -> dict[str, DataFrame]:
     """All analyses of the given files, and ``rejects`` (rows that could not be typed, with reasons)."""
     loaded = {k: load_ledger(spark, k, paths, caps, reading) for k, paths in (("pov", pov_paths), ("grn", grn_paths), ("stock", stock_paths), ("pv", pv_paths or []))}
     for k in ("pov", "grn", "pv"):  # spellings of a vendor become one

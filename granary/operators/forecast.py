@@ -55,13 +55,19 @@ def glm(s: DataFrame, p: Params = Params()) -> DataFrame:
     def newton(b: Column, _: Column) -> Column:
         def add(a: Column, q: Column) -> Column:
             m = F.exp(F.least(F.greatest(b["b0"] + b["b1"] * q["x"], F.lit(-20.0)), F.lit(20.0)))
-            return F.struct((a["g0"] + q["y"] - m).alias("g0"), (a["g1"] + q["x"] * (q["y"] - m)).alias("g1"), (a["h0"] + m).alias("h0"), (a["h1"] + m * q["x"]).alias("h1"), (a["h2"] + m * q["x"] * q["x"]).alias("h2"))
+            return F.struct(
+                (a["g0"] + q["y"] - m).alias("g0"), (a["g1"] + q["x"] * (q["y"] - m)).alias("g1"), (a["h0"] + m).alias("h0"), (a["h1"] + m * q["x"]).alias("h1"),
+                (a["h2"] + m * q["x"] * q["x"]).alias("h2"),
+            )
 
         start = F.struct(*[zero.alias(k) for k in ("g0", "g1", "h0", "h1", "h2")])
 
         def solve(a: Column) -> Column:
             det = a["h0"] * a["h2"] - a["h1"] * a["h1"]
-            return F.when(det > 1e-9, F.struct((b["b0"] + (a["h2"] * a["g0"] - a["h1"] * a["g1"]) / det).alias("b0"), (b["b1"] + (a["h0"] * a["g1"] - a["h1"] * a["g0"]) / det).alias("b1"))).otherwise(b)
+            return F.when(
+                det > 1e-9,
+                F.struct((b["b0"] + (a["h2"] * a["g0"] - a["h1"] * a["g1"]) / det).alias("b0"), (b["b1"] + (a["h0"] * a["g1"] - a["h1"] * a["g0"]) / det).alias("b1")),
+            ).otherwise(b)
 
         return F.aggregate(F.col("points"), start, add, solve)
 

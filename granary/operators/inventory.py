@@ -51,7 +51,10 @@ def fifo_match_spread(pov: DataFrame, grn: DataFrame, keys: list[str] | None = N
         tie = F.struct(F.col(date).alias("date"), "src_file", "src_row", "line_no", "vendor", "qty", "amount")
         dates = (F.lit(None).cast("date"), F.col(date)) if receipt else (F.col(date), F.lit(None).cast("date"))
         columns = [F.col(k).alias(f"key_{k}") for k in keys]
-        return df.where("qty > 0").select(*columns, F.lit(receipt).alias("receipt"), tie.alias("place"), F.col("qty").cast("decimal(28,3)").alias("qty"), dates[0].alias("ordered"), dates[1].alias("received"))
+        return df.where("qty > 0").select(
+            *columns, F.lit(receipt).alias("receipt"), tie.alias("place"), F.col("qty").cast("decimal(28,3)").alias("qty"), dates[0].alias("ordered"),
+            dates[1].alias("received"),
+        )
 
     own = [f"key_{k}" for k in keys]
     moves = side(pov, "order_date", False).unionByName(side(grn, "receipt_date", True))
@@ -114,7 +117,10 @@ def on_hand(stock: DataFrame) -> DataFrame:
 def trend(demand: DataFrame) -> DataFrame:
     """Slope of demand per period over its mean (assumed), from sums."""
     d, t = F.col("demand").cast("double"), F.col("t").cast("double")
-    base = demand.groupBy("sku").agg(F.count("*").cast("double").alias("n"), F.sum(t).alias("st"), F.sum(t * t).alias("stt"), F.sum(d).alias("sd"), F.sum(t * d).alias("std"), F.sum("demand").cast("decimal(28,3)").alias("total_demand"), F.sum("negative").cast("long").alias("n_negative"))
+    base = demand.groupBy("sku").agg(
+        F.count("*").cast("double").alias("n"), F.sum(t).alias("st"), F.sum(t * t).alias("stt"), F.sum(d).alias("sd"), F.sum(t * d).alias("std"),
+        F.sum("demand").cast("decimal(28,3)").alias("total_demand"), F.sum("negative").cast("long").alias("n_negative"),
+    )
     spread = F.col("n") * F.col("stt") - F.col("st") * F.col("st")
     slope = (F.col("n") * F.col("std") - F.col("st") * F.col("sd")) / spread
     factor = F.when((spread > 0) & (F.col("sd") > 0), F.round(slope / (F.col("sd") / F.col("n")), 6))
@@ -126,4 +132,6 @@ def sku_metrics(pov: DataFrame, grn: DataFrame, stock: DataFrame, p: Params = Pa
     t = trend(demand_balance(stock, grn, p.bucket))
     out = pending(pov, grn).join(on_hand(stock), "sku", "full").join(t, "sku", "full").join(lead_times(fifo_match(pov, grn)), "sku", "left")
     gap = F.coalesce("total_demand", F.lit(0)) - F.coalesce("on_hand", F.lit(0)) - F.coalesce("pending_qty", F.lit(0))
-    return out.withColumn("unordered_qty", F.greatest(gap, F.lit(0)).cast("decimal(28,3)")).select("sku", "total_demand", "n_negative", "on_hand", "pending_qty", "received_without_po", "unordered_qty", "lead_time_days", "early_qty", "trend_factor")
+    return out.withColumn("unordered_qty", F.greatest(gap, F.lit(0)).cast("decimal(28,3)")).select(
+        "sku", "total_demand", "n_negative", "on_hand", "pending_qty", "received_without_po", "unordered_qty", "lead_time_days", "early_qty", "trend_factor",
+    )

@@ -27,16 +27,25 @@ def supplier_risk(pov: DataFrame, grn: DataFrame) -> DataFrame:
     """Per vendor: spend and its share, items, lead time (mean and spread over items), pending ratio (indicators assumed)."""
     # By item first: a hot vendor's lines are summed before they meet, and items are counted without keeping them apart.
     items = pov.groupBy("vendor", "sku").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"), F.sum("qty").alias("qty"))
-    spend = items.groupBy("vendor").agg(F.sum("amount").cast("decimal(28,2)").alias("spend"), F.count("sku").alias("n_skus"), F.sum("n").alias("n_lines"), F.sum("qty").cast("decimal(28,3)").alias("ordered"))
+    spend = items.groupBy("vendor").agg(
+        F.sum("amount").cast("decimal(28,2)").alias("spend"), F.count("sku").alias("n_skus"), F.sum("n").alias("n_lines"),
+        F.sum("qty").cast("decimal(28,3)").alias("ordered"),
+    )
     spend = staged(spend, "spend")  # a row a vendor
     got = grn.groupBy("vendor").agg(F.sum("qty").cast("decimal(28,3)").alias("received"))
     per = lead_times(fifo_match(pov, grn, ["sku", "vendor"]), ["sku", "vendor"])
     d, n = F.col("lead_time_days"), F.count("*")
-    lead = per.groupBy("vendor").agg(F.round(F.avg(d), 4).alias("lead_time_mean"), F.round(F.sqrt(F.greatest((n * F.sum(d * d) - F.sum(d) * F.sum(d)) / (n * n), F.lit(0.0))), 4).alias("lead_time_spread"))
+    lead = per.groupBy("vendor").agg(
+        F.round(F.avg(d), 4).alias("lead_time_mean"),
+        F.round(F.sqrt(F.greatest((n * F.sum(d * d) - F.sum(d) * F.sum(d)) / (n * n), F.lit(0.0))), 4).alias("lead_time_spread"),
+    )
     total = spend.agg(F.sum("spend").cast("double").alias("total"))
     joined = spend.join(got, "vendor", "left").join(lead, "vendor", "left").crossJoin(F.broadcast(total))  # total is one row
     ratio = F.round(F.greatest((F.col("ordered") - F.coalesce("received", F.lit(0))).cast("double") / F.col("ordered").cast("double"), F.lit(0.0)), 6)
-    return joined.select("vendor", "spend", F.round(F.col("spend").cast("double") / F.col("total"), 8).alias("spend_share"), "n_skus", "n_lines", "lead_time_mean", "lead_time_spread", ratio.alias("pending_ratio"))
+    return joined.select(
+        "vendor", "spend", F.round(F.col("spend").cast("double") / F.col("total"), 8).alias("spend_share"), "n_skus", "n_lines", "lead_time_mean", "lead_time_spread",
+        ratio.alias("pending_ratio"),
+    )
 
 
 def supplier_clusters(risk: DataFrame, p: Params = Params()) -> DataFrame:
@@ -68,4 +77,7 @@ def top_trends(demand: DataFrame, p: Params = Params()) -> DataFrame:
 def lead_time_box(per_item: DataFrame, by: str = "vendor") -> DataFrame:
     """Exact quartiles and extremes of lead times."""
     d = F.col("lead_time_days")
-    return per_item.groupBy(by).agg(F.count("*").alias("n"), F.min(d).alias("low"), F.round(F.percentile(d, F.lit(0.25)), 4).alias("q1"), F.round(F.percentile(d, F.lit(0.5)), 4).alias("median"), F.round(F.percentile(d, F.lit(0.75)), 4).alias("q3"), F.max(d).alias("high"))
+    return per_item.groupBy(by).agg(
+        F.count("*").alias("n"), F.min(d).alias("low"), F.round(F.percentile(d, F.lit(0.25)), 4).alias("q1"), F.round(F.percentile(d, F.lit(0.5)), 4).alias("median"),
+        F.round(F.percentile(d, F.lit(0.75)), 4).alias("q3"), F.max(d).alias("high"),
+    )

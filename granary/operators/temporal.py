@@ -17,8 +17,15 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
     match, a right row without one is none."""
     found = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     own = F.struct(*left.columns)
-    rows = left.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(left_time).alias("_time"), F.lit(1).alias("_side"), own.alias("_left"), F.lit(None).cast(right.select(found).schema[0].dataType).alias("_right"), F.struct(*[F.lit(None).cast(right.schema[t].dataType).alias(t) for t in tie or []], F.lit(0).alias("_")).alias("_tie"))
-    others = right.where(F.col(right_time).isNotNull()).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(right_time).cast(left.schema[left_time].dataType).alias("_time"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), found.alias("_right"), F.struct(*(tie or []), F.lit(0).alias("_")).alias("_tie"))
+    rows = left.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(left_time).alias("_time"), F.lit(1).alias("_side"), own.alias("_left"),
+        F.lit(None).cast(right.select(found).schema[0].dataType).alias("_right"),
+        F.struct(*[F.lit(None).cast(right.schema[t].dataType).alias(t) for t in tie or []], F.lit(0).alias("_")).alias("_tie"),
+    )
+    others = right.where(F.col(right_time).isNotNull()).select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(right_time).cast(left.schema[left_time].dataType).alias("_time"), F.lit(0).alias("_side"),
+        F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), found.alias("_right"), F.struct(*(tie or []), F.lit(0).alias("_")).alias("_tie"),
+    )
     both = segmented(rows.unionByName(others), [f"_k_{k}" for k in keys], [F.col("_time"), F.col("_side"), F.col("_tie")], lasts={"_seen": "_right"})
     seen = F.when(F.col("_time").isNotNull(), F.col("_seen"))
     return both.where("_side = 1").select(*[F.col("_left")[c].alias(c) for c in left.columns], *[seen[n].alias(n) for n in columns])

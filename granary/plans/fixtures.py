@@ -48,7 +48,10 @@ def stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(QUARTERS - 1))))
     last = F.date_sub(F.add_months(F.lit("1995-04-01").cast("date"), F.col("i") * 3), 1)
     qty = ((F.col("p_partkey") * 31 + F.col("i") * 17) % 40).cast("decimal(18,3)")
-    return parts.select(F.col("p_partkey").cast("string").alias("sku"), last.alias("as_of"), qty.alias("qty"), F.lit(None).cast("decimal(18,2)").alias("value"), F.lit("part").alias("src_file"), F.col("i").cast("long").alias("src_row"))
+    return parts.select(
+        F.col("p_partkey").cast("string").alias("sku"), last.alias("as_of"), qty.alias("qty"), F.lit(None).cast("decimal(18,2)").alias("value"),
+        F.lit("part").alias("src_file"), F.col("i").cast("long").alias("src_row"),
+    )
 
 
 def sparse(stock: DataFrame) -> DataFrame:
@@ -68,8 +71,20 @@ def exports(spark: SparkSession, sf_dir: str) -> list[str]:
     money = F.format_number("amount", 2)
     layouts = (
         (",", {"PO No": "po_id", "Line": "line_no", "Item Code": "sku", "Supplier Name": "vendor", "PO Date": F.date_format("order_date", "dd/MM/yyyy"), "Ordered Qty": "qty", "Net Amount": money}),
-        (";", {"Amount": F.translate(money, ",.", ".,"), "Quantity": F.concat(F.col("qty").cast("long"), F.lit(",0")), "Order Date": F.date_format("order_date", "dd.MM.yyyy"), "Material": "sku", "Party": "vendor", "S. No": "line_no", "Voucher No": "po_id"}),
-        ("\t", {" sku ": "sku", "QTY": "qty", "date": F.concat(F.date_format("order_date", "yyyy-MM-dd"), F.lit(" 08:30:00")), "vendor": "vendor", "value": "amount", "order no": "po_id", "sl_no": "line_no", "remarks": F.lit("none")}),
+        (
+            ";",
+            {
+                "Amount": F.translate(money, ",.", ".,"), "Quantity": F.concat(F.col("qty").cast("long"), F.lit(",0")),
+                "Order Date": F.date_format("order_date", "dd.MM.yyyy"), "Material": "sku", "Party": "vendor", "S. No": "line_no", "Voucher No": "po_id",
+            },
+        ),
+        (
+            "\t",
+            {
+                " sku ": "sku", "QTY": "qty", "date": F.concat(F.date_format("order_date", "yyyy-MM-dd"), F.lit(" 08:30:00")), "vendor": "vendor", "value": "amount",
+                "order no": "po_id", "sl_no": "line_no", "remarks": F.lit("none"),
+            },
+        ),
         ("|", {"Order Date": F.date_format("order_date", "yyyyMMdd"), "po_number": "po_id", "part no": "sku", "supplier": "vendor", "line": "line_no", "order qty": "qty", "total": "amount"}),
     )
     folder, out = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}", []

@@ -51,7 +51,9 @@ def moves(pov: DataFrame, grn: DataFrame, delay: str = "45 days") -> DataFrame:
 def closing(spark: SparkSession, schema, day: str = "order_date", on: str = "9999-01-01") -> DataFrame:
     """A batch of one row, for the ledger whose date is ``day``, that closes all days before ``on``; its item shows in no output."""
     row = {"sku": SENTINEL, day: datetime.strptime(on, "%Y-%m-%d").date(), "qty": 1}
-    return spark.createDataFrame([tuple(row.get(f.name) for f in schema)], ", ".join(f"{f.name} {'int' if f.name == 'qty' else f.dataType.simpleString()}" for f in schema)).select(*[F.col(f.name).cast(f.dataType) for f in schema])
+    return spark.createDataFrame(
+        [tuple(row.get(f.name) for f in schema)], ", ".join(f"{f.name} {'int' if f.name == 'qty' else f.dataType.simpleString()}" for f in schema),
+    ).select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
 def _key(row: tuple) -> tuple:

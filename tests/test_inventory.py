@@ -40,8 +40,14 @@ def test_fifo_conserves_quantity(spark):
 
 def test_demand_with_gaps_in_stock(spark):
     """Receipts between two snapshots count whatever their period, and every calendar period has a row."""
-    stock = spark.createDataFrame([("a", dt.date(2020, 3, 31), Decimal(10), 1), ("a", dt.date(2020, 9, 30), Decimal(5), 2), ("a", dt.date(2020, 10, 31), Decimal(9), 3)], "sku string, as_of date, qty decimal(18,3), src_row long")
-    got = [("a", dt.date(2020, 3, 30), Decimal(7)), ("a", dt.date(2020, 5, 1), Decimal(100)), ("a", dt.date(2020, 9, 30), Decimal("0.5")), ("a", dt.date(2020, 12, 1), Decimal(3)), ("b", dt.date(2020, 5, 1), Decimal(3))]
+    stock = spark.createDataFrame(
+        [("a", dt.date(2020, 3, 31), Decimal(10), 1), ("a", dt.date(2020, 9, 30), Decimal(5), 2), ("a", dt.date(2020, 10, 31), Decimal(9), 3)],
+        "sku string, as_of date, qty decimal(18,3), src_row long",
+    )
+    got = [
+        ("a", dt.date(2020, 3, 30), Decimal(7)), ("a", dt.date(2020, 5, 1), Decimal(100)), ("a", dt.date(2020, 9, 30), Decimal("0.5")),
+        ("a", dt.date(2020, 12, 1), Decimal(3)), ("b", dt.date(2020, 5, 1), Decimal(3)),
+    ]
     grn = spark.createDataFrame(got, "sku string, receipt_date date, qty decimal(18,3)")
     rows = inventory.demand_balance(stock, grn, "month").orderBy("t").collect()
     first = 2020 * 12 + 3

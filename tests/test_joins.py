@@ -152,7 +152,9 @@ def test_functions_in_sql(spark):
     from tests.test_engines import _ledgers
 
     pov, grn = _ledgers(spark, 300)
-    stock = spark.createDataFrame([(s, date(2020, m, 28), Decimal(m)) for s in ("hot", "s1") for m in (1, 5, 9)], "sku string, as_of date, qty decimal(18,3)").withColumns({"value": F.lit(None).cast("decimal(18,2)"), "src_row": F.lit(1)})
+    stock = spark.createDataFrame(
+        [(s, date(2020, m, 28), Decimal(m)) for s in ("hot", "s1") for m in (1, 5, 9)], "sku string, as_of date, qty decimal(18,3)",
+    ).withColumns({"value": F.lit(None).cast("decimal(18,2)"), "src_row": F.lit(1)})
     register_sql(spark, pov, grn, stock)
     from granary.operators.inventory import fifo_match
 

@@ -46,7 +46,10 @@ def test_errors_are_clear(spark, files):
 
 def test_process_multiledger(spark, files):
     out = process_multiledger(spark, [str(files / "pov1.csv"), str(files / "pov2.xlsx")], [str(files / "grn.csv")], [str(files / "stock.csv")])
-    assert {"abc_data", "historical_data", "supplier_data", "lead_time_data", "top10_trends", "sbc_data", "abc_distribution", "supplier_clusters", "forecast_compare", "forecast_errors", "demand_history"} <= set(out)
+    assert {
+        "abc_data", "historical_data", "supplier_data", "lead_time_data", "top10_trends", "sbc_data", "abc_distribution", "supplier_clusters", "forecast_compare",
+        "forecast_errors", "demand_history",
+    } <= set(out)
     assert {r.vendor for r in out["supplier_data"].collect()} == {"ACME"}
     metrics = {r.sku: r for r in out["sku_metrics"].collect()}
     assert metrics["A"].pending_qty == 1 and metrics["B"].pending_qty == 0
@@ -78,8 +81,14 @@ def test_all_sheets_of_a_workbook(spark, tmp_path):
         return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
 
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
-        z.writestr("xl/workbook.xml", '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="May" r:id="r2"/><sheet name="Notes" r:id="r3"/><sheet name="April" r:id="r1"/></sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2, 3)) + "</Relationships>")
+        z.writestr(
+            "xl/workbook.xml",
+            '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="May" r:id="r2"/><sheet name="Notes" r:id="r3"/><sheet name="April" r:id="r1"/></sheets></workbook>',
+        )
+        z.writestr(
+            "xl/_rels/workbook.xml.rels",
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2, 3)) + "</Relationships>",
+        )
         z.writestr("xl/worksheets/sheet1.xml", sheet([["sku", "qty", "receipt date"], ["A", "1", "2020-04-01"]]))
         z.writestr("xl/worksheets/sheet2.xml", sheet([["title"], ["qty", "sku", "receipt date"], ["2", "B", "2020-05-01"]]))
         z.writestr("xl/worksheets/sheet3.xml", sheet([["call them"]]))
