@@ -65,12 +65,22 @@ def junk(html: Column) -> Column:
     """Whether a page's own text looks bad: signs for letters, shouting, hardly a sentence, or the same words again and again. Null for
     pages of fewer than 20 words, which say too little."""
     body = F.regexp_replace(html, r"(?is)<(script|style|nav|head)\b.*?</\1>|<!--.*?-->|<[^>]*>|&#?\w{1,8};", " ")
-    text = F.trim(F.regexp_replace(body, r"\s+", " "))
-    words = F.split(text, " ")
-    size, signs = F.length(text), F.length(F.regexp_replace(text, r"[^#$%&*|!]", ""))
-    capitals, small = F.length(F.regexp_replace(text, r"[^A-Z]", "")), F.length(F.regexp_replace(text, r"[^a-z]", ""))
-    bad = (signs * 20 > size) | (capitals > small) | (F.size(F.array_distinct(words)) * 5 < F.size(words))
-    return F.when(F.size(words) >= 20, bad)
+
+    def bad(text: Column) -> Column:
+        words = F.filter(F.split(F.translate(text, "\t\n\r", "   "), " "), lambda w: w != "")
+
+        def count(signs: str) -> Column:
+            return F.length(text) - F.length(F.translate(text, signs, ""))
+
+        def told(w: Column) -> Column:
+            spaces = F.length(text) - F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x))
+            size = F.length(text) - spaces + F.size(w) - 1  # with one space between words
+            shouts = count(string.ascii_uppercase) > count(string.ascii_lowercase)
+            return F.when(F.size(w) >= 20, (count("#$%&*|!") * 20 > size) | shouts | (F.size(F.array_distinct(w)) * 5 < F.size(w)))
+
+        return F.get(F.transform(F.array(words), told), F.lit(0))
+
+    return F.get(F.transform(F.array(body), bad), F.lit(0))  # the text is made once, not for each use
 
 
 def purities(shapes: DataFrame, scopes: list[int]) -> DataFrame:
