@@ -137,3 +137,18 @@ def test_clusters_without_lead_times(spark):
     risk = [(v, 0.1 * k, None if k == 2 else 3.0 + k, None if k == 2 else 1.0, 0.0, 4) for k, v in enumerate("abcd")]
     got = suppliers.supplier_clusters(spark.createDataFrame(risk, "vendor string, spend_share double, lead_time_mean double, lead_time_spread double, pending_ratio double, n_skus long"))
     assert {r.vendor: r.lead_time_mean for r in got.collect()}["c"] == pytest.approx((3 + 4 + 6) / 3)
+
+
+def test_tasks_of_demand_follow_the_rows(spark, monkeypatch, tmp_path):
+    """Neither the snapshots nor what is made of them lie in a fixed number of tasks."""
+    from granary.functions import staging
+    from granary.plans import fixtures
+
+    spark.range(300).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(fixtures, "PARTS", 20)
+    monkeypatch.setattr(staging, "TASK_ROWS", 100)
+    stock = fixtures.stock(spark, str(tmp_path))
+    assert stock.rdd.getNumPartitions() == 16
+    demand = inventory.demand_balance(stock, spark.createDataFrame([], "sku string, receipt_date date, qty decimal(18,3)"))
+    assert demand.rdd.getNumPartitions() == 300 * fixtures.QUARTERS // 100 + 1
+    assert demand.count() == 300 * (fixtures.QUARTERS - 1)
