@@ -152,3 +152,10 @@ def test_tasks_of_demand_follow_the_rows(spark, monkeypatch, tmp_path):
     demand = inventory.demand_balance(stock, spark.createDataFrame([], "sku string, receipt_date date, qty decimal(18,3)"))
     assert demand.rdd.getNumPartitions() == 300 * fixtures.QUARTERS // 100 + 1
     assert demand.count() == 300 * (fixtures.QUARTERS - 1)
+
+
+def test_clusters_match_ledgers_once(spark):
+    pov = spark.createDataFrame([("a", v, day(i), Decimal(i + 1), Decimal(i * i + 1), 1, "f", i) for i, v in enumerate("uvwxyz")], POV)
+    out = suppliers.supplier_clusters(suppliers.supplier_risk(pov, pov.withColumnRenamed("order_date", "receipt_date")))
+    assert out.count() == 6
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
