@@ -191,6 +191,12 @@ def test_backtest_of_every_origin(spark):
             assert r.mase is None if not some else abs(r.mase - sum(some) / len(some)) < 1e-3
 
 
+def test_backtest_shuffles_nothing(spark):
+    """Errors leave a task averaged: no row for each origin, no exchange after the series."""
+    plan = backtest(staged(_series(spark, n=6, periods=14), "series"), P)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Aggregate" not in plan
+
+
 def spark_free_forecasts(y):
     n, mean = len(y), sum(y) / len(y)
     prob, z = P.start_probability, next((v for v in y if v > 0), 0.0)
