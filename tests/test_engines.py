@@ -5,6 +5,7 @@ from contextlib import contextmanager
 from dataclasses import replace
 from math import exp, floor, log, sqrt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -220,3 +221,11 @@ def test_spread_gives_every_core_a_part(spark):
     one = staged(spark.range(10).coalesce(1), "one")
     assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(one.repartition(9)).rdd.getNumPartitions() == 9
+
+
+def test_forests_side_by_side_are_those_of_each_item():
+    """The same numbers drawn, the same sums: equal to the last bit, whatever shapes the items' trees have."""
+    rng = np.random.default_rng(5)
+    for length in (0, 3, 6, 7, 12, 23, 40):
+        y = np.concatenate([rng.integers(0, 40, (20, length)) * 1.0, rng.gamma(2.0, 7.3, (20, length)), np.full((2, length), 3.1), rng.integers(0, 2, (9, length)) * 5.0])
+        assert forecast.forests(y, P).tolist() == [forecast.forest(v, P) for v in y]
