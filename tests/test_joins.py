@@ -44,6 +44,17 @@ def test_similar_keys_are_all_pairs(spark, hot, percent, q):
     assert {(r.a, r.b): (r.shared, r.either) for r in got.collect()} == want and len(want) > 30
 
 
+def test_frequent_grams_do_not_square_the_pairs(spark, monkeypatch):
+    """Few grams, many keys: pairs of grams are frequent as well, so keys may meet only on longer combinations."""
+    rnd, met = random.Random(4), []
+    keys = ["".join(rnd.choice("abcd") for _ in range(14)) for _ in range(300)]
+    real = fuzzy.staged
+    monkeypatch.setattr(fuzzy, "staged", lambda df, name, *a: met.append((name, out := real(df, name, *a), out.count())) or out)
+    fuzzy.similar_keys(spark.createDataFrame([(k,) for k in keys], "key string"), 90, 2, 5)
+    assert sum(n for name, _, n in met if name in ("met", "similar")) < 300 * 5
+    assert sum(name == "met" for name, _, _ in met) > 2
+
+
 def test_fuzzy_vendors_of_odd_names(spark):
     rows = [(1, "Acme Trading"), (2, "ACME  trading."), (3, "Acme Tradng"), (4, "Zenith"), (5, None), (6, " -- "), (7, "Acme Tradingg"), (8, "")]
     got = {r.vendor_id: (r.group_key, r.canonical_name) for r in fuzzy.fuzzy_vendors(spark.createDataFrame(rows, "vendor_id int, vendor_name string")).collect()}
