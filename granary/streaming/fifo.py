@@ -1,8 +1,8 @@
 """FIFO matching of receipts to orders as both arrive, in any order of arrival.
 
-Rows wait in each item's state until the watermark has passed their date; then nothing older can come, and orders and
+Rows wait in the state of their item's bucket until the watermark has passed their date; then nothing older can come, and orders and
 receipts that are complete join their queues in the order of ``inventory.fifo_match``: by date, source and row. What the heads
-of the two queues have in common is a match and goes out. An event-time timer on an item's oldest waiting day wakes it up when the
+of the two queues have in common is a match and goes out. An event-time timer on a bucket's oldest waiting day wakes it up when the
 watermark gets there, so state holds open orders, unmatched receipts and the days within the watermark's delay, no more.
 
 Late rows: a row dated on or before the watermark that its item has already acted on could change matches that have gone out. It
@@ -15,17 +15,27 @@ than the watermark are still waiting when a stream stops; ``closing`` makes a ro
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import date, datetime
+from datetime import datetime
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-EPOCH = date(1970, 1, 1).toordinal()
+from granary.functions.staging import staged
+
 DAY_MS = 86_400_000
-#: A row's place in its queue is the tuple (day, src_file, src_row, line_no, vendor, qty, amount), quantities in thousandths.
-ROW = "day int, src_file string, src_row long, line_no int, vendor string, qty long, amount long"
+#: Items share the state of their bucket. The number is fixed for a stream's life; a bucket's rows are what a task holds at once.
+BUCKETS = 1024
+#: Rows in the order of their queues: an item's orders, then its receipts, by place; quantities in thousandths.
+WAITING = pa.schema(
+    [("sku", pa.string()), ("receipt", pa.bool_()), ("day", pa.int32()), ("src_file", pa.string()), ("src_row", pa.int64()), ("line_no", pa.int32()), ("vendor", pa.string()), ("qty", pa.int64()), ("amount", pa.int64())]
+)
+ACTED = pa.schema([("sku", pa.string()), ("day", pa.int32())])
+RAW = "sku string, kind string, ordered int, received int, milli long"
 OUT = "sku string, kind string, order_date date, receipt_date date, matched decimal(28,3)"
 SENTINEL = "\0closing"
 
@@ -56,83 +66,117 @@ def closing(spark: SparkSession, schema, day: str = "order_date", on: str = "999
     ).select(*[F.col(f.name).cast(f.dataType) for f in schema])
 
 
-def _key(row: tuple) -> tuple:
-    """Nulls first, as Spark sorts them."""
-    return tuple((v is not None, v) for v in row)
-
-
 class Fifo(StatefulProcessor):
+    """The items of one bucket. State is Arrow data, so that a bucket costs a few calls a batch however many items and rows it has."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.orders = handle.getListState("orders", ROW)  # complete, not yet all received; the first in place first
-        self.receipts = handle.getListState("receipts", ROW)  # complete, not yet all matched
-        self.waiting = handle.getListState("waiting", f"receipt boolean, {ROW}")
-        self.acted = handle.getValueState("acted", "day int")  # the last day that has been closed
+        self.waiting = handle.getListState("waiting", "rows binary")  # lots of rows as they came
+        self.open = handle.getValueState("open", "rows binary")  # complete orders and receipts that are not yet matched
+        self.acted = handle.getValueState("acted", "rows binary")  # the last day that has been closed, by item
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        acted = self.acted.get()[0] if self.acted.exists() else -(1 << 31)
-        new, late = [], []
+        acted, lots, first = _loaded(self.acted, ACTED), [], None
         for df in rows:
-            for r in df.itertuples(index=False):
-                place = (int(r.day), _none(r.src_file), _int(r.src_row), _int(r.line_no), _none(r.vendor), int(r.qty), _int(r.amount))
-                (late if place[0] <= acted else new).append((bool(r.receipt), *place))
-        if new and key[0] != SENTINEL:
-            self.waiting.appendList(new)
-            set_ = {t for t in self.handle.listTimers()}
-            due = (min(r[1] for r in new) + 1) * DAY_MS
-            if not any(t <= due for t in set_):
+            lot = pa.Table.from_pandas(df[WAITING.names], WAITING, preserve_index=False)
+            lot = lot.filter(pc.not_equal(lot["sku"], SENTINEL))
+            at = pc.index_in(lot["sku"], acted["sku"])
+            late = pc.fill_null(pc.less_equal(lot["day"], acted["day"].take(at)), False)
+            if pc.any(late).as_py():
+                gone = lot.filter(late)
+                day, receipt, none = gone["day"], gone["receipt"], pa.scalar(None, pa.int32())
+                yield _frame(gone["sku"], "late", pc.if_else(receipt, none, day), pc.if_else(receipt, day, none), gone["qty"])
+                lot = lot.filter(pc.invert(late))
+            if lot.num_rows:
+                lots.append((_packed(lot),))
+                least = pc.min(lot["day"]).as_py()
+                first = least if first is None else min(first, least)
+        if lots:
+            self.waiting.appendList(lots)
+            due = (first + 1) * DAY_MS
+            if not any(t <= due for t in self.handle.listTimers()):
                 self.handle.registerTimer(due)
-        if late:
-            yield _frame([(key[0], "late", None if r[0] else r[1], r[1] if r[0] else None, r[6]) for r in late])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A day is closed when the watermark has reached the next one.
         closed = timerValues.getCurrentWatermarkInMs() // DAY_MS - 1
-        waiting = list(self.waiting.get())
-        ready = [r for r in waiting if r[1] <= closed]
-        rest = [tuple(r) for r in waiting if r[1] > closed]
-        queues = []
-        for receipt, state in ((False, self.orders), (True, self.receipts)):
-            queues.append([list(r) for r in state.get()] + sorted((list(r[1:]) for r in ready if r[0] == receipt), key=_key))
-        orders, receipts, out, i, j = *queues, [], 0, 0
-        while i < len(orders) and j < len(receipts):
-            both = min(orders[i][5], receipts[j][5])
-            out.append((key[0], "match", orders[i][0], receipts[j][0], both))
-            for row in (orders[i], receipts[j]):
-                row[5] -= both
-            i, j = i + (orders[i][5] == 0), j + (receipts[j][5] == 0)
-        for state, left in ((self.orders, orders[i:]), (self.receipts, receipts[j:]), (self.waiting, rest)):
-            state.put([tuple(r) for r in left]) if left else state.clear()
-        self.acted.update((int(closed),))
-        if rest:
-            self.handle.registerTimer((min(r[1] for r in rest) + 1) * DAY_MS)
-        if out:
-            yield _frame(out)
+        waiting = pa.concat_tables([WAITING.empty_table(), *(_unpacked(lot) for (lot,) in self.waiting.get())])
+        is_ready = pc.less_equal(waiting["day"], closed)
+        ready, rest = waiting.filter(is_ready), waiting.filter(pc.invert(is_ready))
+        if not ready.num_rows:
+            return
+        out, left = matched(pa.concat_tables([_loaded(self.open, WAITING), ready]))
+        done = pc.unique(ready["sku"])
+        acted = _loaded(self.acted, ACTED)
+        acted = acted.filter(pc.invert(pc.is_in(acted["sku"], done)))
+        now = pa.table([done, pa.array(np.full(len(done), closed, np.int32))], schema=ACTED)
+        self.acted.update((_packed(pa.concat_tables([acted, now])),))
+        self.open.update((_packed(left),)) if left.num_rows else self.open.clear()
+        if rest.num_rows:
+            self.waiting.put([(_packed(rest),)])
+            self.handle.registerTimer((pc.min(rest["day"]).as_py() + 1) * DAY_MS)
+        else:
+            self.waiting.clear()
+        if len(out[0]):
+            yield _frame(out[0], "match", *out[1:])
 
     def close(self) -> None:
         pass
 
 
-def _none(v):
-    return None if v is None or v != v else v
+def matched(rows: pa.Table) -> tuple[tuple, pa.Table]:
+    """The matches (sku, order's day, receipt's day, thousandths) of all items' complete rows, and what is left of the rows."""
+    rows = rows.take(pc.sort_indices(rows, [(c, "ascending") for c in WAITING.names], null_placement="at_start"))
+    item = pc.rank(rows["sku"], tiebreaker="dense").to_numpy().astype(np.int64) - 1
+    receipt, day, qty = (rows[c].to_numpy(zero_copy_only=False) for c in ("receipt", "day", "qty"))
+    n = int(item.max(initial=-1)) + 1
+    total = np.zeros((2, n), np.int64)
+    np.add.at(total, (receipt.astype(int), item), qty)
+    # All items lie on one axis of quantities, each from ``base`` on; a row's right end on it is ``end``.
+    base = np.cumsum(total.max(0)) - total.max(0)
+    limit = base + total.min(0)
+    end, sides = np.empty(len(qty), np.int64), []
+    for side in (0, 1):
+        i = np.flatnonzero(receipt == bool(side))
+        end[i] = np.cumsum(qty[i]) - (np.cumsum(total[side]) - total[side])[item[i]] + base[item[i]]
+        sides.append(i)
+    cuts = np.unique(end[end <= limit[item]])
+    own = np.searchsorted(base, cuts) - 1
+    before = np.maximum(base[own], np.append(0, cuts[:-1])[: len(cuts)])
+    order, got = (day[i[np.searchsorted(end[i], cuts)]] for i in sides)
+    sku = pc.unique(rows["sku"])
+    left = np.minimum(np.maximum(end - limit[item], 0), qty)
+    rest = rows.set_column(rows.schema.get_field_index("qty"), "qty", pa.array(left)).filter(pa.array(left > 0))
+    return (sku.take(pa.array(own)), order, got, cuts - before), rest
+
 
+def _packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
-def _int(v):
-    return None if v is None or v != v else int(v)
 
+def _unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(bytes(data)).read_all()
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    from decimal import Decimal
 
-    day = lambda d: None if d is None else date.fromordinal(EPOCH + d)
-    return pd.DataFrame([(s, k, day(o), day(r), Decimal(q).scaleb(-3)) for s, k, o, r, q in rows], columns=["sku", "kind", "order_date", "receipt_date", "matched"], dtype=object)
+def _loaded(state, schema: pa.Schema) -> pa.Table:
+    return _unpacked(state.get()[0]) if state.exists() else schema.empty_table()
+
+
+def _frame(sku, kind: str, ordered, received, milli) -> pd.DataFrame:
+    days = [pd.array(np.asarray(d) if isinstance(d, np.ndarray) else d.to_pylist(), "Int32") for d in (ordered, received)]
+    return pd.DataFrame({"sku": sku.to_pandas(), "kind": kind, "ordered": days[0], "received": days[1], "milli": np.asarray(milli)})
 
 
 def fifo_stream(pov: DataFrame, grn: DataFrame, delay: str = "45 days") -> DataFrame:
     """(sku, kind, order_date, receipt_date, matched): matches as they become certain, and late rows. Needs the RocksDB state store
     (spark.sql.streaming.stateStore.providerClass), which keeps state on disk; ``with_rocksdb`` sets it."""
-    keyed = moves(pov, grn, delay).groupBy("sku")
-    return keyed.transformWithStateInPandas(Fifo(), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    keyed = moves(pov, grn, delay).withColumn("bucket", F.pmod(F.xxhash64("sku"), F.lit(BUCKETS)).cast("int")).groupBy("bucket")
+    out = keyed.transformWithStateInPandas(Fifo(), outputStructType=RAW, outputMode="Append", timeMode="EventTime")
+    days = (F.date_from_unix_date("ordered").alias("order_date"), F.date_from_unix_date("received").alias("receipt_date"))
+    return out.select("sku", "kind", *days, (F.col("milli").cast("decimal(25,0)") / 1000).cast("decimal(28,3)").alias("matched"))
 
 
 def with_rocksdb(spark: SparkSession) -> None:
@@ -143,17 +187,21 @@ def replayed(spark: SparkSession, pov: DataFrame, grn: DataFrame, folder: str, s
     """The stream's output after the ledgers have arrived in ``splits`` lots by date, each taken up by a run that starts from the
     checkpoint of the one before, and after the closing rows."""
     with_rocksdb(spark)
-    days = {"pov": (pov, "order_date"), "grn": (grn, "receipt_date")}
     first, last = pov.agg(F.min("order_date"), F.max("order_date")).first()
+
+    def in_lots(df: DataFrame, day: str) -> tuple[DataFrame, str]:
+        at = F.floor(F.datediff(day, F.lit(first)) * splits / ((last - first).days + 1))
+        return staged(df.withColumn("lot", F.least(F.greatest(at, F.lit(0)), F.lit(splits - 1))), "lots", release=True), day
+
+    days = {"pov": in_lots(pov, "order_date"), "grn": in_lots(grn, "receipt_date")}
     for lot in range(splits + 1):
         for name, (df, day) in days.items():
             if lot == splits:
-                some = closing(spark, df.schema, day)
+                some = closing(spark, df.drop("lot").schema, day)
             else:
-                at = F.floor(F.datediff(day, F.lit(first)) * splits / ((last - first).days + 1))
-                some = df.where(F.least(F.greatest(at, F.lit(0)), F.lit(splits - 1)) == lot)
+                some = df.where(F.col("lot") == lot).drop("lot")
             some.write.mode("append").parquet(f"{folder}/{name}")
-        streams = [spark.readStream.schema(df.schema).parquet(f"{folder}/{name}") for name, (df, _) in days.items()]
+        streams = [spark.readStream.schema(df.drop("lot").schema).parquet(f"{folder}/{name}") for name, (df, _) in days.items()]
         run = fifo_stream(*streams, delay).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
         run.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(OUT).parquet(f"{folder}/out")
