@@ -176,3 +176,23 @@ def test_functions_in_sql(spark):
     assert len(made) == 2 * spark.table("demand").select("sku").distinct().count()
     with pytest.raises(Exception, match="TSB or MEAN"):
         spark.sql("SELECT * FROM forecast('x', 2, TABLE(demand) PARTITION BY sku ORDER BY t)").collect()
+
+
+def test_tasks_of_sketches_follow_the_groups(spark, monkeypatch):
+    """What a task sorts or sketches doesn't grow with the ledgers."""
+    from granary.functions import staging
+    from granary.operators import inventory
+    from granary.plans import catalog
+    from tests.test_engines import _ledgers
+
+    pov, grn = _ledgers(spark, 400)
+    whole = inventory.fifo_match(pov, grn)
+    monkeypatch.setattr(staging, "TASK_ROWS", 20)
+    dealt = inventory.fifo_match(pov, grn, None, 400)
+    assert dealt.rdd.getNumPartitions() == 2 * 400 // 20 + 1
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, whole.collect()))
+    sizes, real = [], catalog.dealt
+    monkeypatch.setattr(catalog, "dealt", lambda df, rows, *keys: sizes.append((rows, keys)) or real(df, rows, *keys))
+    got = catalog.QUERIES["sketch_bounds"](spark, "/root/testdata/sf0.001")
+    assert got.where("not (skus_ok and q1_ok and median_ok and q3_ok)").isEmpty()
+    assert [k for _, k in sizes] == [("vendor", "month"), ("vendor",), ("vendor",)] and sizes[0][0] == sizes[1][0] > sizes[2][0] > 0
