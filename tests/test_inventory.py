@@ -159,3 +159,15 @@ def test_clusters_match_ledgers_once(spark):
     out = suppliers.supplier_clusters(suppliers.supplier_risk(pov, pov.withColumnRenamed("order_date", "receipt_date")))
     assert out.count() == 6
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tasks_of_orders_follow_the_lines(spark, monkeypatch):
+    """Lines and orders meet in tasks whose size doesn't follow the tables'."""
+    from granary.functions import staging
+    from granary.plans import fixtures
+
+    few = fixtures.pov(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(staging, "TASK_ROWS", 500)
+    many = fixtures.pov(spark, "/root/testdata/sf0.001")
+    assert "REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few))
