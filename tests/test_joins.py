@@ -6,6 +6,7 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from granary.functions.groups import groups
 from granary.operators import fuzzy, summaries, temporal
@@ -178,6 +179,29 @@ def test_functions_in_sql(spark):
         spark.sql("SELECT * FROM forecast('x', 2, TABLE(demand) PARTITION BY sku ORDER BY t)").collect()
 
 
+def test_fifo_in_sql_takes_items_whole(spark):
+    """An item's rows go to Python as arrays, however many batches of Arrow they fill; null and negative quantities are left out."""
+    from granary.operators.inventory import fifo_match
+    from granary.plans.sql import FifoRows, register_sql
+    from tests.test_engines import _ledgers
+
+    assert FifoRows.evalType == PythonEvalType.SQL_ARROW_UDTF
+    pov, grn = _ledgers(spark, 300)
+    pov = pov.withColumn("qty", F.when(F.col("src_row") % 7 != 0, F.col("qty")).cast("decimal(18,3)"))
+    grn = grn.withColumn("qty", F.when(F.col("src_row") % 5 == 0, F.lit(-1)).otherwise(F.col("qty")).cast("decimal(18,3)"))
+    stock = spark.createDataFrame([], "sku string, as_of date, qty decimal(18,3), value decimal(18,2), src_row long")
+    register_sql(spark, pov, grn, stock)
+    sums = lambda df: sorted(map(str, df.groupBy("sku", "order_date", "receipt_date").agg(F.sum("matched").alias("m")).collect()))
+    query = "SELECT * FROM fifo(TABLE(moves) PARTITION BY sku ORDER BY (move_date, src_file, src_row, line_no, vendor, qty, amount))"
+    for size in ("10000", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = sums(spark.sql(query))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got and got == sums(fifo_match(pov, grn))
+
+
 def test_tasks_of_sketches_follow_the_groups(spark, monkeypatch):
     """What a task sorts or sketches doesn't grow with the ledgers."""
     from granary.functions import staging
