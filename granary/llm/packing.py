@@ -12,7 +12,7 @@ All ids are the library's own. A byte-level BPE file without a normaliser lets a
 white-space byte that follows a character other than white space: no pre-token and no added token spans such a
 place, so the ids of the spans, one after another, are those of the whole text. Spans repeat, so a task keeps the
 ids of those it has seen, as arrays of at most CACHE bytes, and gives them up when it ends; spans over LONG bytes
-are encoded anew each time. Under any other kind of file whole texts are encoded.
+are encoded anew each time. New spans are encoded many at a time, one after another as in a text. Under any other kind of file whole texts are encoded.
 
 Edge cases: null and empty texts hold the end id alone; an added token written out in a text gets its id, as in the
 library; a very long text is cut into many whole windows, and one without white space is a single span, which is
@@ -22,6 +22,7 @@ not kept; rows that repeat are packed once each; an empty table gives no pieces;
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 import os
 
@@ -33,6 +34,7 @@ from granary.llm.text import SPACE, U, ranges, slices, spans_hash, utf8
 
 CACHE = 32 << 20
 LONG = 64
+LOT = 256  # new spans encoded as one text
 SLICE = 1 << 20  # bytes of text encoded at once
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _open: dict[str, Encoder] = {}
@@ -54,6 +56,12 @@ class Encoder:
         added = known["added_tokens"] or []
         whole = any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in added)
         self.divides = bool(plain and known["normalizer"] is None and not whole)
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of text that an id stands for
+        if self.divides:
+            for token, i in known["model"]["vocab"].items():
+                self.width[i] = len(token)  # a letter of the byte-level alphabet is a byte
+            for t in added:
+                self.width[t["id"]] = len(t["content"].encode())
         self.clear()
 
     def clear(self) -> None:
@@ -65,9 +73,34 @@ class Encoder:
         """The ids of all texts, and each one's number of ids."""
         lists = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         length = np.fromiter(map(len, lists), np.int32, len(lists))
-        ids = np.fromiter((x for one in lists for x in one), np.uint32, int(length.sum()))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(length.sum()))
         return ids, length
 
+    def encode_spans(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some spans, and where each one's begin and how many they are; ``last`` tells which end a text.
+
+        Spans that begin with white space and don't end a text may follow one another, as they would in a text: LOT of them are
+        encoded as one, and told apart again by the bytes that their ids stand for."""
+        raw = data.tobytes()
+        parts = [raw[i:j] for i, j in zip(s.tolist(), e.tolist(), strict=True)]
+        start, size = np.zeros(len(s), np.int64), np.zeros(len(s), np.int32)
+        ids, joined = np.zeros(0, np.uint32), np.zeros(len(s), bool)
+        if self.divides and len(s):
+            joined = SPACE[data[s]] & ~last
+            k = np.flatnonzero(joined).tolist()
+            ids, _ = self.encode([b"".join([parts[i] for i in k[at : at + LOT]]).decode("utf-8", "replace") for at in range(0, len(k), LOT)])
+            ends, cuts = np.cumsum(self.width[ids]), np.cumsum((e - s)[joined])
+            at = np.searchsorted(ends, cuts)
+            if len(ends) == (at[-1] + 1 if len(at) else 0) and (ends[at] == cuts).all():
+                size[joined] = np.diff(at, prepend=-1)
+                start[joined] = at + 1 - size[joined]
+            else:  # a file whose ids don't add up to the text
+                ids, joined = ids[:0], np.zeros(len(s), bool)
+        alone = np.flatnonzero(~joined)
+        more, size[alone] = self.encode([parts[i].decode("utf-8", "replace") for i in alone.tolist()])
+        start[alone] = len(ids) + np.cumsum(size[alone], dtype=np.int64) - size[alone]
+        return np.concatenate([ids, more]), start, size
+
     def spans(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the spans that may be encoded apart."""
         if not len(data):
@@ -94,13 +127,13 @@ class Encoder:
         known = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
-        raw, new = data.tobytes(), np.flatnonzero(~known)
-        texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(s[first[new]].tolist(), e[first[new]].tolist(), strict=True)]
-        ids, size = self.encode(texts) if texts else (np.zeros(0, np.uint32), np.zeros(0, np.int32))
+        new = np.flatnonzero(~known)
+        from_, to = s[first[new]], e[first[new]]
+        ids, begin, size = self.encode_spans(data, from_, to, np.isin(to, off[1:]))
         # The batch's ids by distinct span: kept ones, then new ones.
         start, length = np.empty(len(keys), np.int64), np.empty(len(keys), np.int32)
         start[known], length[known] = self.start[at[known]], self.length[at[known]]
-        start[new], length[new] = len(self.ids) + np.cumsum(size) - size, size
+        start[new], length[new] = len(self.ids) + begin, size
         pool = np.concatenate([self.ids, ids])
         per_span = length[which].astype(np.int64)
         # A text's ids, then its end: room for one more id after each text.

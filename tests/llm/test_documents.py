@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import os
+import random
 
 import numpy as np
 import pytest
@@ -354,6 +355,27 @@ def test_packing_round_trip(spark, odd_docs):
         assert len(sequences) <= total / 2048 * 1.1 + 8
 
 
+def test_packing_encodes_new_spans_together(monkeypatch):
+    """Spans of odd texts go to the library many at a time, and come back with the ids that whole texts have."""
+    import pyarrow as pa
+    import tokenizers
+
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    rnd = random.Random(9)
+    pieces = [" ", "  ", "\t", "\n\n", "\r\n", "\u00a0", "\u3000", "\u2003", "\x85", "\x0b", "<|endoftext|>", "don't", "12,5", "é", "日本", "🙂", "\x00", "\x1c", "'s", "x"]
+    texts = [None, "", " ", "a ", " a", *("".join(rnd.choice(pieces) if rnd.random() < 0.5 else f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(1, 60))) for _ in range(300))]
+    texts += [" ".join(f"n{rnd.randrange(10**7)}" for _ in range(3000))]
+    encoder, asked = packing.Encoder(path), []
+    real = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda some: asked.append(len(some)) or real(some))
+    library = tokenizers.Tokenizer.from_file(path)
+    for _ in range(2):
+        ids, off = encoder.batch(pa.array(texts, pa.string()), 1)
+        got = [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)]
+        assert got == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert sum(asked) < 1000  # more than 6,000 different spans
+
+
 def test_packing_with_a_small_cache(monkeypatch):
     """Ids are the library's when spans are given up and met again."""
     import pyarrow as pa
