@@ -13,8 +13,8 @@ Exact copies and equal signatures are combined map-side: a chunk of text ships a
 signature that a third of all documents carry costs a row per chunk. Candidates are verified exactly on
 the sets: first each document with the leader it meets most, then the other leaders outside its component,
 then, for signatures that still span components, pairs across components that parity sketches of the sets
-(lower bounds of their difference) do not rule out. Pairs inside a component are never made, since they cannot
-change the result.
+(lower bounds of their difference) do not rule out. The last are compared where they meet, without becoming rows: only the documents
+of such a pair are sent on, with wider sketches, and those still left with their sets. Pairs inside a component are never made, since they cannot change the result.
 
 Edge cases: null and empty texts (or white space only) have no set and link with nothing; a text shorter than
 a shingle is one shingle; a null doc_id is returned with a null component; rows that share a doc_id are one
@@ -34,6 +34,7 @@ from granary.llm.text import U, dealt, grams, mix, slices, word_hashes
 
 CHUNK = 16 << 20  # bytes of text combined before signatures are shipped
 BLOCK = 1024  # documents of one signature compared in one task, by pairs of such blocks
+WIDER = 8  # times a sketch is as wide for the documents that others leave over
 SMALL = 64  # bands up to this size have three cells a partition, others two
 
 
@@ -248,10 +249,23 @@ def _sets(n: int):
     return kernel
 
 
-def sketch(v: np.ndarray) -> bytes:
+def _sketches(n: int):
+    """(doc_id, n, bits): sketches WIDER times as wide as those that all documents have."""
+
+    def kernel(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                g, off, _ = shingle_sets(_column(part, "text"), n)
+                bits = [sketch(g[a:b], WIDER) for a, b in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([_column(part, "doc_id"), pa.array(np.diff(off)), pa.array(bits, pa.binary())], ["doc_id", "n", "bits"])
+
+    return kernel
+
+
+def sketch(v: np.ndarray, times: int = 1) -> bytes:
     """A set's parities: bit i tells whether an odd number of elements hash to i. Sets that differ in h
-    elements differ in at most h bits, so more differing bits than h rule a pair out, surely."""
-    width = min(4096, max(512, 1 << int(2 * len(v)).bit_length()))
+    elements differ in at most h bits, so more differing bits than h rule a pair out, surely; the more surely, the more ``times`` as wide."""
+    width = times * min(4096, max(512, 1 << int(2 * len(v)).bit_length()))
     odd = np.bincount((mix(v) % U(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -284,49 +298,95 @@ def _folded(bits: list[bytes]) -> np.ndarray:
     return out
 
 
+def _blocks(rows: list[pa.RecordBatch]):
+    """The rows of one partition as a table, and for each signature's block pair the places of its rows and of its two blocks' rows."""
+    table = pa.Table.from_batches(rows)
+    sig, left, right, block, doc = (table.column(x).to_numpy() for x in ("sig", "left", "right", "block", "doc"))
+    o = np.lexsort((doc, right, left, sig))
+    new = np.ones(len(o), bool)
+    new[1:] = (sig[o[1:]] != sig[o[:-1]]) | (left[o[1:]] != left[o[:-1]]) | (right[o[1:]] != right[o[:-1]])
+    bounds = np.append(np.flatnonzero(new), len(o))
+
+    def groups():
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            g, every = o[a:b], np.arange(b - a)
+            alone = left[g[0]] == right[g[0]]
+            x, y = (every, every) if alone else (np.flatnonzero(block[g] == left[g[0]]), np.flatnonzero(block[g] == right[g[0]]))
+            if len(x) and len(y):
+                yield g, x, y, alone
+
+    return table, groups()
+
+
+def _close(percent: int, sketch: np.ndarray, n: np.ndarray, c: np.ndarray, i: int, y: np.ndarray) -> np.ndarray:
+    """Those of the rows ``y`` that lie in another component than row ``i`` and that sizes and sketches don't rule out."""
+    y = y[c[y] != c[i]]
+    most = (100 - percent) * (n[i] + n[y]) // (100 + percent)
+    fits = np.abs(n[i] - n[y]) <= most
+    y, most = y[fits], most[fits]
+    return y[np.bitwise_count(sketch[i] ^ sketch[y]).sum(1) <= most]
+
+
+_BLOCK_ROWS = "sig long, left int, right int, block int, doc long, c long, n long"
+
+
 def _across(percent: int):
-    """Pairs across components that sizes and sketches don't rule out, for each signature's block pair."""
+    """The rows of each signature's block pair that may be similar to one of another component: a row comes once, however many those are."""
 
     def kernel(batches):
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
-        table = pa.Table.from_batches(rows)
-        sig, left, right, block, doc, c, n = (table.column(x).to_numpy() for x in ("sig", "left", "right", "block", "doc", "c", "n"))
+        table, groups = _blocks(rows)
+        c, n = (table.column(x).to_numpy() for x in ("c", "n"))
         bits = table.column("bits").to_pylist()
-        order = np.lexsort((doc, right, left, sig))
-        new = np.ones(len(order), bool)
-        o = order
-        new[1:] = (sig[o[1:]] != sig[o[:-1]]) | (left[o[1:]] != left[o[:-1]]) | (right[o[1:]] != right[o[:-1]])
-        bounds = np.append(np.flatnonzero(new), len(order))
-        near: dict[int, set[int]] = {}  # a pair meets on many signatures; a task returns it once
-        held = 0
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            g = order[a:b]
-            x, y = (g, g) if left[g[0]] == right[g[0]] else (g[block[g] == left[g[0]]], g[block[g] == right[g[0]]])
-            if not len(x) or not len(y):
-                continue
-            sketch = _folded([bits[i] for i in g])
-            at = {int(i): k for k, i in enumerate(g)}
-            sy = sketch[[at[int(i)] for i in y]]
+        some = np.zeros(len(c), bool)
+        for g, x, y, alone in groups:
+            sketch, own_c, own_n = _folded([bits[i] for i in g]), c[g], n[g]
             for i in x.tolist():
-                most = 2 * (100 - percent) * (n[i] + n[y]) // (2 * (100 + percent))
-                differ = np.bitwise_count(sketch[at[i]] ^ sy).sum(1)
-                ok = (c[y] != c[i]) & (doc[y] < doc[i] if x is y else True) & (differ <= most) & (np.abs(n[i] - n[y]) <= most)
-                for j in doc[y[ok]].tolist():
-                    near.setdefault(max(int(doc[i]), j), set()).add(min(int(doc[i]), j))
-                    held += 1
-            if held >= 1 << 20:
-                yield _lists_of(near)
-                near, held = {}, 0
-        if near:
-            yield _lists_of(near)
+                near = _close(percent, sketch, own_n, own_c, i, y[y > i] if alone else y)
+                if len(near):
+                    some[g[near]] = some[g[i]] = True
+        if some.any():
+            yield from table.drop_columns("bits").filter(pa.array(some)).to_batches()
 
     return kernel
 
 
-def _lists_of(near: dict[int, set[int]]):
-    return pa.RecordBatch.from_arrays([pa.array(list(near), pa.int64()), pa.array([sorted(v) for v in near.values()], pa.list_(pa.int64()))], ["doc", "leaders"])
+def _linked(percent: int):
+    """Links between components, for each signature's block pair: pairs are compared by their whole sets where they meet. A link makes
+    two components one, so no more links come out than rows have gone in."""
+
+    def kernel(batches):
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        table, groups = _blocks(rows)
+        doc, c = (table.column(x).to_numpy() for x in ("doc", "c"))
+        sets = table.column("shingles").combine_chunks()
+        off, values = sets.offsets.to_numpy(), sets.values.to_numpy().view(U)
+        u, v, failed = [], [], set()
+        for g, x, y, alone in groups:
+            own = [values[off[i] : off[i + 1]] for i in g.tolist()]
+            wide, own_c, own_n = _folded([sketch(s, WIDER) for s in own]), c[g].copy(), np.diff(off)[g]
+            narrow = np.bitwise_xor.reduce(wide.reshape(len(wide), WIDER, -1), 1)
+            for i in x.tolist():
+                near = _close(percent, narrow, own_n, own_c, i, y[y > i] if alone else y)
+                for j in _close(percent, wide, own_n, own_c, i, near).tolist():
+                    pair = (int(doc[g[i]]), int(doc[g[j]]))
+                    if own_c[i] == own_c[j] or pair in failed:
+                        continue
+                    both = len(own[i]) + len(own[j]) - len(np.union1d(own[i], own[j]))
+                    if both * 100 >= (len(own[i]) + len(own[j]) - both) * percent:
+                        u.append(pair[0])
+                        v.append(pair[1])
+                        own_c[own_c == own_c[j]] = own_c[i]
+                    elif len(failed) < 1 << 20:
+                        failed.add(pair)  # it may meet again on another signature
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return kernel
 
 
 def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
@@ -348,10 +408,11 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     pairs = pairs.select("doc", "leader", "times", "n", "m", "x", "y").mapInArrow(_possible(percent), "doc long, leader long, times long")
     pairs = staged(pairs.groupBy("doc", "leader").agg(F.max("times").alias("times")), "pairs", release=True)
 
-    def sets_of(candidates: DataFrame) -> DataFrame:
-        nodes = candidates.select(F.explode(F.array("doc", "leader")).alias("node")).distinct()
-        asked = texts.join(staged(nodes, "nodes"), F.col("doc_id") == F.col("node"), "left_semi")
-        return staged(asked.mapInArrow(_sets(n), "doc_id long, shingles array<long>"), "sets", release=True)
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return texts.join(staged(nodes.distinct(), "nodes"), F.col("doc_id") == F.col("node"), "left_semi")
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return staged(texts_of(nodes).mapInArrow(_sets(n), "doc_id long, shingles array<long>"), "sets", release=True)
 
     def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
         a = sets.select(F.col("doc_id").alias("doc"), F.col("shingles").alias("a"))
@@ -360,7 +421,7 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
         kept = candidates.select("doc", "leader").join(a, "doc").join(b, "leader").withColumn("both", both)
         return kept.where(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent).select(F.col("doc").alias("u"), F.col("leader").alias("v"))
 
-    sets = sets_of(pairs)
+    sets = sets_of(pairs.select(F.explode(F.array("doc", "leader")).alias("node")))
     best = pairs.groupBy("doc").agg(F.max_by("leader", F.struct("times", -F.col("leader"))).alias("leader"))
     best = staged(best, "best")
     edges = staged(copies.union(verified(best, sets)), "links")
@@ -386,11 +447,20 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     open_ = member.join(wide, "sig").join(sketches, F.col("doc") == F.col("doc_id")).select("sig", "doc", "c", "n", "bits", "blocks")
     open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc", "sig"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     open_ = open_.select("sig", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "doc", "c", "n", "bits")
-    third = dealt(open_, n_open, "sig", "left", "right").mapInArrow(_across(percent), "doc long, leaders array<long>")
-    third = third.select("doc", F.explode("leaders").alias("leader")).distinct()
-    third = staged(third.join(pairs, ["doc", "leader"], "left_anti"), "third", release=True)
+    third = staged(dealt(open_, n_open, "sig", "left", "right").mapInArrow(_across(percent), _BLOCK_ROWS), "third", release=True)
+    block_pair = ("sig", "left", "right")
+    if not third.isEmpty():
+        wider = texts_of(third.select(F.col("doc").alias("node"))).mapInArrow(_sketches(n), "d long, n long, bits binary")
+        wider = third.drop("n").join(staged(wider, "sketches", release=True), F.col("doc") == F.col("d")).drop("d")
+        weight = 2 * (third.agg(F.sum("n")).first()[0] or 0)
+        narrow, third = third, staged(dealt(wider, weight, *block_pair).mapInArrow(_across(percent), _BLOCK_ROWS), "third", release=True)
+        unstage(narrow)
     if not third.isEmpty():
-        more = staged(verified(third, sets_of(third)), "links")
+        # Pairs are verified where they meet, so they never become rows, of which there may be as many as the square of a group.
+        whole = sets_of(third.select(F.col("doc").alias("node"))).withColumnRenamed("doc_id", "d")
+        weight = third.agg(F.sum("n")).first()[0] or 0
+        third = dealt(third.join(whole, F.col("doc") == F.col("d")).drop("d"), weight, *block_pair)
+        more = staged(third.mapInArrow(_linked(percent), "u long, v long").distinct(), "links", release=True)
         if not more.isEmpty():
             comp = staged(components(edges.union(more)), "components")
     return _result(signed, comp)

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import os
 import random
 
@@ -60,6 +61,38 @@ def test_jaccard_join(spark, odd_docs, n, percent):
         assert {k: sorted(v) for k, v in by.items()} == sizes
 
 
+def test_pairs_across_components_are_no_rows():
+    """Of a signature's documents, each of its own component, come as many rows as there are documents, though nearly all pairs pass their
+    sketches; the links that are left are those of the whole sets."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.int64)
+    sets = [np.unique(np.concatenate([base[: 182 - 2 * (i % 2)], rng.integers(0, 1 << 63, 16, dtype=np.int64)])).view(np.uint64) for i in range(150)]
+    sets += [np.unique(np.append(sets[0][1:], sets[149][:1])), sets[7][2:]]
+    n, ids = len(sets), range(len(sets))
+    names = ["sig", "left", "right", "block", "doc", "c", "n", "bits"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 3, pa.binary()]
+    values = [[5] * n, [0] * n, [0] * n, [0] * n, ids, ids, map(len, sets), map(partenum.sketch, sets)]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(values, kinds, strict=True)], names)
+    close = pa.Table.from_batches(partenum._across(85)([batch]))
+    assert 100 < close.num_rows <= n
+    close = close.append_column("shingles", pa.array([sets[i].view(np.int64).tolist() for i in close.column("doc").to_pylist()], pa.list_(pa.int64())))
+    got = pa.Table.from_batches(partenum._linked(85)(close.to_batches())).to_pylist()
+    alike = [len(np.intersect1d(x, y)) * 100 >= 85 * len(np.union1d(x, y)) for x, y in itertools.combinations(sets, 2)]
+    want = [p for p, ok in zip(itertools.combinations(ids, 2), alike, strict=True) if ok]
+    assert len(got) < n
+
+    def parts(links):
+        root = list(ids)
+        for _ in ids:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert want and parts([(r["u"], r["v"]) for r in got]) == parts(want)
+
+
 def test_signatures_never_miss():
     """Sets at the limit of similarity share a signature, whatever their size."""
     rng = np.random.default_rng(0)
