@@ -318,6 +318,59 @@ def test_distance_by_dynamic_programming():
         assert lines.distance(a, b) == slow(a, b)
 
 
+def test_near_lines_of_other_components_are_no_rows():
+    """Lines of the same words in other orders have one SimHash: those that meet are sent on once each, however many pairs they make, and only links come out."""
+    import pyarrow as pa
+
+    rnd = random.Random(4)
+    words_ = [f"word{i}" for i in range(20)]
+    texts = [" ".join(rnd.sample(words_, 20)) for _ in range(200)]
+    texts += [texts[i].replace("word3 ", "wordx3 ") for i in range(0, 200, 10)] + [texts[0] + "".join(f" other{i}" for i in range(20))]
+    h, sim, _, _, size = lines._sized(pa.array(texts))
+    assert size.tolist() == [len(t) for t in texts]
+    sim[:] = sim[0]
+    plan = lines.Plan(4, 1)
+    keys = [plan.key(k, sim) for k in range(len(plan.chosen))]
+    cols = [np.concatenate(keys), *(np.tile(x, len(keys)) for x in (h.view(np.int64), sim.view(np.int64), size.astype(np.int32), h.view(np.int64)))]
+    rows = pa.Table.from_arrays([pa.array(x) for x in cols], ["key", "h", "sim", "size", "c"])
+    some = pa.Table.from_batches(lines._across(plan, 0.8)(rows.to_batches()))
+    assert some.num_rows == len(texts) - 1  # on the first key only; the longest line is too long for all others
+    text = dict(zip(h.view(np.int64).tolist(), texts, strict=True))
+    some = some.append_column("bytes", pa.array([text[x].encode() for x in some.column("h").to_pylist()]))
+    links = {(r["u"], r["v"]) for b in lines._linked(plan, 0.8)(some.to_batches()) for r in b.to_pylist()}
+    names = sorted(text)
+    want = {(x, y) for i, x in enumerate(names) for y in names[i + 1 :] if lines.distance(text[x].encode(), text[y].encode()) <= 0.2 * max(len(text[x]), len(text[y])) + 1e-9}
+    root = {x: x for x in names}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in links:
+        assert (min(x, y), max(x, y)) in want and find(x) != find(y)
+        root[find(x)] = find(y)
+    assert all(find(x) == find(y) for x, y in want) and len(want) >= 20
+
+
+def test_similarity_of_many_pairs():
+    """Pairs of all lengths around the 64 bits of a block, equal and empty ones too, are judged as by the distance of single pairs."""
+    rnd = random.Random(2)
+    some = []
+    for k in range(1200):
+        a = [rnd.choice("abcd \u00e9") for _ in range(rnd.choice([0, 1, 5, 63, 64, 65, 128, 129, 200]))]
+        b = [c for c in a if rnd.random() > rnd.choice([0, 0.1, 0.3])]
+        some.append(("".join(a).encode(), "".join(rnd.choice("abcd") if rnd.random() < 0.1 * (k % 3) else c for c in b).encode()))
+    some += [(b"a" * 5000, b"a" * 4999 + b"b"), (b"ab" * 3000, b"ba" * 3000)]
+    x, y = zip(*some, strict=True)
+    data, off = np.frombuffer(b"".join(x + y), np.uint8), np.cumsum([0, *map(len, x + y)])
+    at = np.arange(len(some))
+    for least in (0.8, 0.95):
+        want = [lines.distance(a, b) <= (1 - least) * max(len(a), len(b)) + 1e-9 for a, b in some]
+        assert lines.similar(data, off, at, at + len(some), least).tolist() == want
+        assert 100 < sum(want) < len(want) - 100
+
+
 def test_mixture(spark, odd_docs):
     for docs in both(spark, odd_docs):
         rows = mixture.mix(docs).collect()
