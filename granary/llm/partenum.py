@@ -23,6 +23,8 @@ node; a very long text is a batch of its own; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ from granary.llm.text import U, dealt, grams, mix, slices, word_hashes
 
 CHUNK = 16 << 20  # bytes of text combined before signatures are shipped
 BLOCK = 1024  # documents of one signature compared in one task, by pairs of such blocks
+PASSES = 2  # signatures are shuffled a part at a time, so that only such a part lies on the disk beside the staged ones
 WIDER = 8  # times a sketch is as wide for the documents that others leave over
 SMALL = 64  # bands up to this size have three cells a partition, others two
 
@@ -397,10 +400,14 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     signed = staged(full.select("doc_id", "n", "head", "bits"), "sizes")
     copies = signed.where("doc_id != head").select(F.col("doc_id").alias("u"), F.col("head").alias("v"))
     n_sigs = full.agg(F.sum(F.size("sigs"))).first()[0] or 0
-    met = dealt(full.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")), n_sigs, "sig").mapInArrow(_meet, "sig long, doc long, leader long")
+    every = full.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc"))
     local = full.where(F.size("shared") > 0).select("doc_id", F.explode(F.arrays_zip("shared", "leaders")).alias("x")).select(F.col("x.shared").alias("sig"), F.col("doc_id").alias("doc"), F.col("x.leaders").alias("leader"))
-    met = staged(met.union(local.where("leader != doc")), "met", release=True)
+    parts = [staged(local.where("leader != doc"), "met")]
+    for k in range(PASSES):
+        part = dealt(every.where(F.col("sig") % PASSES == k), n_sigs // PASSES, "sig")
+        parts.append(staged(part.mapInArrow(_meet, "sig long, doc long, leader long"), "met", release=True))
     unstage(full)
+    met = functools.reduce(DataFrame.union, parts)
     sketches = signed.where("bits is not null").select("doc_id", "n", "bits")
     x = sketches.select(F.col("doc_id").alias("doc"), "n", F.col("bits").alias("x"))
     y = sketches.select(F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("bits").alias("y"))
@@ -434,6 +441,7 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
         return joined.where(F.coalesce("cd", "doc") != F.coalesce("cl", "leader")).select("doc", "leader")
 
     second = staged(apart(pairs.select("doc", "leader").join(best, ["doc", "leader"], "left_anti")), "second")
+    unstage(pairs)
     if not second.isEmpty():
         edges = staged(edges.union(verified(second, sets)), "links")
         comp = staged(components(edges), "components")
@@ -441,6 +449,8 @@ def similar(docs: DataFrame, percent: int = 85, n: int = 4) -> DataFrame:
     member = met.select("sig", "doc").union(met.select("sig", F.col("leader").alias("doc"))).distinct()
     member = member.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("c"))
     member = staged(member, "member")
+    for used in parts:
+        unstage(used)
     wide = member.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("rows")).where("lo != hi")
     wide = staged(wide.select("sig", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), "rows"), "wide")
     n_open = 8 * (wide.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] or 0)  # a row holds a sketch

@@ -61,6 +61,28 @@ def test_jaccard_join(spark, odd_docs, n, percent):
         assert {k: sorted(v) for k, v in by.items()} == sizes
 
 
+def test_signatures_are_shuffled_in_parts(spark, odd_docs, monkeypatch):
+    """However many parts signatures are shuffled in, the groups are the same, and the tables of what met are gone in the end."""
+    made, gone = [], []
+    stage, drop = partenum.staged, partenum.unstage
+
+    def staged(df, name, **how):
+        out = stage(df, name, **how)
+        made.append((name, out._staged_at))
+        return out
+
+    monkeypatch.setattr(partenum, "staged", staged)
+    monkeypatch.setattr(partenum, "unstage", lambda df: (gone.append(df._staged_at), drop(df)))
+    got = []
+    for n in (1, 3):
+        monkeypatch.setattr(partenum, "PASSES", n)
+        made.clear()
+        got.append(sorted(map(str, partenum.similar(odd_docs, 80, 2).collect())))
+        met = [at for name, at in made if name in ("met", "pairs")]
+        assert len(met) == n + 2 and set(met) <= set(gone)
+    assert got[0] == got[1] and len(got[0]) > 5
+
+
 def test_pairs_across_components_are_no_rows():
     """Of a signature's documents, each of its own component, come as many rows as there are documents, though nearly all pairs pass their
     sketches; the links that are left are those of the whole sets."""
