@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -34,6 +35,22 @@ def test_same_as_sql(spark, db, name):
     assert sorted(map(plain, got.select(*cols).collect()), key=str) == sorted(map(plain, want.fetchall()), key=str)
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_compare_has_every_engine(spark):
+    """The forest, too, beside GLM and TSB, with the values that numpy's gives for each item alone."""
+    from granary.operators import forecast
+    from granary.plans import catalog
+
+    got = entry.queries()["forecast_compare"](spark, SF)
+    assert got.columns == ["sku", "h", *forecast.ENGINES]
+    got = {(r.sku, r.h): (r.RF, r.GLM, r.TSB) for r in got.collect()}
+    assert len(got) == catalog.P.top_n * catalog.P.horizon and not any(v is None for r in got.values() for v in r)
+    series = {r.sku: r.y for r in catalog.Ledgers(spark, SF).series.collect()}
+    for sku in {k[0] for k in got}:
+        want = forecast.forest(np.array(series[sku]), catalog.P)
+        assert [got[sku, h][0] for h in range(1, catalog.P.horizon + 1)] == [round(v, 4) for v in want]
+
+
 def test_global_order(spark):
     from pyspark.sql import functions as F
 
