@@ -51,6 +51,22 @@ def test_compare_has_every_engine(spark):
         assert [got[sku, h][0] for h in range(1, catalog.P.horizon + 1)] == [round(v, 4) for v in want]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_forest_of_fractions_in_sql():
+    """Sums of fractions depend on their order, and splits that are equally good on the sums' last bits."""
+    from granary.operators import forecast
+    from granary.plans import catalog
+
+    con = duckdb.connect()
+    for t in ("orders", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * REPLACE (l_quantity * 0.317 AS l_quantity) FROM read_parquet('{SF}/lineitem.parquet')")
+    head = catalog._RECURSIVE + catalog._engines(0, 4) + catalog._TOP + catalog._forest()
+    series = con.execute(head + " SELECT sku, y FROM series WHERE sku IN (SELECT sku FROM top)").fetchall()
+    want = {(sku, h): round(v, 4) for sku, y in series for h, v in enumerate(forecast.forest(np.array(y), catalog.P), 1)}
+    assert {(sku, h): v for sku, h, v in con.execute(head + " SELECT sku, h, yhat FROM rf_made").fetchall()} == want
+
+
 def test_global_order(spark):
     from pyspark.sql import functions as F
 
